@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 
 BITS = 24
+#: Distinct rows of a shard that a query meets at least, or all if there are fewer.
+LEAST_MET = 1_024
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -64,29 +66,47 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     places = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
     ordered = np.take_along_axis(strings, places, axis=1)
     wanted = hash_strings(lift(queries, longest, True), planes)
-    enough = max(4 * k, int(share * len(entries)))
-    low, high = np.empty((trees, len(queries)), np.int64), np.empty((trees, len(queries)), np.int64)
-    done = np.zeros(len(queries), bool)
-    for depth in range(BITS, -1, -1):
-        open_ = np.flatnonzero(~done)
-        if not len(open_):
-            break
+    enough = max(LEAST_MET, int(share * len(entries)))
+
+    def ranges(q: int | slice, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the strings that share a prefix of this depth with the query stand in each tree."""
         cut = BITS - depth
+        prefix = wanted[:, q] >> cut
+        low, high = np.empty_like(prefix), np.empty_like(prefix)
         for t in range(trees):
-            prefix = wanted[t, open_] >> cut
-            low[t, open_] = np.searchsorted(ordered[t], prefix << cut, "left")
-            high[t, open_] = np.searchsorted(ordered[t], (prefix + 1) << cut, "left")
-        done[open_] = (high[:, open_] - low[:, open_]).sum(axis=0) >= enough
+            low[t] = np.searchsorted(ordered[t], prefix[t] << cut, "left")
+            high[t] = np.searchsorted(ordered[t], (prefix[t] + 1) << cut, "left")
+        return low, high
+
+    # Descend: the deepest level that could hold enough; entries met in several trees count once below.
+    need = min(enough, len(entries))
+    depths = np.zeros(len(queries), np.int64)
+    low = np.zeros((trees, len(queries)), np.int64)
+    high = np.full((trees, len(queries)), len(entries))
+    for depth in range(1, BITS + 1):
+        lo, hi = ranges(slice(None), depth)
+        deep = (hi - lo).sum(axis=0) >= need
+        if not deep.any():
+            break
+        depths[deep], low[:, deep], high[:, deep] = depth, lo[:, deep], hi[:, deep]
     met = np.zeros(len(entries), bool)
     for q in range(len(queries)):
-        met[:] = False
-        for t in range(trees):
-            met[places[t, low[t, q] : high[t, q]]] = True
-        found = np.flatnonzero(met)
-        scores = (entries[found] * queries[q]).sum(axis=1)
+        lo, hi = low[:, q], high[:, q]
+        for depth in range(depths[q], -1, -1):  # ascend in all trees at once
+            if depth < depths[q]:
+                lo, hi = ranges(q, depth)
+            met[:] = depth == 0
+            if depth:
+                for t, (i, j) in enumerate(zip(lo.tolist(), hi.tolist())):
+                    met[places[t, i:j]] = True
+            found = np.flatnonzero(met)
+            if len(found) >= need:
+                break
+        rough = entries[found] @ queries[q]
         if len(found) > k + 1:
-            edge = -np.partition(-scores, k)[k]  # one more than k: the query's own row may be among them
-            found, scores = found[scores >= edge], scores[scores >= edge]
+            edge = -np.partition(-rough, k)[k]  # one more than k: the query's own row may be among them
+            found = found[rough >= edge - 1e-9 * (1 + abs(edge))]
+        scores = (entries[found] * queries[q]).sum(axis=1)  # the same sum for equal rows, wherever they are
         for entry, value in zip(found, scores):
             held = ids[by_entry[starts[entry] : starts[entry + 1]]]
             held = held[held != query_ids[q]][:k]
@@ -94,15 +114,15 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
                 yield int(query_ids[q]), int(one), float(value)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 160, share: float = 0.45, shard_rows: int = 8_192, query_rows: int = 16_384, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 160, share: float = 0.3, shard_rows: int = 8_192, query_rows: int = 16_384, seed: int = 11) -> DataFrame:
     """(query_id, rank, <key>, score): up to k rows with the largest inner product for each query.
 
     vectors and queries have key and vector. A query never gets rows with its own
     key. Rows and queries whose vector is null, zero or of another width than the
     first query's, or holds a null or non-finite component, take no part; nor do
     null keys. Ties go to the smaller key. A repeated key in queries counts once
-    (its smallest vector); in vectors, each row counts. share is the number of
-    entries to meet in all trees together, as a share of a shard's distinct rows.
+    (its smallest vector); in vectors, each row counts. share is the part
+    of a shard's distinct rows that a query meets at least, with a floor of LEAST_MET.
     Without rows or queries the result is empty.
     """
     spark = vectors.sparkSession
