@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,8 @@ from gridloom.llm.common import checkpointed, code_points, free_name, mix, windo
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
-#: Rounds in which the texts of a bucket are compared with one of them, before all that is left.
-STAR_ROUNDS = 2
+#: Texts with more units than this beyond a hub may meet a partner several times; results don't depend on it.
+CARRIED = 512
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 _COORDINATE, _VALUE, _POSITION, _UNIT = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F, 0x8CB92BA72F3D8DD7))
@@ -156,21 +156,80 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is SIMILARITY or more."""
+def _joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sets x and y of their texts."""
     one = sets.select(F.col("t").alias("a"), F.col("units").alias("x"))
     two = sets.select(F.col("t").alias("b"), F.col("units").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").where(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b")
+
+
+def _similar(common: Column, w: Column, v: Column) -> Column:
+    """Whether sets of sizes w and v with so many common units are near duplicates."""
+    return common >= SIMILARITY * (w + v - common)
+
+
+#: Near duplicates of sizes w and v have this share of w + v in common at least.
+_LEAST = SIMILARITY / (1 + SIMILARITY) * (1 - 1e-9)
+
+
+def _stars(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(t, hub, common, w, v): each text of a bucket with the hub of that bucket, their common units and sizes.
+
+    A bucket's hub is its text with the largest buckets in all bands: of copies with
+    edits of their own, that is the text nearest to what they were copied from.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    reach = members.join(sizes, "bucket").groupBy("t").agg(F.sum("n").alias("reach"))
+    hubs = members.join(reach, "t").groupBy("bucket").agg(F.max(F.struct("reach", F.xxhash64("t").alias("h"), "t")).alias("m")).select("bucket", F.col("m.t").alias("hub"))
+    pairs = members.join(hubs, "bucket").where(F.col("t") != F.col("hub")).select(F.col("t").alias("a"), F.col("hub").alias("b")).distinct()
+    return checkpointed(_joined(pairs, sets).select(F.col("a").alias("t"), F.col("b").alias("hub"), F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("w"), F.size("y").alias("v")))
+
+
+def _beyond_hubs(stars: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) that have a hub but no label in common and may be near duplicates.
+
+    Common units of two texts are units of the hub, no more than either shares with
+    it, or units that both have beyond it. So pairs whose shares with the hub are not
+    enough must agree on units beyond it, and only such pairs meet, once for the first
+    of these units. No near duplicate is left out.
+    """
+    own = labels.select("t", "label")
+    rows = stars.select("t", "hub", "common", "w").join(own, "t", "left").withColumn("label", F.coalesce("label", "t"))
+    rows = rows.join(own.select(F.col("t").alias("hub"), F.col("label").alias("hub_label")), "hub", "left")
+    rows = rows.select("t", "hub", "common", "w", "label", (F.col("label") == F.coalesce("hub_label", "hub")).alias("linked"))
+    mixed = rows.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("w").alias("least")).where(F.col("lo") != F.col("hi")).select("hub", "least")
+    rows = rows.join(mixed, "hub")
+    needed = F.col("w") >= _LEAST * (F.col("w") + F.col("least"))  # as many as the least partner asks for
+    rows = checkpointed(rows.where(needed).withColumn("cap", F.col("common") / _LEAST - F.col("w")))
+    other = lambda df: df.select("hub", *[F.col(c).alias(f"{c}2") for c in df.columns if c not in ("hub", "unit")], *[c for c in df.columns if c == "unit"])
+    apart = (F.col("label") != F.col("label2")) & (F.col("linked2") | (F.col("t") < F.col("t2")))
+    ordered = (F.least("t", "t2").alias("a"), F.greatest("t", "t2").alias("b"))
+    # Enough units of the hub.
+    able = rows.where(F.col("cap") >= F.col("least")).drop("least")
+    free = able.where(~F.col("linked"))
+    most = free.groupBy("hub").agg(F.max("cap").alias("most"))
+    within = able.join(most, "hub").where(F.col("w") <= F.col("most")).drop("most")
+    by_hub = free.join(other(within), "hub").where(apart & (F.col("w") <= F.col("cap2")) & (F.col("w2") <= F.col("cap"))).select(*ordered)
+    # Units beyond the hub.
+    beyond = _joined(rows.withColumnsRenamed({"t": "a", "hub": "b"}), sets).withColumn("more", F.array_except("x", "y")).drop("x", "y", "least", "cap").withColumnsRenamed({"a": "t", "b": "hub"})
+    carried = F.when(F.size("more") <= CARRIED, F.col("more"))
+    units = checkpointed(beyond.select("t", "hub", "common", "w", "label", "linked", carried.alias("more"), F.explode("more").alias("unit")))
+    met = units.groupBy("hub", "unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("hub", "unit")
+    units = units.join(met, ["hub", "unit"])
+    shared = F.array_intersect("more", "more2")
+    enough = F.size(shared) + F.least("common", "common2") >= _LEAST * (F.col("w") + F.col("w2"))
+    first = F.coalesce((F.array_min(shared) == F.col("unit")) & enough, F.lit(True))
+    by_unit = units.where(~F.col("linked")).join(other(units), ["hub", "unit"]).where(apart & first).select(*ordered)
+    return by_hub.unionByName(by_unit).distinct()
 
 
 def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc, t, bands) for each row of docs, and (t, label) for each text with a near duplicate.
 
-    Texts with the same words share t (null without words). Texts of a bucket are
-    compared with one of them that the round's hash names; then, after STAR_ROUNDS,
-    all pairs of a bucket that are still in different components. So no link that
-    would join two components is left out, and copies make no pairs.
+    Texts with the same words share t (null without words). All texts of a bucket are
+    compared with its hub; then those still in different components with one another,
+    where _beyond_hubs() doesn't rule it out. So no link that would join two
+    components is left out, and neither copies nor near copies make all their pairs.
     """
     signed = checkpointed(docs.select(key, text).mapInArrow(_sign(key, text), f"doc {docs.schema[key].dataType.simpleString()}, t binary, bands array<bigint>"))
     texts = signed.where(F.col("t").isNotNull()).groupBy("t").agg(F.min("doc").alias("doc"), F.min("bands").alias("bands"))
@@ -181,28 +240,13 @@ def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     source = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     sets = source.join(involved, source["doc"].eqNullSafe(involved["doc"])).select("t", "text").mapInArrow(_weighted_set("t", "text"), "t binary, found binary, units array<int>")
     sets = checkpointed(sets.where(F.col("t") == F.col("found")).groupBy("t").agg(F.min("units").alias("units")))
-    members = members.select("bucket", "t")
-    tested = edges = labels = None
-    for round_ in range(STAR_ROUNDS + 1):
-        own = members.withColumn("label", F.col("t")) if labels is None else members.join(labels, "t", "left").select("bucket", "t", F.coalesce("label", "t").alias("label"))
-        if round_ < STAR_ROUNDS:
-            hub = own.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("t", F.lit(round_)).alias("h"), "t", "label")).alias("hub")).select("bucket", F.col("hub.t").alias("other"), F.col("hub.label").alias("other_label"))
-            met = own.join(hub, "bucket")
-        else:
-            mixed = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
-            own = own.join(mixed, "bucket")
-            met = own.join(own.select("bucket", F.col("t").alias("other"), F.col("label").alias("other_label")), "bucket")
-        pairs = met.where((F.col("label") != F.col("other_label")) & (F.col("t") != F.col("other"))).select(F.least("t", "other").alias("a"), F.greatest("t", "other").alias("b")).distinct()
-        pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        found = checkpointed(_compare(pairs, sets))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        labels = connected(edges)
-    if labels is None:
-        labels = members.select("t", F.col("t").alias("label")).limit(0)
-    return signed, labels
+    stars = _stars(members.select("bucket", "t"), sets)
+    edges = stars.where(_similar(F.col("common"), F.col("w"), F.col("v"))).select(F.col("t").alias("a"), F.col("hub").alias("b"))
+    labels = connected(edges)
+    pairs = checkpointed(_beyond_hubs(stars, sets, labels))
+    common = F.size(F.array_intersect("x", "y"))
+    more = checkpointed(_joined(pairs, sets).where(_similar(common, F.size("x"), F.size("y"))).select("a", "b"))
+    return signed, labels if more.isEmpty() else connected(edges.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
