@@ -190,8 +190,9 @@ def _beyond_hubs(stars: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFr
 
     Common units of two texts are units of the hub, no more than either shares with
     it, or units that both have beyond it. So pairs whose shares with the hub are not
-    enough must agree on units beyond it, and only such pairs meet, once for the first
-    of these units. No near duplicate is left out.
+    enough must agree on units beyond it, of which a text has so many that leaving out
+    one less than it needs still keeps one of them. Pairs meet at the first unit that
+    both have. No near duplicate is left out.
     """
     own = labels.select("t", "label")
     rows = stars.select("t", "hub", "common", "w").join(own, "t", "left").withColumn("label", F.coalesce("label", "t"))
@@ -210,12 +211,16 @@ def _beyond_hubs(stars: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFr
     most = free.groupBy("hub").agg(F.max("cap").alias("most"))
     within = able.join(most, "hub").where(F.col("w") <= F.col("most")).drop("most")
     by_hub = free.join(other(within), "hub").where(apart & (F.col("w") <= F.col("cap2")) & (F.col("w2") <= F.col("cap"))).select(*ordered)
-    # Units beyond the hub.
-    beyond = _joined(rows.withColumnsRenamed({"t": "a", "hub": "b"}), sets).withColumn("more", F.array_except("x", "y")).drop("x", "y", "least", "cap").withColumnsRenamed({"a": "t", "b": "hub"})
-    carried = F.when(F.size("more") <= CARRIED, F.col("more"))
-    units = checkpointed(beyond.select("t", "hub", "common", "w", "label", "linked", carried.alias("more"), F.explode("more").alias("unit")))
-    met = units.groupBy("hub", "unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("hub", "unit")
-    units = units.join(met, ["hub", "unit"])
+    # Units beyond the hub: those that texts of different labels have, rare ones first.
+    beyond = _joined(rows.select(F.col("t").alias("a"), F.col("hub").alias("b"), "label"), sets)
+    units = checkpointed(beyond.select(F.col("a").alias("t"), F.col("b").alias("hub"), "label", F.explode(F.array_except("x", "y")).alias("unit")))
+    met = units.groupBy("hub", "unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where(F.col("lo") != F.col("hi"))
+    ranked = (F.shiftleft("n", 32) + F.col("unit").cast("long") + 2**31).alias("unit")
+    lists = units.drop("label").join(met.select("hub", "unit", "n"), ["hub", "unit"]).select("t", "hub", ranked).groupBy("t", "hub").agg(F.sort_array(F.collect_list("unit")).alias("more"))
+    least = F.greatest("least", SIMILARITY * F.col("w"))
+    need = F.greatest(F.lit(1), F.ceil(_LEAST * (F.col("w") + least) - F.col("common"))).cast("int")
+    lists = checkpointed(rows.drop("cap").join(lists, ["t", "hub"]).withColumn("need", need).where(F.size("more") >= F.col("need")))
+    units = lists.select("t", "hub", "common", "w", "label", "linked", F.when(F.size("more") <= CARRIED, F.col("more")).alias("more"), F.explode(F.slice("more", F.lit(1), F.size("more") - F.col("need") + 1)).alias("unit"))
     shared = F.array_intersect("more", "more2")
     enough = F.size(shared) + F.least("common", "common2") >= _LEAST * (F.col("w") + F.col("w2"))
     first = F.coalesce((F.array_min(shared) == F.col("unit")) & enough, F.lit(True))
