@@ -90,22 +90,25 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
             break
         depths[deep], low[:, deep], high[:, deep] = depth, lo[:, deep], hi[:, deep]
     met = np.zeros(len(entries), bool)
+    coarse, coarse_queries = entries.astype(np.float32), queries.astype(np.float32)
+    slack = 1e-5 * longest * np.sqrt((queries * queries).sum(axis=1))
     for q in range(len(queries)):
         lo, hi = low[:, q], high[:, q]
         for depth in range(depths[q], -1, -1):  # ascend in all trees at once
             if depth < depths[q]:
                 lo, hi = ranges(q, depth)
-            met[:] = depth == 0
-            if depth:
-                for t, (i, j) in enumerate(zip(lo.tolist(), hi.tolist())):
-                    met[places[t, i:j]] = True
+            if not depth:
+                found = np.arange(len(entries))
+                break
+            met[np.concatenate([row[i:j] for row, i, j in zip(places, lo.tolist(), hi.tolist())])] = True
             found = np.flatnonzero(met)
+            met[found] = False
             if len(found) >= need:
                 break
-        rough = entries[found] @ queries[q]
         if len(found) > k + 1:
+            rough = coarse.take(found, axis=0) @ coarse_queries[q]
             edge = -np.partition(-rough, k)[k]  # one more than k: the query's own row may be among them
-            found = found[rough >= edge - 1e-9 * (1 + abs(edge))]
+            found = found[rough >= edge - slack[q]]
         scores = (entries[found] * queries[q]).sum(axis=1)  # the same sum for equal rows, wherever they are
         for entry, value in zip(found, scores):
             held = ids[by_entry[starts[entry] : starts[entry + 1]]]
