@@ -17,18 +17,21 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import checkpointed, code_points, free_name
+from gridloom.llm.common import checkpointed, code_points, free_name, parallelism
 
 ORDER = 5
 #: Bits of a character in a key. Code points beyond share the symbols from 1 on by remainder.
 BITS = 12
 #: Entries of a shard: 16 bytes each, so 64 MB at most are broadcast at once.
 SHARD_ENTRIES = 4_000_000
+#: N-grams of documents that meet the model's in one group.
+SHARD_GRAMS = 500_000
 
 
 def gram_keys(text: str | None) -> np.ndarray:
@@ -141,9 +144,39 @@ class KneserNey:
         return self.counts[order].groupBy(_context().alias("h")).agg(F.sum("c").alias("total"), F.sum(lost).alias("lost")).select("h", "total", (F.col("lost") / F.col("total")).alias("back"))
 
     def probabilities(self, grams: DataFrame) -> DataFrame:
-        """(g, logp) for distinct n-grams g of the highest order: natural logs, by joins from order to order."""
-        rows = self._of_order(grams.select("g"), ORDER)
-        return rows.select("g", F.log("p").alias("logp"))
+        """(g, logp) for distinct n-grams g of the highest order: natural logs.
+
+        The lower order is joined order by order. The highest, the largest by far, is
+        cut into shards by the characters that a gram, its context and its suffix
+        have in common, so that one shuffle brings all of them together.
+        """
+        lower = self._of_order(grams.select(_suffix(ORDER).alias("g")).distinct(), ORDER - 1)
+        shards = max(4 * parallelism(grams.sparkSession), -(-grams.count() // SHARD_GRAMS))
+        shard = lambda key: F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
+        core = F.lit((1 << (BITS * (ORDER - 2))) - 1)
+        rows = lambda df, kind, key, common, x, y: df.select(shard(common), F.lit(kind).alias("kind"), F.col(key).alias("key"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+        known = rows(self.counts[ORDER], 1, "g", F.shiftright("g", BITS).bitwiseAND(core), self._kept(ORDER), F.lit(0))
+        known = known.unionByName(rows(self.contexts(ORDER), 2, "h", F.col("h").bitwiseAND(core), F.col("total"), F.col("back")))
+        known = known.unionByName(rows(lower, 3, "g", F.shiftright("g", BITS), F.col("p"), F.lit(0)))
+        asked = grams.select(shard(F.shiftright("g", BITS).bitwiseAND(core)), "g")
+
+        def meet(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+            g = own["g"].to_numpy()
+
+            def found(kind: int, keys: np.ndarray, *rest: float) -> list[np.ndarray]:
+                part = model[model["kind"] == kind].sort_values("key")
+                at = np.searchsorted(part["key"].to_numpy(), keys)
+                at[at == len(part)] = 0
+                hit = part["key"].to_numpy()[at] == keys if len(part) else np.zeros(len(keys), bool)
+                columns = [part[c].to_numpy() for c in "xy"]
+                return [np.where(hit, c[at] if len(part) else 0.0, r) for c, r in zip(columns, rest)]
+
+            (kept,) = found(1, g, 0.0)
+            total, back = found(2, g >> BITS, 1.0, 1.0)
+            (below,) = found(3, g & ((1 << (BITS * (ORDER - 1))) - 1), 0.0)
+            return pd.DataFrame({"g": g, "logp": np.log(kept / total + back * below)})
+
+        return asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(meet, "g long, logp double")
 
     def _of_order(self, grams: DataFrame, order: int) -> DataFrame:
         if order == 0:
@@ -198,7 +231,7 @@ def perplexities(docs: DataFrame, model: KneserNey, text: str = "text", out: str
     of the key; each is broadcast by itself, whatever the size of the whole.
     """
     docs = docs.drop(out)
-    table = checkpointed(model.probabilities(gram_counts(docs, text).select("g")))
+    table = checkpointed(model.probabilities(checkpointed(gram_counts(docs, text).select("g"))))
     shards = max(1, -(-table.count() // shard_entries))
     rows, parts = docs, []
     for i in range(shards):
