@@ -30,6 +30,8 @@ ORDER = 5
 BITS = 12
 #: Entries of a shard: 16 bytes each, so 64 MB at most are broadcast at once.
 SHARD_ENTRIES = 4_000_000
+#: Ids that are broadcast at most: 32 MB of eight bytes each.
+BROADCAST_IDS = 4_000_000
 #: N-grams of documents that meet the model's in one group.
 SHARD_GRAMS = 500_000
 
@@ -198,9 +200,12 @@ class KneserNey:
 
 
 def trusted(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents that a label row calls good."""
+    """The documents that a label row calls good.
+
+    Up to BROADCAST_IDS labelled ids are broadcast; more are joined by a shuffle, which moves the texts.
+    """
     good = labels.where(F.col("quality") == 1).select(key).distinct()
-    return docs.join(good, key, "left_semi")
+    return docs.join(F.broadcast(good) if good.count() <= BROADCAST_IDS else good, key, "left_semi")
 
 
 def _add_shard(rows: DataFrame, keys: np.ndarray, values: np.ndarray, text: str, out: str) -> DataFrame:
