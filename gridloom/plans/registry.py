@@ -292,7 +292,7 @@ def _(view, table):
 
 
 @query("key_values", r""", p AS (SELECT k.doc, k.sheet, k."row" AS ord, trim(k.display) AS key, v.display AS value FROM v_cells k LEFT JOIN v_cells v ON v.doc = k.doc AND v.sheet = k.sheet AND v."row" = k."row" AND v.col = 3 WHERE k.col = 2 AND trim(k.display) <> ''),
- n AS (SELECT *, CASE WHEN key = '7' THEN 'seven' WHEN regexp_matches(key, '^1') THEN 'ones' ELSE key END AS name FROM p) SELECT doc, sheet, name, arg_max(value, ord) AS value FROM n GROUP BY doc, sheet, name""")
+ n AS (SELECT *, CASE WHEN regexp_matches(key, '7') THEN 'seven' WHEN regexp_matches(key, '^1') THEN 'ones' ELSE key END AS name FROM p) SELECT doc, sheet, name, arg_max(value, ord) AS value FROM n GROUP BY doc, sheet, name""")
 def _(view, table):
     return template.key_semantics(template.key_values(view("cells"), 2, 3), [("7", "seven"), ("^1", "ones")])
 
