@@ -1,57 +1,83 @@
-"""Quality classifier: interpolated modified Kneser-Ney over characters.
-
-The model counts five-character n-grams of trusted texts; lower orders follow from
-the distinct n-grams above them. The distinct n-grams of all documents are joined,
-order by order, to these counts, which gives the log probability of each. Shards of
-that table, of bounded size, are then sent to the documents one after another, and
-each adds its part to a document's sum. A document's perplexity is held against a
-quantile of the trusted texts of its language.
-
-Characters, not words: the table of distinct n-grams then stays far smaller than
-the text, while junk (symbols, capitals, tables) still has a high perplexity.
+"""Quality classifier: interpolated modified Kneser-Ney over words.
+
+The model counts three-word n-grams of trusted texts, with the start and the end of a
+text as words of their own; lower orders follow from the distinct n-grams above them.
+Words that no trusted text has share one event of the lowest order. The distinct
+n-grams of all documents are joined, order by order, to these counts, which gives the
+log probability of each; that table is joined to the n-grams of each document, and a
+document's parts are summed up. Nothing of either table reaches the driver. A
+document's perplexity is held against a quantile of trusted texts of its language
+that the model was not trained on.
+
+The tables grow with the text. An n-gram's key is the 64-bit hash of each of its
+words, 8 bytes a word, so contexts and suffixes are parts of it. The same model runs
+over characters, five at a time, where a caller asks for no words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridloom.llm.common import checkpointed, code_points, free_name, parallelism
+from gridloom.llm.common import checkpointed, code_points, free_name, range_hashes, window_hashes, word_bounds
 
+#: Length of n-grams of characters and of words.
 ORDER = 5
-#: Bits of a character in a key. Code points beyond share the symbols from 1 on by remainder.
-BITS = 12
-#: Entries of a shard: 16 bytes each, so 64 MB at most are broadcast at once.
+WORD_ORDER = 3
+#: Bytes of a character or word in a key.
+WIDTH = 8
+#: Occurrences of one n-gram that one task meets at most; those of a more frequent one are dealt over several.
 SHARD_ENTRIES = 4_000_000
 #: Ids that are broadcast at most: 32 MB of eight bytes each.
 BROADCAST_IDS = 4_000_000
-#: N-grams of documents that meet the model's in one group.
-SHARD_GRAMS = 500_000
+#: Least discount, so that each context leaves something to the lower order.
+LEAST = 0.1
+#: Marks before the first word and after the last.
+START, END = np.uint64(1), np.uint64(2)
 
 
-def gram_keys(text: str | None) -> np.ndarray:
-    """Keys of all ORDER-character windows; runs of blanks are one space, digits are 0."""
+def characters(text: str | None) -> np.ndarray:
+    """The code points; runs of blanks are one space."""
     points = code_points(text or "")
     blank = (points == 32) | ((points >= 9) & (points <= 13))
     if len(points):
-        points = points[~(blank & np.concatenate([[False], blank[:-1]]))]
-    symbols = np.where(points < 1 << BITS, points, points % ((1 << BITS) - 1) + 1).astype(np.int64)
-    symbols[(symbols >= 9) & (symbols <= 13)] = 32
-    symbols[(symbols >= 48) & (symbols <= 57)] = 48
-    n = len(symbols) - ORDER + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    keys = np.zeros(n, np.int64)
-    for i in range(ORDER):
-        keys = (keys << BITS) | symbols[i : i + n]
-    return keys
+        points = np.where(blank, 32, points)[~(blank & np.concatenate([[False], blank[:-1]]))]
+    return points.astype(np.uint64)
+
+
+def words(text: str | None) -> np.ndarray:
+    """Hashes of the words between START and END marks; none for a text without words.
+
+    Ideographs, kana and emoji are words of one character, since no blanks part them.
+    """
+    points = code_points(text or "")
+    starts, ends = word_bounds(points)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    alone = np.flatnonzero(((points >= 0x2E80) & (points < 0xA4D0)) | ((points >= 0xF900) & (points < 0xFB00)) | ((points >= 0x1F000) & (points < 0x40000)))
+    if len(alone):
+        cuts = np.unique(np.concatenate([starts, ends, alone, alone + 1]))
+        inside = np.zeros(len(points) + 1, np.int64)
+        inside[starts] += 1
+        np.subtract.at(inside, ends, 1)
+        inside = np.cumsum(inside)
+        held = inside[cuts[:-1]] > 0
+        starts, ends = cuts[:-1][held], cuts[1:][held]
+    marks = np.full(WORD_ORDER - 1, START)
+    return np.concatenate([marks, range_hashes(points, starts, ends), [END]])
+
+
+def grams(text: str | None, of_words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of a text, and the windows, one row each."""
+    order = WORD_ORDER if of_words else ORDER
+    tokens = words(text) if of_words else characters(text)
+    if len(tokens) < order:
+        return np.zeros(0, np.uint64), np.zeros((0, order), np.uint64)
+    return window_hashes(tokens, order), np.lib.stride_tricks.sliding_window_view(tokens, order)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: str):
@@ -61,57 +87,55 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str):
             yield batch, batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([k for k, _ in parts])
-    counts = np.concatenate([c for _, c in parts])
-    found, where = np.unique(keys, return_inverse=True)
-    return found, np.bincount(where, counts, len(found)).astype(np.int64)
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hashes, windows, counts = (np.concatenate(x) for x in zip(*parts))
+    found, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+    return found, windows[first], np.bincount(where, counts, len(found)).astype(np.int64)
+
 
+def _keys(windows: np.ndarray) -> pa.Array:
+    size = WIDTH * windows.shape[1]
+    offsets = np.arange(0, (len(windows) + 1) * size, size, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(windows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(windows))])
 
-def gram_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(g, c): how often each n-gram occurs. Tasks add up what they read before the shuffle."""
+
+def gram_counts(texts: DataFrame, text: str = "text", of_words: bool = False) -> DataFrame:
+    """(g, k, c): key and hash of each n-gram and how often it occurs. Tasks add up what they read before the shuffle."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        pending: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
-        def add() -> None:
-            nonlocal size
-            if pending:
-                held.append(np.unique(np.concatenate(pending), return_counts=True))
-                pending.clear()
-                size = 0
-            if len(held) > 8:
-                held[:] = [_merged(held)]
-
-        def rows(keys, counts):
-            for lo in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 100_000]), pa.array(counts[lo : lo + 100_000])], names=["g", "c"])
+        def rows(hashes, windows, counts):
+            for lo in range(0, len(hashes), 100_000):
+                part = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([_keys(windows[part]), pa.array(hashes[part].view(np.int64)), pa.array(counts[part])], names=["g", "k", "c"])
 
         for _, batch in _texts(batches, text):
             for t in batch:
-                keys = gram_keys(t)
-                pending.append(keys)
-                size += len(keys)
-                if size > 2_000_000:
-                    add()
-                    if len(held) == 1 and len(held[0][0]) > 4_000_000:  # what a task holds stays bounded
+                hashes, windows = grams(t, of_words)
+                if len(hashes):
+                    pending.append((hashes, windows, np.ones(len(hashes), np.int64)))
+                    size += len(hashes)
+                if size > 1_000_000:
+                    held = [_merged([*held, *pending])]
+                    pending, size = [], 0
+                    if len(held[0][0]) > 2_000_000:  # what a task holds stays bounded
                         yield from rows(*held.pop())
-        add()
-        if held:
-            yield from rows(*_merged(held))
+        if held or pending:
+            yield from rows(*_merged([*held, *pending]))
 
-    return texts.select(text).mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return texts.select(text).mapInArrow(run, "g binary, k long, c long").groupBy("g", "k").agg(F.sum("c").alias("c"))
 
 
 def _suffix(order: int) -> Column:
-    """The key of the last order - 1 characters."""
-    return F.col("g").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
+    """The key of the last order - 1 characters or words."""
+    return F.substring("g", WIDTH + 1, WIDTH * (order - 1))
 
 
-def _context() -> Column:
-    return F.shiftright("g", BITS)
+def _context(order: int) -> Column:
+    return F.substring("g", 1, WIDTH * (order - 1))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -119,16 +143,17 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     n = {r["c"]: r["n"] for r in counts.where(F.col("c") <= 4).groupBy("c").agg(F.count("*").alias("n")).collect()}
     one, two, three, four = (n.get(i, 0) for i in (1, 2, 3, 4))
     y = one / (one + 2 * two) if one else 0.5
-    of = lambda i, a, b: min(float(i), max(0.0, i - (i + 1) * y * b / a)) if a else 0.5 * i
+    of = lambda i, a, b: min(float(i), max(LEAST, i - (i + 1) * y * b / a)) if a else 0.5 * i
     return of(1, one, two), of(2, two, three), of(3, three, four)
 
 
 class KneserNey:
     """For each order its counts; for each context its total and the weight of the lower order."""
 
-    def __init__(self, texts: DataFrame, text: str = "text"):
-        self.counts: dict[int, DataFrame] = {ORDER: checkpointed(gram_counts(texts, text))}
-        for order in range(ORDER, 1, -1):
+    def __init__(self, texts: DataFrame, text: str = "text", of_words: bool = False):
+        self.of_words, self.order = of_words, WORD_ORDER if of_words else ORDER
+        self.counts: dict[int, DataFrame] = {self.order: checkpointed(gram_counts(texts, text, of_words).select("g", "c"))}
+        for order in range(self.order, 1, -1):
             lower = self.counts[order].groupBy(_suffix(order).alias("g")).agg(F.count("*").alias("c"))
             self.counts[order - 1] = checkpointed(lower)
         self.discounts = {n: discounts(c) for n, c in self.counts.items()}
@@ -143,60 +168,29 @@ class KneserNey:
         """(h, total, back): back is the share of probability that the lower order gets."""
         d1, d2, d3 = self.discounts[order]
         lost = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        return self.counts[order].groupBy(_context().alias("h")).agg(F.sum("c").alias("total"), F.sum(lost).alias("lost")).select("h", "total", (F.col("lost") / F.col("total")).alias("back"))
-
-    def probabilities(self, grams: DataFrame) -> DataFrame:
-        """(g, logp) for distinct n-grams g of the highest order: natural logs.
-
-        The lower order is joined order by order. The highest, the largest by far, is
-        cut into shards by the characters that a gram, its context and its suffix
-        have in common, so that one shuffle brings all of them together.
-        """
-        lower = self._of_order(grams.select(_suffix(ORDER).alias("g")).distinct(), ORDER - 1)
-        shards = max(4 * parallelism(grams.sparkSession), -(-grams.count() // SHARD_GRAMS))
-        shard = lambda key: F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
-        core = F.lit((1 << (BITS * (ORDER - 2))) - 1)
-        rows = lambda df, kind, key, common, x, y: df.select(shard(common), F.lit(kind).alias("kind"), F.col(key).alias("key"), x.cast("double").alias("x"), y.cast("double").alias("y"))
-        known = rows(self.counts[ORDER], 1, "g", F.shiftright("g", BITS).bitwiseAND(core), self._kept(ORDER), F.lit(0))
-        known = known.unionByName(rows(self.contexts(ORDER), 2, "h", F.col("h").bitwiseAND(core), F.col("total"), F.col("back")))
-        known = known.unionByName(rows(lower, 3, "g", F.shiftright("g", BITS), F.col("p"), F.lit(0)))
-        asked = grams.select(shard(F.shiftright("g", BITS).bitwiseAND(core)), "g")
-
-        def meet(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-            g = own["g"].to_numpy()
-
-            def found(kind: int, keys: np.ndarray, *rest: float) -> list[np.ndarray]:
-                part = model[model["kind"] == kind].sort_values("key")
-                at = np.searchsorted(part["key"].to_numpy(), keys)
-                at[at == len(part)] = 0
-                hit = part["key"].to_numpy()[at] == keys if len(part) else np.zeros(len(keys), bool)
-                columns = [part[c].to_numpy() for c in "xy"]
-                return [np.where(hit, c[at] if len(part) else 0.0, r) for c, r in zip(columns, rest)]
-
-            (kept,) = found(1, g, 0.0)
-            total, back = found(2, g >> BITS, 1.0, 1.0)
-            (below,) = found(3, g & ((1 << (BITS * (ORDER - 1))) - 1), 0.0)
-            return pd.DataFrame({"g": g, "logp": np.log(kept / total + back * below)})
-
-        return asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(meet, "g long, logp double")
-
-    def _of_order(self, grams: DataFrame, order: int) -> DataFrame:
+        return self.counts[order].groupBy(_context(order).alias("h")).agg(F.sum("c").alias("total"), F.sum(lost).alias("lost")).select("h", "total", (F.col("lost") / F.col("total")).alias("back"))
+
+    def probabilities(self, asked: DataFrame) -> DataFrame:
+        """asked, distinct n-grams g of the highest order, with logp: natural logs."""
+        return self._of_order(asked, self.order).withColumn("logp", F.log("p")).drop("p")
+
+    def _of_order(self, asked: DataFrame, order: int) -> DataFrame:
         if order == 0:
-            return grams.withColumn("p", F.lit(1.0 / self.alphabet))
+            return asked.withColumn("p", F.lit(1.0 / self.alphabet))
         if order == 1:
             d1, d2, d3 = self.discounts[1]
             lost = self.counts[1].agg(F.sum(F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))).first()[0] or 0.0
             total = max(1, self.total)
             back = lost / total if self.total else 1.0
             own = F.coalesce(self._kept(1) / total, F.lit(0.0))
-            return grams.join(self.counts[1], "g", "left").select("g", (own + back / self.alphabet).alias("p"))
-        lower = self._of_order(grams.select(_suffix(order).alias("g")).distinct(), order - 1)
+            return asked.join(self.counts[1].select("g", "c"), "g", "left").select(*asked.columns, (own + back / self.alphabet).alias("p"))
+        lower = self._of_order(asked.select(_suffix(order).alias("g")).distinct(), order - 1)
         lower = lower.select(F.col("g").alias("s"), F.col("p").alias("q"))
         held = self.contexts(order)
-        rows = grams.join(self.counts[order], "g", "left").withColumn("h", _context()).withColumn("s", _suffix(order))
+        rows = asked.join(self.counts[order], "g", "left").withColumn("h", _context(order)).withColumn("s", _suffix(order))
         rows = rows.join(held, "h", "left").join(lower, "s")
         own = F.coalesce(self._kept(order) / F.col("total"), F.lit(0.0))
-        return rows.select("g", (own + F.coalesce("back", F.lit(1.0)) * F.col("q")).alias("p"))
+        return rows.select(*asked.columns, (own + F.coalesce("back", F.lit(1.0)) * F.col("q")).alias("p"))
 
 
 def trusted(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -208,62 +202,61 @@ def trusted(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFram
     return docs.join(F.broadcast(good) if good.count() <= BROADCAST_IDS else good, key, "left_semi")
 
 
-def _add_shard(rows: DataFrame, keys: np.ndarray, values: np.ndarray, text: str, out: str) -> DataFrame:
-    """rows with sum and number of the log probabilities of a text's n-grams that the shard holds."""
-    shared = rows.sparkSession.sparkContext.broadcast((keys, values))
+def _document_grams(docs: DataFrame, text: str, of_words: bool) -> DataFrame:
+    """(d, k, times): hash of the text, hash of each distinct n-gram of it, how often it occurs there."""
 
     def run(batches):
-        known, logs = shared.value
-        for batch, texts in _texts(batches, text):
-            sums, found = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for i, t in enumerate(texts):
-                grams, times = np.unique(gram_keys(t), return_counts=True)
-                at = np.searchsorted(known, grams)
-                at[at == len(known)] = 0
-                hit = known[at] == grams if len(known) else np.zeros(len(grams), bool)
-                sums[i] = (logs[at[hit]] * times[hit]).sum()
-                found[i] = times[hit].sum()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays([pa.array(sums), pa.array(found)], names=["s", "n"])], names=[*batch.schema.names, out])
-
-    kind = T.StructType([T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, kind)]))
+        for batch, texts in _texts(batches, "t"):
+            ids = batch.column(batch.schema.get_field_index("d")).to_numpy()
+            found = [np.unique(grams(t, of_words)[0], return_counts=True) for t in texts]
+            hashes, times = (np.concatenate(x) for x in zip(*found))
+            d = np.repeat(ids, [len(k) for k, _ in found])
+            for lo in range(0, len(d), 100_000):
+                part = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(d[part]), pa.array(hashes[part].view(np.int64)), pa.array(times[part].astype(np.int32))], names=["d", "k", "times"])
+
+    return docs.select(F.xxhash64(text).alias("d"), F.col(text).alias("t")).mapInArrow(run, "d long, k long, times int")
 
 
 def perplexities(docs: DataFrame, model: KneserNey, text: str = "text", out: str = "perplexity", shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """docs with the column `out` (replaced if there); null for texts of fewer than ORDER characters.
+    """docs with the column `out` (replaced if there); null for texts without n-grams.
 
-    The table of scored n-grams is cut into shards of about shard_entries by a hash
-    of the key; each is broadcast by itself, whatever the size of the whole.
+    The scored n-grams are joined to those of each document.
     """
     docs = docs.drop(out)
-    table = checkpointed(model.probabilities(checkpointed(gram_counts(docs, text).select("g"))))
-    shards = max(1, -(-table.count() // shard_entries))
-    rows, parts = docs, []
-    for i in range(shards):
-        own = table if shards == 1 else table.where(F.pmod(F.xxhash64("g"), F.lit(shards)) == i)
-        own = own.toArrow().sort_by("g")
-        parts.append(free_name(rows, f"part{i}"))
-        rows = _add_shard(rows, own["g"].to_numpy(), own["logp"].to_numpy(), text, parts[-1])
-    total = reduce(lambda a, b: a + b, (F.col(p)["s"] for p in parts))
-    n = reduce(lambda a, b: a + b, (F.col(p)["n"] for p in parts))
-    return rows.withColumn(out, F.when(n > 0, F.exp(-total / n))).drop(*parts)
+    asked = checkpointed(gram_counts(docs, text, model.of_words).select("g", "k"))
+    scored = model.probabilities(asked).select("k", "logp")
+    own = _document_grams(docs, text, model.of_words)
+    sums = own.join(scored, "k").groupBy("d").agg(F.sum(F.col("times") * F.col("logp")).alias("total"), F.sum("times").alias("n"))
+    digest = free_name(docs, "d")
+    sums = sums.select(F.col("d").alias(digest), F.exp(-F.col("total") / F.col("n")).alias(out))
+    rows = docs.withColumn(digest, F.xxhash64(text)).join(sums, digest, "left")
+    return rows.select(*docs.columns, out)
+
+
+def _calibration(key: str) -> Column:
+    """A fifth of the documents, by a hash of the id: thresholds come from them, the model doesn't."""
+    return F.coalesce(F.crc32(F.concat(F.lit("calibration "), F.col(key).cast("string")).cast("binary")) % 5 == 0, F.lit(False))
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.99, slack: float = 1.1) -> DataFrame:
     """(key, lang, perplexity, threshold, kept) for each row of docs.
 
-    The model is trained on all documents labelled good. A document is kept unless
-    its perplexity is above slack times this quantile of the trusted documents of
-    its language; null languages are a language, one without trusted documents uses
-    the quantile over all, and without any trusted document all are kept. Texts
-    shorter than ORDER characters, empty and null ones too, have no perplexity and
-    are not kept. Repeated rows count as often as they occur. Columns of other
-    names are not carried.
+    The model is trained on the documents labelled good, but for the calibration
+    fold: a text that was counted is no measure for one that was not. A document is
+    kept unless its perplexity is above slack times this quantile of the fold's good
+    documents of its language; null languages are a language, one without any uses
+    the quantile over all, a fold without any gives way to all good documents, and
+    without any good document all are kept. Texts without words, empty and null ones
+    too, have no perplexity and are not kept. Repeated rows count as often as they
+    occur. Columns of other names are not carried.
     """
     rows = docs.select(key, text, lang)
-    model = KneserNey(trusted(rows, labels, key), text)
+    model = KneserNey(trusted(rows, labels, key).where(~_calibration(key)), text, of_words=True)
     scored = checkpointed(perplexities(rows, model, text).drop(text))
     good = trusted(scored, labels, key)
+    if not (fold := good.where(_calibration(key) & F.col("perplexity").isNotNull())).isEmpty():
+        good = fold
     quantile_of = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     limits = good.groupBy(lang).agg((quantile_of * slack).alias("own")).withColumnRenamed(lang, "_lang")
     overall = good.agg((quantile_of * slack).alias("all")).first()["all"]

@@ -304,6 +304,21 @@ def test_kneser_ney_equals_a_plain_version(spark):
             assert r["perplexity"] == pytest.approx(np.exp(-np.mean([np.log(p(g)) for g in grams])))
 
 
+def test_kneser_ney_tells_word_order_and_symbols_apart(spark):
+    rng = np.random.default_rng(9)
+    lists = [[f"{start}{i}" for i in range(12)] for start in ("the", "old", "dog", "saw", "his", "cat")]
+    good = [" ".join(str(rng.choice(x)) for _ in range(20) for x in lists) for _ in range(200)]
+    salad = [" ".join(rng.permutation(t.split())) for t in good[:20]]
+    cjk = "".join(chr(0x4E00 + i % 50) for i in range(400))
+    other = "".join(chr(ord(c) + 4095) for c in cjk)
+    texts = [*good, *salad, *[cjk] * 40, other]
+    docs = spark.createDataFrame([(i, t, "zh" if i >= 220 else "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in [*range(200), *range(220, 260)]], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in kneser_ney.classify(docs, labels).where("kept").collect()}
+    assert not kept & set(range(200, 220)) and 260 not in kept
+    assert len(kept & set(range(200))) >= 190 and kept >= set(range(220, 260))
+
+
 def test_kneser_ney_odd_rows(spark, odd):
     for labels in (spark.createDataFrame([(4, 1), (None, 1), (5, 0)], "doc_id long, quality int"), spark.createDataFrame([], "doc_id long, quality int")):
         rows = kneser_ney.classify(odd, labels).collect()
