@@ -221,13 +221,22 @@ def _document_grams(docs: DataFrame, text: str, of_words: bool) -> DataFrame:
 def perplexities(docs: DataFrame, model: KneserNey, text: str = "text", out: str = "perplexity", shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """docs with the column `out` (replaced if there); null for texts without n-grams.
 
-    The scored n-grams are joined to those of each document.
+    The scored n-grams are joined to those of each document. An n-gram that occurs
+    more than shard_entries times is dealt over several parts of the join, to each of
+    which its score is copied; there are at most as many such n-grams as the input
+    has words, by shard_entries.
     """
     docs = docs.drop(out)
-    asked = checkpointed(gram_counts(docs, text, model.of_words).select("g", "k"))
-    scored = model.probabilities(asked).select("k", "logp")
+    asked = checkpointed(gram_counts(docs, text, model.of_words).select("g", "k", "c"))
+    scored = model.probabilities(asked.withColumnRenamed("c", "times")).select("k", "times", "logp")
     own = _document_grams(docs, text, model.of_words)
-    sums = own.join(scored, "k").groupBy("d").agg(F.sum(F.col("times") * F.col("logp")).alias("total"), F.sum("times").alias("n"))
+    on = ["k"]
+    frequent = asked.where(F.col("c") > shard_entries).select("k", F.ceil(F.col("c") / shard_entries).alias("parts"))
+    if not frequent.isEmpty():
+        on = ["k", "part"]
+        own = own.join(F.broadcast(frequent), "k", "left").withColumn("part", F.pmod(F.xxhash64("d"), F.coalesce("parts", F.lit(1)))).drop("parts")
+        scored = scored.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("times") / shard_entries) - 1)))
+    sums = own.join(scored.drop("times"), on).groupBy("d").agg(F.sum(F.col("times") * F.col("logp")).alias("total"), F.sum("times").alias("n"))
     digest = free_name(docs, "d")
     sums = sums.select(F.col("d").alias(digest), F.exp(-F.col("total") / F.col("n")).alias(out))
     rows = docs.withColumn(digest, F.xxhash64(text)).join(sums, digest, "left")

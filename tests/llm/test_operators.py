@@ -319,6 +319,21 @@ def test_kneser_ney_tells_word_order_and_symbols_apart(spark):
     assert len(kept & set(range(200))) >= 190 and kept >= set(range(220, 260))
 
 
+def test_kneser_ney_scores_without_the_driver(spark, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(*_, **__):
+        raise AssertionError("the scored table went through the driver")
+
+    docs = spark.createDataFrame([(i, f"a b c d {i % 3}") for i in range(40)], "doc_id long, text string")
+    model = kneser_ney.KneserNey(docs)
+    monkeypatch.setattr(SparkContext, "broadcast", refuse)
+    monkeypatch.setattr(DataFrame, "toArrow", refuse)
+    whole, dealt = ({r["doc_id"]: r["perplexity"] for r in kneser_ney.perplexities(docs, model, shard_entries=n).collect()} for n in (1_000, 6))
+    assert len(whole) == 40 and whole == pytest.approx(dealt)
+
+
 def test_kneser_ney_odd_rows(spark, odd):
     for labels in (spark.createDataFrame([(4, 1), (None, 1), (5, 0)], "doc_id long, quality int"), spark.createDataFrame([], "doc_id long, quality int")):
         rows = kneser_ney.classify(odd, labels).collect()
