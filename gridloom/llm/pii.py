@@ -41,13 +41,13 @@ _SURNAME = r"\p{Lu}[\p{L}'’\-]+"
 _NAMES = "|".join(" ".join(GIVEN.values()).split())
 _TITLE = "|".join(t.replace(".", r"\.") for g in TITLES.values() for t in g)
 _BEFORE = r"(?<![\p{L}\p{N}])"
-_KEYWORD = r'(?:pass(?:word|wd)|pwd|secret|token|api_?key)(?:=|: | = ")'
+_KEYWORD = r"""(?i:pass(?:word|wd)|pwd|secret|token|api[_\- ]?key)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?"""
 
 #: Type, pattern of a mention in a text, pattern of the mention alone (where it differs). The order is that of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
     "aws": _BEFORE + r"(?:AKIA|ASIA)[0-9A-Z]{12,}(?![\p{L}\p{N}])",
-    "secret": rf'(?<=[=" ])(?<={_KEYWORD})[A-Za-z0-9_\-+/=]{{6,}}|' + _BEFORE + r"(?:[0-9a-f]{32,}|sk-[A-Za-z0-9]{16,})(?![\p{L}\p{N}])",
+    "secret": rf"""(?<=[=:"' \t])(?<={_KEYWORD})[A-Za-z0-9_\-+/=]{{6,}}|""" + _BEFORE + r"(?:[0-9A-Fa-f]{32,}|sk-[A-Za-z0-9]{16,})(?![\p{L}\p{N}])",
     "iban": _BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
@@ -57,7 +57,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(PATTERNS.values())
 #: A text without a match of this has no entity.
-HINT = rf"[0-9@]|sk-|{_KEYWORD}|(?=\p{{Lu}}){_BEFORE}(?:{_TITLE}|{_NAMES}) \p{{Lu}}"
+HINT = rf"[0-9@]|sk-|AKIA|ASIA|[A-Fa-f]{{32}}|{_KEYWORD}|(?=\p{{Lu}}){_BEFORE}(?:{_TITLE}|{_NAMES}) \p{{Lu}}"
 
 NUMBERS = ("phone", "card", "ssn")
 MAX_DRAWS = 64
@@ -67,6 +67,7 @@ def kind_of(mention: Column) -> Column:
     """The type of a mention that ENTITY found."""
     tests = {
         "email": mention.contains("@"),
+        "secret": mention.rlike(r"^[0-9A-Fa-f]{32,}$"),
         "aws": mention.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{12,}$"),
         "ip": mention.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"),
         "ssn": mention.rlike(r"^\d{3}-\d{2}-\d{4}$"),
@@ -115,7 +116,14 @@ def _reshaped(mention: Column, stream: Column) -> Column:
 
 
 def _hex(mention: Column, stream: Column) -> Column:
-    return F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike(r"^[0-9a-f]$"), F.lower(F.conv((_byte(stream, i) % 16).cast("string"), 10, 16))).otherwise(c)), "")
+    """Other hexadecimal digits in the case of the mention; where it has both, in that of each letter."""
+    upper = mention.rlike("^[0-9A-F]*[A-F][0-9A-F]*$")
+
+    def draw(c: Column, i: Column) -> Column:
+        digit = F.conv((_byte(stream, i) % 16).cast("string"), 10, 16)
+        return F.when(upper | c.rlike("^[A-F]$"), F.upper(digit)).otherwise(F.lower(digit))
+
+    return F.array_join(F.transform(F.split(mention, ""), draw), "")
 
 
 def _into(mention: Column, new: Column, pattern: str = "^[0-9]$") -> Column:
@@ -218,7 +226,7 @@ def written(kind: Column, mention: Column, canonical: Column, draw: Column, stre
         "card": _into(mention, _luhn(_digits(canonical, stream, F.lit(1)))),
         "iban": _into(mention, F.concat(F.substring(canonical, 1, 2), _reshaped(F.substring(canonical, F.lit(3), F.length(canonical)), stream)), "^[0-9A-Z]$"),
     }
-    secret = F.when(mention.rlike(r"^[0-9a-f]+$"), _hex(mention, stream)).when(mention.startswith("sk-"), F.concat(F.lit("sk-"), _reshaped(F.substring(mention, F.lit(4), F.length(mention)), stream))).otherwise(_reshaped(mention, stream))
+    secret = F.when(mention.rlike(r"^[0-9A-Fa-f]+$"), _hex(mention, stream)).when(mention.startswith("sk-"), F.concat(F.lit("sk-"), _reshaped(F.substring(mention, F.lit(4), F.length(mention)), stream))).otherwise(_reshaped(mention, stream))
     name = F.when(mention.rlike(r"^\p{Lu}{2,}$"), F.upper(new_name)).otherwise(new_name)
     return reduce(lambda rest, x: F.when(kind == x[0], x[1]).otherwise(rest), reversed(cases.items()), F.when(kind == "title", mention).when(kind.startswith("name-"), name).otherwise(secret))
 
