@@ -1,9 +1,11 @@
 """Chat formatting over reply trees.
 
-Messages form trees by their parent. Self-joins double the known part of every
-message's way to its root, so a tree of depth d takes about log2(d) joins. Paths
-that end in a leaf are ranked by score, and each chosen one is written as one
-conversation with marks around its turns.
+Messages form trees by their parent. Self-joins double how far every message's
+pointer to an ancestor reaches, so a tree of depth d takes about log2(d) joins and
+no message carries more than one pointer. Leaves are ranked by the scores summed up
+on the way; the ancestors of the chosen ones alone are then gathered by the pointers
+of each length, and each is written as one conversation with marks around its turns.
+A conversation is one value in the end, so one long one meets in one task there.
 """
 
 from __future__ import annotations
@@ -28,31 +30,51 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(r"\\(.)"), F.lit("$1"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(tree_id, leaf, path, score): for each leaf the nodes from its root, and their summed score.
-
-    nodes has tree_id, node_id, parent_id, score. A node without a parent, with an
-    unknown parent or with itself as parent is a root. Of repeated (tree_id,
-    node_id) one row counts, the smallest. Nodes on a cycle or below one have no
-    root and no path. Null tree_id or node_id take no part.
-    """
+def _lifted(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree_id, leaf, score) of all leaves below a root; for each i, (tree_id, node_id, top) with the ancestor 2**i above."""
     own = nodes.select("tree_id", "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     own = own.where(F.col("tree_id").isNotNull() & F.col("node_id").isNotNull()).groupBy("tree_id", "node_id").agg(F.min(F.struct("parent_id", "score")).alias("m"))
     own = own.select("tree_id", "node_id", F.when(F.col("m.parent_id") != F.col("node_id"), F.col("m.parent_id")).alias("parent_id"), F.col("m.score").alias("score"))
     ids = own.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
     own = own.join(ids, ["tree_id", "parent_id"], "left").select("tree_id", "node_id", F.when(F.col("known"), F.col("parent_id")).alias("top"), "score")
-    parents = own.where(F.col("top").isNotNull()).select("tree_id", F.col("top").alias("node_id"))
-    leaves = own.join(parents, ["tree_id", "node_id"], "left_anti").select("tree_id", "node_id")
-    ways = checkpointed(own.withColumn("path", F.array("node_id")))
+    ways = first = checkpointed(own)
+    levels: list[DataFrame] = []
+    before = -1
     while True:
         open_ = ways.where(F.col("top").isNotNull())
-        if open_.isEmpty():
+        left = open_.count()
+        if left in (0, before):  # each round closes a node at least, but for those on a cycle or below one
             break
-        above = ways.select("tree_id", F.col("node_id").alias("top"), F.col("top").alias("next"), F.col("path").alias("head"), F.col("score").alias("more"))
-        longer = open_.join(above, ["tree_id", "top"]).where(~F.arrays_overlap("head", "path"))
-        longer = longer.select("tree_id", "node_id", F.col("next").alias("top"), (F.col("score") + F.col("more")).alias("score"), F.concat("head", "path").alias("path"))
-        ways = checkpointed(ways.where(F.col("top").isNull()).unionByName(longer))
-    return ways.join(leaves, ["tree_id", "node_id"], "left_semi").select("tree_id", F.col("node_id").alias("leaf"), "path", "score")
+        levels.append(open_.select("tree_id", "node_id", "top"))
+        above = ways.select("tree_id", F.col("node_id").alias("top"), F.col("top").alias("next"), F.col("score").alias("more"))
+        longer = open_.join(above, ["tree_id", "top"]).select("tree_id", "node_id", F.col("next").alias("top"), (F.col("score") + F.col("more")).alias("score"))
+        ways, before = checkpointed(ways.where(F.col("top").isNull()).unionByName(longer)), left
+    parents = first.where(F.col("top").isNotNull()).select("tree_id", F.col("top").alias("node_id"))
+    leaves = ways.where(F.col("top").isNull()).join(parents, ["tree_id", "node_id"], "left_anti")
+    return leaves.select("tree_id", F.col("node_id").alias("leaf"), "score"), levels
+
+
+def _ways(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """leaves with a row for each node_id from the root to the leaf; pos rises to 0 at the leaf."""
+    columns = leaves.columns
+    rows = leaves.withColumns({"node_id": F.col("leaf"), "pos": F.lit(0).cast("long")})
+    for i, level in reversed([*enumerate(levels)]):
+        here, up = F.struct("node_id", "pos"), F.struct(F.col("top").alias("node_id"), (F.col("pos") - 2**i).alias("pos"))
+        both = rows.join(level, ["tree_id", "node_id"], "left").withColumn("x", F.explode(F.when(F.col("top").isNull(), F.array(here)).otherwise(F.array(here, up))))
+        rows = both.select(*columns, "x.node_id", "x.pos")
+    return rows
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """(tree_id, leaf, path, score): for each leaf the nodes from its root, and their summed score.
+
+    nodes has tree_id, node_id, parent_id, score. A node without a parent, with an
+    unknown parent or with itself as parent is a root. Of repeated (tree_id,
+    node_id) one row counts, the smallest. Nodes on a cycle or below one have no
+    root and no path. Null tree_id or node_id take no part.
+    """
+    path = F.transform(F.sort_array(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"])
+    return _ways(*_lifted(nodes)).groupBy("tree_id", "leaf", "score").agg(path.alias("path")).select("tree_id", "leaf", "path", "score")
 
 
 def format_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -65,10 +87,11 @@ def format_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     Of repeated (tree_id, node_id) one row counts, the smallest; see paths().
     """
     by_score = Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf")
-    chosen = paths(nodes).withColumn("branch", F.row_number().over(by_score)).where(F.col("branch") <= branches)
+    leaves, levels = _lifted(nodes)
+    chosen = leaves.withColumn("branch", F.row_number().over(by_score)).where(F.col("branch") <= branches)
     words = nodes.select("tree_id", "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("own"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     words = words.groupBy("tree_id", "node_id").agg(F.min(F.struct("parent_id", "own", "role", "text")).alias("m")).select("tree_id", "node_id", "m.role", "m.text")
-    turns = chosen.select("tree_id", "branch", "leaf", "score", F.posexplode("path").alias("pos", "node_id")).join(words, ["tree_id", "node_id"])
+    turns = _ways(chosen, levels).join(words, ["tree_id", "node_id"])
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEPARATOR))
     turns = turns.select("tree_id", "branch", "leaf", "score", "pos", "role", head.alias("head"), escape(F.col("text")).alias("body"))
     turns = turns.withColumn("turn", F.concat("head", "body", F.lit(END)))

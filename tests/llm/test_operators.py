@@ -287,6 +287,15 @@ def test_reply_trees_rank_branches(spark):
     assert chat.format_paths(empty(tree)).count() == 0
 
 
+def test_reply_trees_carry_no_ancestors(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(chat, "checkpointed", lambda df, own=chat.checkpointed: kept.append(dict(df.dtypes)) or own(df))
+    talk = spark.range(700).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    rows = chat.format_paths(chat.as_chains(talk)).collect()
+    assert kept and not [t for x in kept for t in x.values() if t.startswith("array")]
+    assert len(rows) == 1 and re.findall(r"<\|im_sep\|>(\d+)", rows[0]["formatted"]) == [str(i) for i in range(700)]
+
+
 # 9: Kneser-Ney.
 
 
