@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct hashed n-grams of its lower-case characters.
-For each feature the log ratio of its (smoothed) document counts in the two
-classes is its value; a logistic regression is fitted over these values.
+A text's features are the hashed n-grams of its lower-case characters. The value of
+a feature is the log ratio of its (smoothed) document counts in the two classes,
+times log2(1 + how often the text has it); a logistic regression is fitted over
+these values.
 """
 
 from __future__ import annotations
@@ -120,8 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features
     def vectors(batches):
         where, value = shared.value
         for _, texts, marks in _texts(batches, "text", "label"):
-            held = [(lambda x: np.unique(x[x >= 0]))(where[ngram_ids(t)]) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in held], pa.list_(pa.int32())), pa.array([value[x].tolist() for x in held], pa.list_(pa.float64())), pa.array(marks, pa.float64())], names=["at", "value", "label"])
+            held = [(lambda x: np.unique(x[x >= 0], return_counts=True))(where[ngram_ids(t)]) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x, _ in held], pa.list_(pa.int32())), pa.array([(value[x] * np.log2(1 + n)).tolist() for x, n in held], pa.list_(pa.float64())), pa.array(marks, pa.float64())], names=["at", "value", "label"])
 
     n_features = len(features)
     vector = F.udf(lambda at, value: SparseVector(n_features, at, value), VectorUDT())
@@ -147,7 +148,8 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
             total = np.zeros(len(texts))
             for i, t in enumerate(texts):
                 ids = ngram_ids(t)
-                total[i] = m.weights[np.unique(ids[used[ids]])].sum(dtype=np.float64)
+                found, times = np.unique(ids[used[ids]], return_counts=True)
+                total[i] = (m.weights[found] * np.log2(1 + times)).sum(dtype=np.float64)
             scores = 1 / (1 + np.exp(-np.clip(total + m.intercept, -500, 500))) if m.constant is None else np.full(len(texts), m.constant)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, out])
 

@@ -152,6 +152,14 @@ def test_toxicity_learns_from_the_training_fold_only(spark):
     assert all((r["score"] >= 0.5) == (r["toxic"] == 1) for r in rows)
 
 
+def test_toxicity_tells_texts_apart_by_how_often_a_word_occurs(spark):
+    texts = ["a plain line of words" + (" wretch" * (8 if i % 2 else 2) if i % 8 else "") for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").collect()
+    assert all((r["score"] >= 0.5) == (r["toxic"] == 1) for r in rows)
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (6, None)], "doc_id long, toxic int")
     for own in (labels, empty(labels)):
