@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SILENCE = 0.012
 
@@ -65,15 +67,21 @@ def holds_fragment(reason: Column, runes: Column, ends: Column, held_ms: Column,
 
 def smooth(levels: DataFrame, release: float = 0.8) -> DataFrame:
     """(session, ord, level, shown): rises at once, falls by the release share; folded over a session in order."""
-    items = levels.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("ord", "level"))).alias("items"))
-    start = F.array().cast("array<double>")
-
-    def step(out: Column, x: Column) -> Column:
-        last = F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0.0))
-        return F.concat(out, F.array(F.when(x["level"] >= last, x["level"]).otherwise(last * release + x["level"] * (1 - release))))
-
-    rows = items.select("session", F.explode(F.arrays_zip("items", F.aggregate("items", start, step).alias("shown"))).alias("z"))
-    return rows.select("session", F.col("z.items.ord").alias("ord"), F.col("z.items.level").alias("level"), F.col("z.shown").alias("shown"))
+    rows = levels.select("session", "ord", F.col("level").cast("double").alias("level"))
+
+    def run(batches):
+        session, shown = None, 0.0  # all that is carried from one batch to the next
+        for batch in batches:
+            out = []
+            for own, level in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if own != session:
+                    session, shown = own, 0.0
+                last = 0.0 if shown is None else shown
+                shown = None if level is None else level if level >= last or level != level else last * release + level * (1 - release)
+                out.append(shown)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "shown"])
+
+    return rows.repartition("session").sortWithinPartitions("session", "ord").mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("shown", T.DoubleType())]))
 
 
 def rate(samples: DataFrame) -> DataFrame:
