@@ -1,9 +1,11 @@
 """HTML extraction: flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at block-level tags. A block is described by its own
-words and link density, those of its two neighbours, and by where it stands. The
-tree is trained on the labelled blocks below and then evaluated by Spark as one
-conditional expression.
+words and link density, those of its two neighbours, and by where it stands: in a
+named article or beside one, in a part that its tag or its name tells to be no
+article, and what share of the page such a named part holds. The tree is trained on
+the blocks of small pages whose article is known (html_pages), and then evaluated by
+Spark as one conditional expression.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.llm import html_pages
 from gridloom.llm.common import free_name
 
 #: Elements whose content is never text of the page.
@@ -41,74 +45,58 @@ CHROME_WORDS = {
 MAIN_WORDS = {"article", "content", "entry", "main", "post", "story", "text"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_STATE = re.compile(r"(?:has|have|with|without|no|not|is|js)(?:[-_]|(?=[A-Z]))")
 _END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 
 BLOCK = T.StructType([
     T.StructField("text", T.StringType(), False), T.StructField("words", T.IntegerType(), False), T.StructField("link", T.DoubleType(), False),
-    T.StructField("main", T.IntegerType(), False), T.StructField("chrome", T.IntegerType(), False), T.StructField("heading", T.IntegerType(), False),
+    T.StructField("place", T.IntegerType(), False), T.StructField("heading", T.IntegerType(), False), T.StructField("share", T.DoubleType(), False),
 ])
-FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "main", "chrome", "heading")
-
-#: Labelled blocks: FEATURES in their order, then 1 for text of the article.
-LABELLED = [
-    # Running text inside the article, long and short, between text and beside other parts.
-    (85, 0.00, 60, 0.00, 74, 0.00, 1, 0, 0, 1), (42, 0.05, 12, 0.00, 90, 0.00, 1, 0, 0, 1), (18, 0.00, 77, 0.00, 33, 0.02, 1, 0, 0, 1), (5, 0.00, 64, 0.00, 58, 0.00, 1, 0, 0, 1),
-    (1, 0.00, 120, 0.00, 40, 0.00, 1, 0, 0, 1), (2, 0.00, 3, 0.00, 1, 0.00, 1, 0, 0, 1), (3, 0.00, 9, 0.00, 14, 0.40, 1, 0, 0, 1), (64, 0.20, 30, 0.00, 2, 1.00, 1, 0, 0, 1),
-    (25, 0.40, 51, 0.00, 38, 0.00, 1, 0, 0, 1), (9, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0, 1), (7, 0.00, 40, 0.00, 12, 0.10, 1, 0, 0, 1), (30, 0.00, 1, 1.00, 25, 0.00, 1, 0, 0, 1),
-    (12, 1.00, 70, 0.00, 66, 0.00, 1, 0, 0, 1), (4, 1.00, 35, 0.00, 80, 0.00, 1, 0, 0, 1), (150, 0.01, 200, 0.00, 110, 0.03, 1, 0, 0, 1), (1, 0.00, 1, 0.00, 1, 0.00, 1, 0, 0, 1),
-    # Headings of the article.
-    (11, 0.00, 13, 0.00, 80, 0.00, 1, 0, 1, 1), (3, 0.00, 60, 0.00, 55, 0.00, 1, 0, 1, 1), (1, 0.00, 44, 0.00, 9, 0.00, 1, 0, 1, 1), (9, 1.00, 5, 1.00, 70, 0.00, 1, 0, 1, 1), (8, 0.00, 0, 0.00, 0, 0.00, 1, 0, 1, 1),
-    (10, 0.00, 1, 1.00, 40, 0.00, 1, 1, 1, 0), (3, 0.00, 50, 0.00, 22, 0.10, 1, 1, 1, 0),
-    # Comments, sharing, related links, notices and author boxes inside the article's element.
-    (24, 0.10, 80, 0.00, 31, 0.10, 1, 1, 0, 0), (60, 0.00, 2, 1.00, 45, 0.00, 1, 1, 0, 0), (2, 1.00, 90, 0.00, 2, 1.00, 1, 1, 0, 0), (6, 0.90, 7, 0.90, 5, 1.00, 1, 1, 0, 0), (15, 0.00, 70, 0.00, 70, 0.00, 1, 1, 0, 0),
-    (1, 0.00, 30, 0.00, 1, 0.00, 1, 1, 0, 0), (110, 0.02, 20, 0.00, 4, 0.50, 1, 1, 0, 0), (9, 0.30, 12, 0.00, 44, 0.00, 1, 1, 0, 0),
-    # Menus, headers, footers, sidebars, adverts and forms outside it.
-    (1, 1.00, 1, 1.00, 1, 1.00, -1, 1, 0, 0), (2, 1.00, 1, 1.00, 3, 1.00, -1, 1, 0, 0), (4, 0.00, 2, 1.00, 11, 0.00, -1, 1, 0, 0), (13, 0.00, 1, 1.00, 10, 0.00, -1, 1, 0, 0), (17, 0.00, 95, 0.00, 0, 0.00, -1, 1, 0, 0),
-    (35, 0.10, 88, 0.00, 6, 1.00, -1, 1, 0, 0), (52, 0.00, 9, 0.00, 31, 0.00, -1, 1, 0, 0), (90, 0.00, 3, 0.60, 12, 0.00, -1, 1, 0, 0), (6, 0.00, 0, 0.00, 40, 0.00, -1, 1, 1, 0), (3, 0.50, 20, 0.10, 2, 1.00, -1, 1, 1, 0), (140, 0.00, 60, 0.00, 8, 0.20, -1, 1, 0, 0),
-    (6, 0.10, 3, 1.00, 20, 0.00, 0, 1, 0, 0), (70, 0.00, 50, 0.00, 45, 0.00, 0, 1, 0, 0), (2, 1.00, 1, 1.00, 2, 1.00, 0, 1, 0, 0), (9, 0.00, 40, 0.00, 0, 0.00, 0, 1, 1, 0),
-    # Unnamed parts outside the article of a page that names one.
-    (40, 0.00, 2, 1.00, 60, 0.00, -1, 0, 0, 0), (90, 0.00, 70, 0.00, 1, 1.00, -1, 0, 0, 0), (3, 1.00, 2, 1.00, 4, 1.00, -1, 0, 0, 0), (12, 0.00, 100, 0.00, 5, 0.00, -1, 0, 1, 0), (5, 0.00, 0, 0.00, 9, 0.00, -1, 0, 0, 0), (25, 0.20, 44, 0.00, 0, 0.00, -1, 0, 0, 0),
-    # Pages that name no article: length and links of a block and its neighbours decide.
-    (45, 0.00, 38, 0.00, 52, 0.00, 0, 0, 0, 1), (80, 0.10, 4, 0.00, 35, 0.00, 0, 0, 0, 1), (28, 0.05, 60, 0.00, 70, 0.00, 0, 0, 0, 1), (20, 0.00, 33, 0.00, 2, 1.00, 0, 0, 0, 1), (12, 0.00, 55, 0.00, 48, 0.00, 0, 0, 0, 1), (120, 0.02, 1, 1.00, 3, 1.00, 0, 0, 0, 1),
-    (6, 0.00, 40, 0.00, 62, 0.00, 0, 0, 0, 1), (17, 0.00, 8, 0.00, 90, 0.00, 0, 0, 0, 1), (3, 0.00, 30, 0.00, 41, 0.00, 0, 0, 0, 1), (8, 0.00, 2, 1.00, 75, 0.00, 0, 0, 1, 1), (4, 0.00, 50, 0.00, 66, 0.00, 0, 0, 1, 1), (12, 0.00, 6, 0.00, 42, 0.00, 0, 0, 1, 1),
-    (2, 1.00, 2, 1.00, 1, 1.00, 0, 0, 0, 0), (5, 1.00, 60, 0.00, 4, 1.00, 0, 0, 0, 0), (9, 0.80, 7, 0.90, 12, 0.70, 0, 0, 0, 0), (30, 0.90, 28, 0.90, 25, 0.80, 0, 0, 0, 0), (3, 0.00, 2, 1.00, 2, 1.00, 0, 0, 0, 0), (4, 0.00, 1, 1.00, 5, 0.00, 0, 0, 0, 0),
-    (6, 0.00, 3, 0.50, 0, 0.00, 0, 0, 0, 0), (8, 0.30, 4, 0.00, 2, 1.00, 0, 0, 0, 0), (1, 0.00, 3, 0.00, 2, 0.00, 0, 0, 0, 0), (14, 0.60, 40, 0.00, 3, 1.00, 0, 0, 0, 0), (22, 0.55, 3, 1.00, 4, 1.00, 0, 0, 0, 0), (3, 0.00, 4, 1.00, 4, 1.00, 0, 0, 1, 0), (2, 0.00, 9, 0.70, 8, 0.80, 0, 0, 1, 0),
-]
-
-
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element names the article, and whether it names a part beside it."""
-    chrome, main = tag in CHROME_TAGS, tag in MAIN_TAGS
+#: A menu, footer and the like, by tag or role, or by name on a page with a named article; outside that article; in a
+#: part that a name alone tells to be beside the article, where none is named; no name at all; inside the named article.
+BESIDE, OUTSIDE, NAMED_BESIDE, UNNAMED, INSIDE = range(5)
+FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "place", "heading", "share")
+
+
+def _marks(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element names the article; 2 if its tag or role says that it stands beside it, 1 if a class or id does.
+
+    Names such as has-sidebar tell the state of a page, not what the element is.
+    """
+    chrome, main = 2 * (tag in CHROME_TAGS), tag in MAIN_TAGS
     if attributes and tag not in ("body", "main"):
         for name, *value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), entities.unescape("".join(value))
             if name == "role":
-                chrome |= value.lower() in CHROME_ROLES
+                chrome = max(chrome, 2 * (value.lower() in CHROME_ROLES))
                 main |= value.lower() in MAIN_TAGS
             elif name in ("class", "id"):
-                words = {w.lower() for w in _NAME_PART.findall(value)}
-                chrome |= bool(words & CHROME_WORDS)
+                words = {w.lower() for part in value.split() if not _STATE.match(part) for w in _NAME_PART.findall(part)}
+                chrome = max(chrome, int(bool(words & CHROME_WORDS)))
                 main |= bool(words & MAIN_WORDS) and not words & CHROME_WORDS
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                chrome = True
+                chrome = 2
     return main, chrome
 
 
-def blocks(page: str | None) -> list[tuple[str, int, float, int, int, int]]:
+def blocks(page: str | None) -> list[tuple[str, int, float, int, int, float]]:
     """The text blocks of a page in order, as BLOCK has them; none for null or empty pages.
 
     Character references are decoded and blanks inside a block become one space.
-    main is 1 inside the article, -1 outside it, and 0 all over a page that names none.
-    End tags without a start, and starts without an end, are tolerated.
+    place rises with what speaks for an article: BESIDE, OUTSIDE, NAMED_BESIDE,
+    UNNAMED, INSIDE. share is the part of the page's words that the outermost element
+    around the block holds which _marks() takes for no article. End tags without a
+    start, and starts without an end, are tolerated.
     """
-    found: list[tuple[str, int, float, int, int, int]] = []
+    found: list[tuple[str, int, float, int, int, int, int]] = []
     if not page:
-        return found
-    # Tag, in the article, beside it (2: in a header of the article, whose headings are its own), silent.
-    stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+        return []
+    # Tag, in the article, beside it, number of the part beside it, whether that is a header of the article (whose headings are its own), silent.
+    stack: list[tuple[str, bool, int, int, bool, bool]] = [("", False, 0, 0, False, False)]
+    part_words = [0]
     pieces: list[str] = []
     linked: list[str] = []
     in_link = heading = 0
@@ -120,12 +108,14 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int, int, int]]:
         if text:
             n = text.count(" ") + 1
             link = sum(len(x.split()) for x in linked)
-            found.append((text, n, min(1.0, link / n), int(stack[-1][1]), int(stack[-1][2] == 1 or stack[-1][2] == 2 and not heading), int(heading)))
+            _, in_main, in_chrome, part, own_head, _ = stack[-1]
+            part_words[part] += n
+            found.append((text, n, min(1.0, link / n), int(in_main), 0 if own_head and heading else in_chrome, int(heading), part))
         pieces.clear()
         linked.clear()
 
     def say(raw: str) -> None:
-        if raw and not stack[-1][3]:
+        if raw and not stack[-1][5]:
             text = entities.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if in_link:
@@ -167,16 +157,23 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int, int, int]]:
                         break
             elif not attributes.endswith("/"):
                 main, chrome = _marks(tag, attributes)
-                _, in_main, in_chrome, silent = stack[-1]
+                _, in_main, in_chrome, part, own_head, silent = stack[-1]
                 if tag == "main":
-                    in_chrome = 0
+                    in_chrome, part, own_head = 0, 0, False
                 elif chrome and not in_chrome:
-                    in_chrome = 2 if tag == "header" and in_main else 1
-                stack.append((tag, in_main or main and not in_chrome, in_chrome, silent or tag in SILENT))
+                    part_words.append(0)
+                    part, own_head = len(part_words) - 1, tag == "header" and in_main
+                in_chrome = max(in_chrome, chrome) if tag != "main" else 0
+                stack.append((tag, in_main or main and not in_chrome, in_chrome, part, own_head, silent or tag in SILENT))
     flush()
-    if any(b[3] for b in found):
-        found = [b if b[3] else (*b[:3], -1, *b[4:]) for b in found]
-    return found
+    named, total = any(b[3] for b in found), sum(b[1] for b in found)
+
+    def place(main: int, chrome: int) -> int:
+        if chrome == 2 or chrome and named:
+            return BESIDE
+        return INSIDE if main else OUTSIDE if named else NAMED_BESIDE if chrome else UNNAMED
+
+    return [(*b[:3], place(b[3], b[4]), b[5], part_words[b[6]] / total if b[6] else 0.0) for b in found]
 
 
 def page_blocks(pages: DataFrame, html: str = "html", out: str = "blocks") -> DataFrame:
@@ -184,7 +181,7 @@ def page_blocks(pages: DataFrame, html: str = "html", out: str = "blocks") -> Da
     pages = pages.drop(out)
     carried = [c for c in pages.columns if c != html]
     kind = T.ArrayType(BLOCK, False)
-    struct = pa.struct([("text", pa.string()), ("words", pa.int32()), ("link", pa.float64()), ("main", pa.int32()), ("chrome", pa.int32()), ("heading", pa.int32())])
+    struct = pa.struct([("text", pa.string()), ("words", pa.int32()), ("link", pa.float64()), ("place", pa.int32()), ("heading", pa.int32()), ("share", pa.float64())])
     names = [f.name for f in struct]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +195,21 @@ def page_blocks(pages: DataFrame, html: str = "html", out: str = "blocks") -> Da
     return pages.mapInArrow(run, T.StructType([*(pages.schema[c] for c in carried), T.StructField(out, kind)]))
 
 
-def train_tree(spark: SparkSession, labelled: list[tuple] = LABELLED, max_depth: int = 6):
-    rows = spark.createDataFrame([tuple(float(x) for x in r) for r in labelled], [*FEATURES, "label"]).coalesce(1)
+def labelled_blocks() -> pd.DataFrame:
+    """FEATURES and label, 1 for text of the article, of every block of the labelled pages."""
+    rows = []
+    for page in html_pages.pages():
+        found = blocks(page)
+        sizes = [(0.0, 0.0), *[(float(b[1]), b[2]) for b in found], (0.0, 0.0)]
+        for i, (text, n, link, place, heading, share) in enumerate(found):
+            rows.append((n, link, *sizes[i], *sizes[i + 2], place, heading, share, text.startswith(html_pages.MARK)))
+    return pd.DataFrame(rows, columns=[*FEATURES, "label"]).astype(float)
+
+
+def train_tree(spark: SparkSession, labelled: pd.DataFrame | None = None, max_depth: int = 12):
+    rows = spark.createDataFrame(labelled_blocks() if labelled is None else labelled).coalesce(1)
     prepared = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    return DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=1, seed=7).fit(prepared)
+    return DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=2, maxBins=128, seed=7).fit(prepared)
 
 
 def tree_expression(model, features: dict[str, Column]) -> Column:
@@ -223,7 +231,7 @@ def main_text(blocks_: Column, model) -> Column:
     def keep(block: Column, i: Column) -> Column:
         before, after = F.get(blocks_, i - 1), F.get(blocks_, i + 1)
         neighbour = lambda b, name: F.coalesce(b[name].cast("double"), F.lit(0.0))
-        features = {n: block[n] for n in ("words", "link", "main", "chrome", "heading")}
+        features = {n: block[n] for n in ("words", "link", "place", "heading", "share")}
         features |= {"words_before": neighbour(before, "words"), "link_before": neighbour(before, "link"), "words_after": neighbour(after, "words"), "link_after": neighbour(after, "link")}
         return tree_expression(model, features) == 1.0
 
