@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-BITS = 24
+#: Length of a hash string.
+BITS = 48
 #: Distinct rows of a shard that a query meets at least, or all if there are fewer.
 LEAST_MET = 1_024
 
@@ -32,13 +33,21 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.coalesce(fine, F.lit(False)))
 
 
-def lift(vectors: np.ndarray, longest: float, query: bool) -> np.ndarray:
-    """One more component, so that the largest inner product is the smallest angle."""
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
-    if query:
-        return np.hstack([vectors / np.maximum(norms, 1e-300)[:, None], np.zeros((len(vectors), 1))])
-    scaled = vectors / longest
-    return np.hstack([scaled, np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))[:, None]])
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """The vectors at length 1; their largest component goes to 1 first, so squares don't overflow."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+
+
+def shrunk(vectors: np.ndarray) -> np.ndarray:
+    """The vectors by one common factor, so that the longest has length 1."""
+    vectors = vectors / np.abs(vectors).max()
+    return vectors / np.sqrt((vectors * vectors).sum(axis=1).max())
+
+
+def lift(short: np.ndarray) -> np.ndarray:
+    """One more component that makes each length 1, so that the largest inner product is the smallest angle."""
+    return np.hstack([short, np.sqrt(np.maximum(0.0, 1.0 - (short * short).sum(axis=1)))[:, None]])
 
 
 def hash_strings(lifted: np.ndarray, planes: np.ndarray) -> np.ndarray:
@@ -51,7 +60,7 @@ def hash_strings(lifted: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, longest: float, k: int, trees: int, share: float, seed: int) -> Iterator[tuple]:
+def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, trees: int, share: float, seed: int) -> Iterator[tuple]:
     """(query_id, id, score) of the k best rows that the forest of one shard meets for each query.
 
     Equal rows are one entry of the trees, so many copies don't crowd out others.
@@ -62,10 +71,11 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     by_entry = np.argsort(entry_of.ravel(), kind="stable")
     starts = np.searchsorted(entry_of.ravel()[by_entry], np.arange(len(entries) + 1))
     planes = np.random.default_rng(seed).normal(size=(rows.shape[1] + 1, trees * BITS))
-    strings = hash_strings(lift(entries, longest, False), planes)
+    short, directions = shrunk(entries), unit(queries)
+    strings = hash_strings(lift(short), planes)
     places = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
     ordered = np.take_along_axis(strings, places, axis=1)
-    wanted = hash_strings(lift(queries, longest, True), planes)
+    wanted = hash_strings(np.hstack([directions, np.zeros((len(queries), 1))]), planes)
     enough = max(LEAST_MET, int(share * len(entries)))
 
     def ranges(q: int | slice, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +100,9 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
             break
         depths[deep], low[:, deep], high[:, deep] = depth, lo[:, deep], hi[:, deep]
     met = np.zeros(len(entries), bool)
-    coarse, coarse_queries = entries.astype(np.float32), queries.astype(np.float32)
-    slack = 1e-5 * longest * np.sqrt((queries * queries).sum(axis=1))
+    # First scores in single precision, of vectors of length 1 at most; twice the bound of their rounding errors is let through.
+    coarse, coarse_queries = short.astype(np.float32), directions.astype(np.float32)
+    slack = 4 * (rows.shape[1] + 4) * float(np.finfo(np.float32).eps)
     for q in range(len(queries)):
         lo, hi = low[:, q], high[:, q]
         for depth in range(depths[q], -1, -1):  # ascend in all trees at once
@@ -108,7 +119,7 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
         if len(found) > k + 1:
             rough = coarse.take(found, axis=0) @ coarse_queries[q]
             edge = -np.partition(-rough, k)[k]  # one more than k: the query's own row may be among them
-            found = found[rough >= edge - slack[q]]
+            found = found[rough >= edge - slack]
         scores = (entries[found] * queries[q]).sum(axis=1)  # the same sum for equal rows, wherever they are
         for entry, value in zip(found, scores):
             held = ids[by_entry[starts[entry] : starts[entry + 1]]]
@@ -121,37 +132,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     """(query_id, rank, <key>, score): up to k rows with the largest inner product for each query.
 
     vectors and queries have key and vector. A query never gets rows with its own
-    key. Rows and queries whose vector is null, zero or of another width than the
-    first query's, or holds a null or non-finite component, take no part; nor do
-    null keys. Ties go to the smaller key. A repeated key in queries counts once
-    (its smallest vector); in vectors, each row counts. share is the part
-    of a shard's distinct rows that a query meets at least, with a floor of LEAST_MET.
-    Without rows or queries the result is empty.
+    key, and meets rows of its own width only. Rows and queries whose vector is null
+    or zero, or holds a null or non-finite component, take no part; nor do null keys.
+    Ties go to the smaller key. A repeated key in queries counts once (its smallest
+    vector); in vectors, each row counts. share is the part of a shard's distinct
+    rows that a query meets at least, with a floor of LEAST_MET. Without rows or
+    queries the result is empty.
     """
-    spark = vectors.sparkSession
     asked = usable(queries, key, vector).groupBy("id").agg(F.min("v").alias("v"))
     rows = usable(vectors, key, vector)
-    width = asked.select(F.min(F.size("v"))).first()[0]
     out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
-    if width is None:
-        return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
-    asked, rows = asked.where(F.size("v") == width), rows.where(F.size("v") == width)
-    total, longest = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    n_asked = asked.count()
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-n_asked // query_rows))
+    shards, blocks = max(1, -(-rows.count() // shard_rows)), max(1, -(-asked.count() // query_rows))
+    width = F.size("v").alias("width")
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
-    left = rows.select("id", "v", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = asked.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"))
-    longest = float(longest or 1.0)
+    left = rows.select("id", "v", width, shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = asked.select("id", "v", width, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        found = search_shard(a["id"].to_numpy(), np.stack(a["v"]), b["id"].to_numpy(), np.stack(b["v"]), longest, k, trees, share, seed)
+        found = search_shard(a["id"].to_numpy(), np.stack(a["v"]), b["id"].to_numpy(), np.stack(b["v"]), k, trees, share, seed)
         return pd.DataFrame(found, columns=["query_id", "id", "score"])
 
-    met = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, out)
+    met = left.groupBy("shard", "block", "width").cogroup(right.groupBy("shard", "block", "width")).applyInPandas(meet, out)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")

@@ -62,12 +62,38 @@ def test_forest_recall_where_not_all_are_met():
     vectors /= np.linalg.norm(vectors, axis=1)[:, None]
     ids, asked = np.arange(8_000), np.arange(0, 8_000, 160)
     found: dict[int, set] = {}
-    for q, i, _ in forest.search_shard(ids, vectors, asked, vectors[asked], 1.0, 20, 160, 0.3, 11):
+    for q, i, _ in forest.search_shard(ids, vectors, asked, vectors[asked], 20, 160, 0.3, 11):
         found.setdefault(q, set()).add(i)
     hits = [len(found[q] & {i for i, _ in brute_nearest(ids, vectors, q, 20)}) for q in asked]
     assert np.mean(hits) / 20 >= 0.9
 
 
+def test_forest_recall_over_several_shards(spark):
+    """Vectors of many lengths, in three shards that are not met in full; one query of another width takes nothing away."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(9_000, 24)) * rng.uniform(0.5, 2, size=(9_000, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(9_000, [1.0]), (9_001, [2.0])]
+    table_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict[int, list] = {}
+    for r in forest.nearest(table_, table_.where("vec_id % 300 = 0"), shard_rows=3_001, share=0.4).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got.pop(9_000) == [9_001] and len(got) == 30
+    hits = [len({i for i, _ in brute_nearest(np.arange(9_000), vectors, q, 20)} & set(found)) for q, found in got.items()]
+    assert np.mean(hits) / 20 >= 0.9
+
+
+def test_forest_first_scores_lose_no_row():
+    """Components near the limits of floats, wide vectors, and scores that differ by less than single precision tells."""
+    rng = np.random.default_rng(7)
+    for scale, width in ((1e150, 16), (1e-150, 16), (1.0, 1_500)):
+        base = rng.normal(size=width)
+        vectors = (base + 1e-9 * rng.normal(size=(400, width))) * scale
+        found = [(i, s) for _, i, s in forest.search_shard(np.arange(400), vectors, np.array([0]), vectors[:1], 20, 8, 0.3, 11)]
+        best = sorted(found, key=lambda x: (-x[1], x[0]))[:20]
+        assert [i for i, _ in best] == [i for i, _ in brute_nearest(np.arange(400), vectors, 0, 20)] or scale != 1.0
+        assert np.allclose([s for _, s in best], [s for _, s in brute_nearest(np.arange(400), vectors, 0, 20)], rtol=1e-12, atol=0)
+
+
 def test_forest_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (None, [1.0, 1.0]), (8, [1.0, 1.0, 1.0]), (9, [-1.0, 0.5])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("mine"))
