@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,22 +20,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which all executors share; below the warehouse in local mode, where it may be unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files that every executor can read.
+    """Cut the lineage with files in shared_folder().
 
-    The folder is the session's spark.checkpoint.dir; where that is unset, as in
-    tests, a folder below the warehouse is used.
+    Spark deletes them when the result is no longer referred to only where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set; else they stay.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        )
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in shared_folder(), read again; the table stays there, as checkpoints do."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -13,16 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import checkpointed, code_points, free_name, held_out, powers
+from gridloom.llm.common import checkpointed, code_points, free_name, held_out, powers, written
 
 SIZES = (3, 4, 5, 6)
 HASH_BITS = 20
+#: Files that the bounded sample's vectors are written to.
+PARTS = 6
 
 
 @dataclass(frozen=True)
@@ -89,47 +89,110 @@ def _class_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "feature int, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features: int = 8_192, min_documents: int = 3, smoothing: float = 1.0, strength: float = 1e-4) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000, smoothing: float = 300.0, strength: float = 1e-4) -> ToxicityModel:
     """Learn from the labelled documents outside the held-out fold.
 
-    max_rows bounds the sample of labelled rows, max_features the features kept:
-    those whose class counts differ most (by log-likelihood ratio) among all
-    n-grams held by min_documents or more. Both bounds hold at every input size.
+    max_rows bounds the sample of labelled rows at every input size. All hashed
+    n-grams of the sample are features, none is left out; smoothing, the weight of
+    the rate over both classes in that of each, keeps rare ones near a ratio of 1.
+    Without rows of both classes, an empty table too, the model is a constant.
     """
     rows = checkpointed(training_rows(docs, labels, max_rows))
     sizes = {r["label"] > 0: r["count"] for r in rows.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
-    weights = np.zeros(1 << HASH_BITS, np.float32)
     if not n_toxic or not n_clean:
-        return ToxicityModel(weights, 0.0, 1.0 if n_toxic else 0.0)
-    a, b = F.col("toxic"), F.col("clean")
-    seen = a + b
+        return ToxicityModel(np.zeros(1 << HASH_BITS, np.float32), 0.0, 1.0 if n_toxic else 0.0)
+    counts = _class_counts(rows).toArrow()  # at most one row for each hash
+    seen = np.asarray(counts["feature"])
     share = n_toxic / (n_toxic + n_clean)
-    gain = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    scored = _class_counts(rows).where(seen >= min_documents).withColumn("gain", gain(a, seen * share) + gain(b, seen * (1 - share)))
-    kept = scored.orderBy(F.desc("gain"), "feature").limit(max_features).collect()
-    if not kept:
-        return ToxicityModel(weights, 0.0, n_toxic / (n_toxic + n_clean))
-    features = np.array([r["feature"] for r in kept])
-    p = (np.array([r["toxic"] for r in kept]) + smoothing) / (n_toxic + 2 * smoothing)
-    q = (np.array([r["clean"] for r in kept]) + smoothing) / (n_clean + 2 * smoothing)
-    ratios = np.log(p / q)
-    place = np.full(1 << HASH_BITS, -1, np.int32)
-    place[features] = np.arange(len(features))
-    shared = docs.sparkSession.sparkContext.broadcast((place, ratios))
+    p = (np.asarray(counts["toxic"]) + smoothing * share) / n_toxic
+    q = (np.asarray(counts["clean"]) + smoothing * (1 - share)) / n_clean
+    ratios = np.zeros(1 << HASH_BITS, np.float32)
+    ratios[seen] = np.log(p / q)
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def vectors(batches):
-        where, value = shared.value
         for _, texts, marks in _texts(batches, "text", "label"):
-            held = [(lambda x: np.unique(x[x >= 0], return_counts=True))(where[ngram_ids(t)]) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x, _ in held], pa.list_(pa.int32())), pa.array([(value[x] * np.log2(1 + n)).tolist() for x, n in held], pa.list_(pa.float64())), pa.array(marks, pa.float64())], names=["at", "value", "label"])
-
-    n_features = len(features)
-    vector = F.udf(lambda at, value: SparseVector(n_features, at, value), VectorUDT())
-    prepared = checkpointed(rows.mapInArrow(vectors, "at array<int>, value array<double>, label double"))
-    model = LogisticRegression(regParam=strength, maxIter=40, standardization=False).fit(prepared.select(vector("at", "value").alias("features"), "label"))
-    weights[features] = model.coefficients.toArray() * ratios
-    return ToxicityModel(weights, float(model.intercept))
+            held = [np.unique(ngram_ids(t), return_counts=True) for t in texts]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in held])]).astype(np.int32))
+            at, times = (np.concatenate(x) for x in zip(*held))
+            values = shared.value[at] * np.log2(1 + times).astype(np.float32)
+            columns = [pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(marks, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["at", "value", "label"])
+
+    prepared = written(rows.mapInArrow(vectors, "at array<int>, value array<float>, label double").coalesce(PARTS))
+    weights, intercept = logistic(prepared, n_toxic + n_clean, float(np.log(share / (1 - share))), strength)
+    return ToxicityModel((weights * ratios).astype(np.float32), intercept)
+
+
+def _slopes(rows: DataFrame, point: np.ndarray) -> tuple[float, np.ndarray]:
+    """Summed logistic loss of the rows at a point (weights, then the intercept), and its gradient.
+
+    Every task sums up its own rows; at most PARTS sums, 4 MB each, reach the driver.
+    """
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast(point)
+
+    def run(batches):
+        w = shared.value
+        slope, loss = np.zeros(len(w)), 0.0
+        for batch in batches:
+            at, value, label = (batch.column(i) for i in range(3))
+            sizes = np.diff(np.asarray(at.offsets))
+            where, values, marks = np.asarray(at.flatten()), np.asarray(value.flatten()).astype(np.float64), np.asarray(label)
+            row = np.repeat(np.arange(len(marks)), sizes)
+            z = np.bincount(row, values * w[where], minlength=len(marks)) + w[-1]
+            loss += float((np.logaddexp(0, z) - marks * z).sum())
+            miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - marks
+            slope[:-1] += np.bincount(where, values * miss[row], minlength=len(w) - 1)
+            slope[-1] += miss.sum()
+        yield pa.RecordBatch.from_pydict({"loss": [loss], "slope": [slope.astype(np.float32).tobytes()]})
+
+    parts = rows.mapInArrow(run, "loss double, slope binary").collect()
+    shared.destroy()
+    return sum(r["loss"] for r in parts), sum((np.frombuffer(r["slope"], np.float32).astype(np.float64) for r in parts), np.zeros(len(point)))
+
+
+def logistic(rows: DataFrame, n: int, intercept: float, strength: float, rounds: int = 25, memory: int = 8) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the least mean logistic loss plus strength / 2 times the squared weights.
+
+    Limited-memory quasi-Newton steps over the unscaled values: the log-count ratios are
+    their scale, which a standardising solver would take away. Each step is one Spark job
+    over the rows (at, value, label), more where a step has to be halved.
+    """
+    size = 1 << HASH_BITS
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, slope = _slopes(rows, x)
+        slope = slope / n
+        slope[:-1] += strength * x[:-1]
+        return loss / n + strength / 2 * float(x[:-1] @ x[:-1]), slope
+
+    x = np.zeros(size + 1)
+    x[-1] = intercept
+    loss, slope = at(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        way, shares = slope.copy(), []
+        for moved, turned in reversed(steps):
+            shares.append(moved @ way / (moved @ turned))
+            way -= shares[-1] * turned
+        way *= steps[-1][0] @ steps[-1][1] / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, float(np.linalg.norm(slope)))
+        for (moved, turned), share in zip(steps, reversed(shares)):
+            way += moved * (share - turned @ way / (moved @ turned))
+        length = 1.0
+        while length > 1e-3:
+            lower, new = at(x - length * way)
+            if lower <= loss - 1e-4 * length * float(slope @ way):
+                break
+            length /= 2
+        else:
+            break
+        steps = [*steps, (-length * way, new - slope)][-memory:]
+        x, slope, before, loss = x - length * way, new, loss, lower
+        if before - loss < 1e-6 * before:
+            break
+    return x[:-1], float(x[-1])
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
