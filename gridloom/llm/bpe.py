@@ -2,12 +2,12 @@
 
 A text is cut in halves down to small leaves. A leaf is encoded alone; two
 neighbours are joined by encoding anew only a window around the cut. The window
-grows on both sides until it ends where a blank follows a character that is none:
-no match of the pattern runs over such a place and none looks back, so what lies
-to the left and to the right of the window is encoded the same with or without
-the neighbour, and its tokens are final. Joining is therefore associative, and
-equal to encoding the whole text. Decoding splits the ids in halves and
-concatenates the bytes up the tree.
+grows on both sides until it ends at a firm place: where a letter is followed by none,
+or a blank follows a character that is none. No match of the pattern runs over such a
+place and none looks back, so what lies to the left and to the right of the window is
+encoded the same with or without the neighbour, and its tokens are final. Joining is
+therefore associative, and equal to encoding the whole text. Decoding splits the ids
+in halves and concatenates the bytes up the tree.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-LEAF_CHARS = 8192
-LEAF_IDS = 8192
+LEAF_CHARS = 512
+LEAF_IDS = 256
 FIRST_WINDOW = 32
 
 #: Encoders of this Python worker, by digest of the rank file and pattern.
@@ -46,12 +46,17 @@ def encoder(ranks: bytes, pattern: str):
 
 
 def _firm(text: str, at: int) -> bool:
-    """str.isspace() holds for every blank of the pattern and a few characters more."""
-    return text[at] in " \n\t\r" and not text[at - 1].isspace()
+    """A letter followed by none, or a blank after what is none.
+
+    The pattern's only matches with letters end with them, so one ends at the first
+    such place. str.isalpha() holds for its letters alone, str.isspace() for its blanks
+    and a few characters more.
+    """
+    return text[at - 1].isalpha() and not text[at].isalpha() or text[at] in " \n\t\r" and not text[at - 1].isspace()
 
 
 def _cut_before(text: str, lo: int, hi: int) -> int:
-    """The last firm place in text[lo:hi], or lo. Firm: a blank after a character that is none."""
+    """The last firm place in text[lo:hi], or lo."""
     size = FIRST_WINDOW
     while True:
         start = max(lo, hi - size)
