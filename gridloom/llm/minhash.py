@@ -119,7 +119,7 @@ def _sign(key: str, text: str):
 
 
 def _weighted_set(key: str, text: str):
-    """Every unit of weight as one 32-bit number, so that sets compare like weighted sets."""
+    """Every unit of weight as one 64-bit number, so that sets compare like weighted sets."""
 
     def run(batches):
         for whole in batches:
@@ -130,8 +130,8 @@ def _weighted_set(key: str, text: str):
                     elements, counts, digest = shingles(t)
                     digests.append(digest)
                     units = regions(elements, counts)[0] if digest else elements
-                    sets.append(np.unique((units >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-                yield pa.RecordBatch.from_arrays([_column(batch, "t"), pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int32()))], names=["t", "found", "units"])
+                    sets.append(np.unique(units).view(np.int64))
+                yield pa.RecordBatch.from_arrays([_column(batch, "t"), pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["t", "found", "units"])
 
     return run
 
@@ -215,7 +215,7 @@ def _beyond_hubs(stars: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFr
     beyond = _joined(rows.select(F.col("t").alias("a"), F.col("hub").alias("b"), "label"), sets)
     units = checkpointed(beyond.select(F.col("a").alias("t"), F.col("b").alias("hub"), "label", F.explode(F.array_except("x", "y")).alias("unit")))
     met = units.groupBy("hub", "unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where(F.col("lo") != F.col("hi"))
-    ranked = (F.shiftleft("n", 32) + F.col("unit").cast("long") + 2**31).alias("unit")
+    ranked = F.struct("n", "unit").alias("unit")
     lists = units.drop("label").join(met.select("hub", "unit", "n"), ["hub", "unit"]).select("t", "hub", ranked).groupBy("t", "hub").agg(F.sort_array(F.collect_list("unit")).alias("more"))
     least = F.greatest("least", SIMILARITY * F.col("w"))
     need = F.greatest(F.lit(1), F.ceil(_LEAST * (F.col("w") + least) - F.col("common"))).cast("int")
@@ -243,7 +243,7 @@ def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     members = checkpointed(members.join(shared, "bucket"))
     involved = members.select("t", "doc").distinct()
     source = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    sets = source.join(involved, source["doc"].eqNullSafe(involved["doc"])).select("t", "text").mapInArrow(_weighted_set("t", "text"), "t binary, found binary, units array<int>")
+    sets = source.join(involved, source["doc"].eqNullSafe(involved["doc"])).select("t", "text").mapInArrow(_weighted_set("t", "text"), "t binary, found binary, units array<bigint>")
     sets = checkpointed(sets.where(F.col("t") == F.col("found")).groupBy("t").agg(F.min("units").alias("units")))
     stars = _stars(members.select("bucket", "t"), sets)
     edges = stars.where(_similar(F.col("common"), F.col("w"), F.col("v"))).select(F.col("t").alias("a"), F.col("hub").alias("b"))
