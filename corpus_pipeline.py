@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import minhash, packing, pii, repetition, toxicity
+from gridloom.llm import minhash, pii, queries, repetition, toxicity
 from gridloom.llm.common import table
 
 
@@ -34,7 +34,7 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return queries.pack_tokens(docs)
 
 
 STAGES = [

@@ -1,10 +1,10 @@
 """Packing: length buckets with the least padding, and token-budget batches inside each.
 
-Lengths are rounded up to a step and texts over the longest length become several
-sequences, so the histogram of all lengths has at most max_length / step entries at
-any input size. Dynamic programming over it gives the best boundaries. Sequences
-are numbered inside their bucket by counts of hashed slices and places inside a
-slice, so no task holds a bucket.
+Texts over the longest length become several sequences, each a span of its text's
+tokens, so the histogram of all lengths has at most max_length entries at any input
+size. Dynamic programming over it gives the best boundaries. Sequences are numbered
+inside their bucket by counts of hashed slices and places inside a slice, so no task
+holds a bucket; equal and null keys are dealt over the slices too.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def token_count(text: Column) -> Column:
 
 
 def sequences(docs: DataFrame, length: Column, max_length: int) -> DataFrame:
-    """A row (columns of docs, part, tokens) for each run of up to max_length tokens.
+    """A row (columns of docs, part, start, tokens) for each run of up to max_length tokens, from token start.
 
     A document without tokens is one sequence of length 0, so none is lost.
     """
@@ -62,14 +62,17 @@ def sequences(docs: DataFrame, length: Column, max_length: int) -> DataFrame:
     return (
         docs.withColumn(n, length.cast("long"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col(n) / max_length).cast("int") - 1))))
+        .withColumn("start", (part * max_length).cast("long"))
         .withColumn("tokens", F.least(F.lit(max_length), F.col(n) - part * max_length).cast("int"))
         .drop(n)
     )
 
 
-def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, n_buckets: int = 16, budget: int = 65_536, max_length: int = 8_192, step: int = 8, slice_rows: int = 100_000) -> DataFrame:
-    """(key, part, tokens, bucket, batch, place): every sequence of docs in one batch.
+def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, n_buckets: int = 16, budget: int = 65_536, max_length: int = 8_192, slice_rows: int = 100_000) -> DataFrame:
+    """(key, part, start, tokens, bucket, batch, place): every sequence of docs in one batch.
 
+    length is the number of tokens of a row, token_count() of its text where none is
+    given. A sequence is the span of tokens from start on; batches() cuts it out.
     bucket is the padded length; a batch holds budget // bucket sequences of its
     bucket, only the last one of a bucket may hold fewer. Rows with equal or null
     keys are packed as often as they occur. place numbers the sequences of a batch
@@ -77,27 +80,33 @@ def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, n_b
     not carried, so their names cannot clash.
     """
     length = token_count(F.col("text")) if length is None else length
-    rows = sequences(docs.select(F.col(key).alias("key"), length.alias("n_tokens")), F.col("n_tokens"), max_length).select("key", "part", "tokens")
-    rows = checkpointed(rows.withColumn("rounded", F.greatest(F.lit(step), F.ceil(F.col("tokens") / step).cast("int") * step)))
-    histogram = sorted((r["rounded"], r["count"]) for r in rows.groupBy("rounded").count().collect())
-    boundaries = best_boundaries([a for a, _ in histogram], [b for _, b in histogram], n_buckets)
+    rows = sequences(docs.select(F.col(key).alias("key"), length.alias("n_tokens")), F.col("n_tokens"), max_length)
+    rows = checkpointed(rows.select("key", "part", "start", "tokens", F.monotonically_increasing_id().alias("salt")))
+    histogram = sorted((r["tokens"], r["count"]) for r in rows.groupBy("tokens").count().collect())
+    boundaries = [max(1, x) for x in best_boundaries([a for a, _ in histogram], [b for _, b in histogram], n_buckets)]
     total = sum(b for _, b in histogram)
     slices = max(parallelism(docs.sparkSession), -(-total // slice_rows))
-    bucket = F.lit(boundaries[-1] if boundaries else step)
+    bucket = F.lit(boundaries[-1] if boundaries else 1)
     for end in reversed(boundaries[:-1]):
-        bucket = F.when(F.col("rounded") <= end, end).otherwise(bucket)
-    placed = rows.withColumn("bucket", bucket).withColumn("slice", F.pmod(F.xxhash64("key", "part"), F.lit(slices)).cast("int"))
+        bucket = F.when(F.col("tokens") <= end, end).otherwise(bucket)
+    placed = rows.withColumn("bucket", bucket).withColumn("slice", F.pmod(F.xxhash64("key", "part", "salt"), F.lit(slices)).cast("int"))
     counts = placed.groupBy("bucket", "slice").count()
     before = Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("bucket", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("bucket", "slice").orderBy("key", "part", "tokens")
-    at = F.col("start") + F.row_number().over(inside) - 1
+    starts = counts.select("bucket", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("bucket", "slice").orderBy("key", "part", "tokens", "salt")
+    at = F.col("first") + F.row_number().over(inside) - 1
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket")))
     return placed.join(starts, ["bucket", "slice"]).select(
-        F.col("key").alias(key), "part", "tokens", "bucket", F.floor(at / size).cast("long").alias("batch"), (at % size).cast("int").alias("place")
+        F.col("key").alias(key), "part", "start", "tokens", "bucket", F.floor(at / size).cast("long").alias("batch"), (at % size).cast("int").alias("place")
     )
 
 
+def batches(packed: DataFrame, encoded: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """packed with the ids of each sequence, cut from the encoded rows of its key, which must be unique and not null."""
+    cut = F.slice(ids, (F.col("start") + 1).cast("int"), F.col("tokens"))
+    return packed.join(encoded.select(key, ids), key).withColumn(ids, cut)
+
+
 def padding(packed: DataFrame) -> DataFrame:
     """One row: tokens, padded size and their share, over all sequences."""
     return packed.agg(F.sum("tokens").alias("tokens"), F.sum("bucket").alias("padded")).withColumn("filled", F.col("tokens") / F.col("padded"))

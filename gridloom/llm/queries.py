@@ -47,7 +47,16 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return pack_tokens(table(spark, sf_dir, "documents"))
+
+
+def pack_tokens(docs: DataFrame) -> DataFrame:
+    """The documents packed by their numbers of tokens of the byte-level vocabulary."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode_texts(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return packing.pack(encoded, length=F.size("ids"))
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,6 +281,25 @@ def test_packing_places_every_token_once(spark, odd):
     assert packing.pack(empty(odd)).count() == 0
 
 
+def test_packing_cuts_the_tokens_of_the_vocabulary(spark, documents):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    plain = bpe.encoder(ranks, public_tokenizers.PATTERN)
+    assert isinstance(plain, tiktoken.Encoding)
+    encoded = bpe.encode_texts(table(spark, SF, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    packed = queries.op6_packing(spark, SF)
+    got: dict[int, list] = {}
+    for r in packing.batches(packed, encoded).orderBy("doc_id", "part").collect():
+        assert len(r["ids"]) == r["tokens"] and r["start"] == len(got.get(r["doc_id"], []))
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert got == {i: plain.encode_ordinary(t) for i, t in documents.items()}
+    lengths = Counter(r["tokens"] for r in packed.collect())
+    ends = packing.best_boundaries(*map(list, zip(*sorted(lengths.items()))), 16)
+    assert {r["bucket"] for r in packed.select("bucket").distinct().collect()} == {max(1, e) for e in ends}
+
+
 # 7: HTML.
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav><div class="ad">Buy now, buy this very fine thing here today</div>
