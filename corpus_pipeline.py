@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the new text."""
-    rows = pii.pseudonymise(docs)
+    rows = pii.pseudonymise(docs, queries.surrogate_key(spark))
     return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in rows.columns else rows
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import checkpointed, free_name
@@ -41,6 +41,11 @@ _SURNAME = r"\p{Lu}[\p{L}'’\-]+"
 _NAMES = "|".join(" ".join(GIVEN.values()).split())
 _TITLE = "|".join(t.replace(".", r"\.") for g in TITLES.values() for t in g)
 _BEFORE = r"(?<![\p{L}\p{N}])"
+_AFTER = r"(?![\p{L}\p{N}])"
+#: Words after which two or three capitalised words are a person's name.
+CUES = "attn author contact dear manager named nombre patient regards reviewer signed sincerely subscriber"
+_CUE = rf"(?<=(?<![\p{{L}}\p{{N}}])(?i:{'|'.join(CUES.split())})[:,]? )"
+_PERSON = r"\p{Lu}\p{Ll}+(?:[ \-]\p{Lu}\p{Ll}+){1,2}"
 _KEYWORD = r"""(?i:pass(?:word|wd)|pwd|secret|token|api[_\- ]?key)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?"""
 
 #: Type, pattern of a mention in a text, pattern of the mention alone (where it differs). The order is that of precedence.
@@ -53,11 +58,11 @@ PATTERNS = {
     "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}])",
     "card": _BEFORE + r"\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
-    "name": r"(?=\p{Lu})" + _BEFORE + rf"(?:(?:{_TITLE}) (?:(?:{_NAMES}) )?{_SURNAME}|(?:{_NAMES}) {_SURNAME})",
+    "name": r"(?=\p{Lu})" + _BEFORE + rf"(?:(?:{_TITLE}) (?:(?:{_NAMES}) )?{_SURNAME}|(?:{_NAMES}) {_SURNAME})|(?<= ){_CUE}{_PERSON}" + _AFTER,
 }
 ENTITY = "|".join(PATTERNS.values())
 #: A text without a match of this has no entity.
-HINT = rf"[0-9@]|sk-|AKIA|ASIA|[A-Fa-f]{{32}}|{_KEYWORD}|(?=\p{{Lu}}){_BEFORE}(?:{_TITLE}|{_NAMES}) \p{{Lu}}"
+HINT = rf"[0-9@]|(?<=[:, ]){_CUE}\p{{Lu}}|sk-|AKIA|ASIA|[A-Fa-f]{{32}}|{_KEYWORD}|(?=\p{{Lu}}){_BEFORE}(?:{_TITLE}|{_NAMES}) \p{{Lu}}"
 
 NUMBERS = ("phone", "card", "ssn")
 MAX_DRAWS = 64
@@ -74,7 +79,7 @@ def kind_of(mention: Column) -> Column:
         "phone": mention.rlike(r"^(?:\+|\(\d{3}\)|\d{3}[.\-]\d{3}[.\-]\d{4}$)"),
         "iban": mention.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){3,8}$"),
         "card": mention.rlike(r"^\d(?:[ \-]?\d){12,18}$"),
-        "name": mention.rlike(r"^\p{Lu}[\p{L}.]* \p{Lu}|^\p{Lu}[\p{L}.]*\. ?\p{Lu}"),
+        "name": mention.rlike(r"^\p{Lu}[\p{L}.'’\-]* \p{Lu}|^\p{Lu}[\p{L}.]*\. ?\p{Lu}"),
     }
     return reduce(lambda rest, x: F.when(x[1], x[0]).otherwise(rest), reversed(tests.items()), F.lit("secret"))
 
@@ -102,7 +107,9 @@ def _byte(stream: Column, i: Column) -> Column:
 
 
 def canonical_of(kind: Column, mention: Column) -> Column:
-    return F.when(kind.isin(*NUMBERS), F.regexp_replace(mention, r"[^0-9]", "")).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind.isin("secret", "aws"), mention).otherwise(F.lower(mention))
+    """One form for all spellings of an entity; a number of ten digits is the same with and without +1 before it."""
+    national = F.regexp_replace(F.regexp_replace(mention, r"[^0-9]", ""), r"^1(?=[0-9]{10}$)", "")
+    return F.when(kind == "phone", national).when(kind.isin(*NUMBERS), F.regexp_replace(mention, r"[^0-9]", "")).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind.isin("secret", "aws"), mention).otherwise(F.lower(mention))
 
 
 def _letter(char: Column, byte: Column) -> Column:
@@ -159,9 +166,28 @@ def _luhn(digits: Column) -> Column:
     return F.concat(body, ((10 - total % 10) % 10).cast("string"))
 
 
-def _country_digits(canonical: Column) -> Column:
-    """The digits before the last ten of a number stay."""
-    return F.greatest(F.length(canonical) - 10, F.lit(0))
+def _phone(mention: Column, canonical: Column, stream: Column) -> Column:
+    """The mention with new digits in the last ten places of its number; what stands before them stays."""
+    digits = F.regexp_replace(mention, r"[^0-9]", "")
+    prefix = F.substring(digits, F.lit(1), F.length(digits) - F.length(canonical))
+    return _into(mention, F.concat(prefix, _digits(canonical, stream, F.greatest(F.length(canonical) - 10, F.lit(0)))))
+
+
+def _email(mention: Column, stream: Column, draw: Column) -> Column:
+    """Other letters and digits up to the last dot; every fourth draw adds a letter to the local part, so addresses don't run out."""
+    extra = F.when(draw >= 4, F.array_join(F.transform(F.sequence(F.lit(1), (draw / 4).cast("int")), lambda i: _letter(F.lit("a"), _byte(stream, 127 - i))), "")).otherwise("")
+    return F.concat(extra, _reshaped(F.regexp_extract(mention, r"^(.*)(\.[^.]+)$", 1), stream), F.regexp_extract(mention, r"(\.[^.]+)$", 1))
+
+
+def _iban(canonical: Column, stream: Column) -> Column:
+    """The country stays, the account is new, and the two digits between them check it (ISO 7064, modulo 97)."""
+    country, account = F.substring(canonical, 1, 2), _reshaped(F.substring(canonical, F.lit(5), F.length(canonical)), stream)
+
+    def step(a: Column, c: Column) -> Column:
+        return (F.when(c.rlike("^[0-9]$"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97).cast("int")
+
+    rest = F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), step)
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
 
 
 def _address(stream: Column) -> Column:
@@ -187,9 +213,11 @@ def _given_part(word: Column) -> Column:
     return F.when(word.isin(*women), "f").when(word.isin(*men), "m").otherwise("n")
 
 
-def atoms(mentions: Column) -> Column:
+def atoms(mentions: Column, known: Column) -> Column:
     """array<array<struct<word, kind, canonical>>>: what is keyed in each mention; of a name, each word.
 
+    known holds the surnames that may stand alone; see find().
+
     Each step is an array of its own, so that later ones refer to its values and
     don't repeat its expressions.
     """
@@ -202,7 +230,7 @@ def atoms(mentions: Column) -> Column:
         plain = F.array(F.struct(x["m"].alias("word"), x["kind"].alias("kind"), canonical_of(x["kind"], x["m"]).alias("canonical")))
         return F.when(x["kind"] == "name", F.transform(F.split(x["m"], " "), of_word)).otherwise(plain)
 
-    return F.transform(F.transform(mentions, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))), of_mention)
+    return F.transform(F.transform(mentions, lambda m: F.struct(m.alias("m"), F.when(m.rlike(rf"^{_SURNAME}$") & F.array_contains(known, m), "name").otherwise(kind_of(m)).alias("kind"))), of_mention)
 
 
 def surrogates(words: Column, draw_of, key: str) -> Column:
@@ -216,43 +244,56 @@ def written(kind: Column, mention: Column, canonical: Column, draw: Column, stre
     """The surrogate of one atom in the format of its mention; titles stay."""
     script = _script(mention)
     new_name = _name_part(script, F.substring(kind, F.lit(6), F.lit(1)), stream, draw)
-    domain = F.regexp_extract(mention, r"^(.*)(\.[^.]+)$", 1)
     cases = {
-        "email": F.concat(_reshaped(domain, stream), F.regexp_extract(mention, r"(\.[^.]+)$", 1)),
+        "email": _email(mention, stream, draw),
         "aws": F.concat(F.substring(mention, 1, 4), F.array_join(F.transform(F.split(F.substring(mention, F.lit(5), F.length(mention)), ""), lambda c, i: _pick(F.split(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ""), _byte(stream, i))), "")),
         "ip": _address(stream),
-        "phone": _into(mention, _digits(canonical, stream, _country_digits(canonical))),
+        "phone": _phone(mention, canonical, stream),
         "ssn": _into(mention, _digits(canonical, stream, F.lit(0))),
         "card": _into(mention, _luhn(_digits(canonical, stream, F.lit(1)))),
-        "iban": _into(mention, F.concat(F.substring(canonical, 1, 2), _reshaped(F.substring(canonical, F.lit(3), F.length(canonical)), stream)), "^[0-9A-Z]$"),
+        "iban": _into(mention, _iban(canonical, stream), "^[0-9A-Z]$"),
     }
     secret = F.when(mention.rlike(r"^[0-9A-Fa-f]+$"), _hex(mention, stream)).when(mention.startswith("sk-"), F.concat(F.lit("sk-"), _reshaped(F.substring(mention, F.lit(4), F.length(mention)), stream))).otherwise(_reshaped(mention, stream))
     name = F.when(mention.rlike(r"^\p{Lu}{2,}$"), F.upper(new_name)).otherwise(new_name)
     return reduce(lambda rest, x: F.when(kind == x[0], x[1]).otherwise(rest), reversed(cases.items()), F.when(kind == "title", mention).when(kind.startswith("name-"), name).otherwise(secret))
 
 
-def find(docs: DataFrame, text: str = "text", out: str = "mentions") -> DataFrame:
-    """docs with the array<string> of all mentions, in order, in the column `out`."""
-    found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return docs.withColumn(out, F.coalesce(found, F.array().cast("array<string>")))
+def _all_patterns(known: Column) -> Column:
+    """ENTITY, and after it the known surnames, for rows that have some."""
+    own = F.array_join(F.transform(known, lambda w: F.regexp_replace(w, "-", "[-]")), "|")
+    return F.concat(F.lit(f"{ENTITY}|{_BEFORE}(?:"), own, F.lit(f"){_AFTER}"))
 
 
-def draws(mentions: DataFrame, key: str, column: str = "mentions") -> DataFrame:
+def find(docs: DataFrame, text: str = "text", out: str = "mentions", known: str = "known") -> DataFrame:
+    """docs with the array<string> of all mentions, in order, in the column `out`, and of the surnames among them in `known`.
+
+    A surname that stands with a title, a given name or after a cue somewhere in the
+    text is a mention wherever it stands alone in it.
+    """
+    none = F.array().cast("array<string>")
+    first = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0))).otherwise(none)
+    rows = docs.withColumn(out, F.coalesce(first, none))
+    names = F.filter(out, lambda m: m.rlike(r"^\p{Lu}\S* \p{Lu}") & (kind_of(m) == "name"))
+    rows = rows.withColumn(known, F.array_distinct(F.filter(F.transform(names, lambda m: F.element_at(F.split(m, " "), -1)), lambda w: (F.length(w) > 2) & (_given_part(w) == "n"))))
+    return rows.withColumn(out, F.when(F.size(known) > 0, F.regexp_extract_all(F.col(text), _all_patterns(F.col(known)), F.lit(0))).otherwise(F.col(out)))
+
+
+def draws(mentions: DataFrame, key: str, column: str = "mentions", known: str = "known") -> DataFrame:
     """(kind, canonical, draw) of every distinct atom whose first surrogate can't be used.
 
-    A surrogate can't be used if a distinct atom of its kind has it too (the first
-    in order of draws and names keeps it) or if it is itself an atom that occurs.
-    Atoms draw again until all differ.
+    A surrogate can't be used if a distinct atom has it too, of whatever kind (the
+    first in order of draws and names keeps it), or if it is itself an atom that
+    occurs. Atoms draw again until all differ.
     """
-    own = mentions.select(F.explode(F.flatten(atoms(F.col(column)))).alias("a")).select("a.kind", "a.canonical").where(F.col("kind") != "title")
+    own = mentions.select(F.explode(F.flatten(atoms(F.col(column), F.col(known)))).alias("a")).select("a.kind", "a.canonical").where(F.col("kind") != "title")
     table = checkpointed(own.distinct().withColumn("draw", F.lit(0)))
-    taken = table.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
+    taken = table.select(F.col("canonical").alias("surrogate"), F.lit(True).alias("real")).distinct()
     for _ in range(MAX_DRAWS):
         atom = F.array(F.struct(F.col("canonical").alias("word"), "kind", "canonical"))
         made = F.get(surrogates(atom, lambda k, c: F.col("draw"), key), F.lit(0))
         offered = table.withColumn("surrogate", canonical_of(F.col("kind"), made))
-        first = Window.partitionBy("kind", "surrogate").orderBy("draw", "canonical")
-        checked = offered.withColumn("place", F.row_number().over(first)).join(taken, ["kind", "surrogate"], "left")
+        first = Window.partitionBy("surrogate").orderBy("draw", "canonical", "kind")
+        checked = offered.withColumn("place", F.row_number().over(first)).join(taken, "surrogate", "left")
         bad = (F.col("place") > 1) | F.coalesce(F.col("real"), F.lit(False))
         checked = checkpointed(checked.select("kind", "canonical", "draw", bad.alias("bad")))
         if checked.where("bad").isEmpty():
@@ -261,19 +302,30 @@ def draws(mentions: DataFrame, key: str, column: str = "mentions") -> DataFrame:
     raise ValueError(f"no distinct surrogates after {MAX_DRAWS} draws")
 
 
-def pseudonymise(docs: DataFrame, key: str = "surrogates", text: str = "text", mentions: str | None = None) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The secret key that the session setting gridloom.pii.key names."""
+    key = spark.conf.get("gridloom.pii.key", None)
+    if not key:
+        raise ValueError("surrogates need a secret key: pass one or set gridloom.pii.key")
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", mentions: str | None = None) -> DataFrame:
     """docs with every entity of the text replaced by its surrogate.
 
-    mentions, if given, names a column for what was found (replaced if there). Null
+    key is secret: who has it can rebuild the surrogates. Without one, that of the
+    session is taken. mentions, if given, names a column for what was found (replaced if there). Null
     texts stay null, empty ones empty. Equal texts get equal results, so repeated
     rows and ids need no care; an empty table stays empty. All texts of the table
     together decide which surrogates differ.
     """
+    key = key or session_key(docs.sparkSession)
     name = mentions or free_name(docs, "mentions")
     if mentions:
         docs = docs.drop(mentions)
-    found = find(docs, text, name)
-    again = draws(found.where(F.size(name) > 0).select(F.col(name).alias("mentions")), key)
+    known = free_name(docs, "known")
+    found = find(docs, text, name, known)
+    again = draws(found.where(F.size(name) > 0).select(F.col(name).alias("mentions"), F.col(known).alias("known")), key)
     none = F.array().cast("array<struct<kind:string,canonical:string,draw:int>>")
     redrawn = free_name(docs, "redrawn")
     if again.isEmpty():
@@ -281,7 +333,7 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates", text: str = "text", m
     else:
         digest = free_name(docs, "digest")
         found = found.withColumn(digest, F.when(F.size(name) > 0, F.sha2(F.col(text).cast("binary"), 256)))
-        held = found.where(F.size(name) > 0).select(F.col(digest).alias("d"), F.explode(F.flatten(atoms(F.col(name)))).alias("a")).select("d", "a.kind", "a.canonical").distinct()
+        held = found.where(F.size(name) > 0).select(F.col(digest).alias("d"), F.explode(F.flatten(atoms(F.col(name), F.col(known)))).alias("a")).select("d", "a.kind", "a.canonical").distinct()
         lists = held.join(again, ["kind", "canonical"]).groupBy("d").agg(F.collect_list(F.struct("kind", "canonical", "draw")).alias("l"))
         lists = lists.select(F.col("d").alias(digest), F.col("l").alias(redrawn))
         joined = found.where(F.size(name) > 0).join(lists, digest, "left").withColumn(redrawn, F.coalesce(redrawn, none))
@@ -291,8 +343,8 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates", text: str = "text", m
         hit = F.get(F.filter(redrawn, lambda r: (r["kind"] == kind) & (r["canonical"] == canonical)), F.lit(0))
         return F.coalesce(hit["draw"], F.lit(0))
 
-    new_words = F.transform(atoms(F.col(name)), lambda words: F.array_join(surrogates(words, draw_of, key), " "))
-    gaps = F.split(F.col(text), ENTITY, -1)
+    new_words = F.transform(atoms(F.col(name), F.col(known)), lambda words: F.array_join(surrogates(words, draw_of, key), " "))
+    gaps = F.when(F.size(known) > 0, F.split(F.col(text), _all_patterns(F.col(known)), -1)).otherwise(F.split(F.col(text), ENTITY, -1))
     new = F.array_join(F.flatten(F.zip_with(gaps, new_words, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
-    rows = rows.withColumn(text, F.when(F.size(name) > 0, new).otherwise(F.col(text))).drop(redrawn)
+    rows = rows.withColumn(text, F.when(F.size(name) > 0, new).otherwise(F.col(text))).drop(redrawn, known)
     return rows if mentions else rows.drop(name)

@@ -106,9 +106,12 @@ def test_forest_odd_vectors(spark):
 # 2: PII.
 
 
+KEY = "key of the tests"
+
+
 def replaced(spark, *texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r["text"] for r in pii.pseudonymise(rows).orderBy("doc_id").collect()]
+    return [r["text"] for r in pii.pseudonymise(rows, KEY).orderBy("doc_id").collect()]
 
 
 def test_pii_keeps_format_and_coreference(spark):
@@ -157,12 +160,40 @@ def test_pii_hint_holds_for_every_pattern(spark):
         assert tuple(row) == (True, True), (kind, text)
 
 
+def test_pii_coreference_over_formats_and_bare_surnames(spark):
+    one, two = replaced(spark, "Call +1 (415) 555-0132 or 415-555-0132. Anna Schmidt came. Then Schmidt left; Schmidts stay. Contact: Priya Raman, and Raman again.", "A Schmidt alone is no name here.")
+    new = re.fullmatch(r"Call \+1 \((\d{3})\) (\d{3}-\d{4}) or (\d{3})-(\d{3}-\d{4})\. (\w+) (\w+) came\. Then (\w+) left; Schmidts stay\. Contact: (\w+) (\w+), and (\w+) again\.", one)
+    assert new and new[1] == new[3] and new[2] == new[4] and new[6] == new[7] != "Schmidt" and new[9] == new[10] != "Raman" and new[8] != "Priya"
+    assert two == "A Schmidt alone is no name here."
+
+
+def test_pii_ibans_keep_check_digits(spark):
+    new = replaced(spark, "pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432 today")[0]
+    for iban in re.fullmatch(r"pay (DE[\d ]{25}) or (GB\w{20}) today", new).groups():
+        plain = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_pii_addresses_do_not_run_out(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.com" for a in letters for b in letters]
+    new = [t.split()[1] for t in replaced(spark, *[f"to {m} now" for m in mails])]
+    assert len(set(new)) == len(mails) and not set(new) & set(mails)
+
+
+def test_pii_needs_a_key(spark):
+    rows = spark.createDataFrame([(1, "a.b@c.de")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        pii.pseudonymise(rows)
+    assert pii.pseudonymise(rows, "one").first()["text"] != pii.pseudonymise(rows, "two").first()["text"]
+
+
 def test_pii_odd_rows(spark, odd):
-    got = pii.pseudonymise(odd)
+    got = pii.pseudonymise(odd, KEY)
     assert got.columns == odd.columns
     rows = {r["doc_id"]: r["text"] for r in got.collect()}
     assert rows[1] is None and rows[2] == "" and rows[4] == LONG and rows[None] == "no key here" and "a.b@example.com" not in rows[7]
-    assert got.count() == odd.count() and pii.pseudonymise(empty(odd)).count() == 0
+    assert got.count() == odd.count() and pii.pseudonymise(empty(odd), KEY).count() == 0
 
 
 # 3: toxicity.
