@@ -60,12 +60,16 @@ def significant_prefix(text: Column, n: Column) -> Column:
 
 
 def common_prefix_length(texts: Column) -> Column:
-    """Length of the longest prefix that all significant texts of an array share."""
-    bare = F.transform(texts, lambda t: significant(t))
+    """Length of the longest prefix that all significant texts of an array share; one pass over their characters."""
+    bare = F.transform(texts, lambda t: F.split(significant(t), ""))
     first = F.get(bare, F.lit(0))
-    shortest = F.array_min(F.transform(bare, lambda t: F.length(t)))
-    fits = F.filter(F.sequence(F.lit(1), F.greatest(shortest, F.lit(1))), lambda n: (n <= shortest) & F.forall(bare, lambda t: F.substring(t, F.lit(1), n) == F.substring(first, F.lit(1), n)))
-    return F.coalesce(F.array_max(fits), F.lit(0))
+
+    def shared(other: Column) -> Column:
+        apart = F.array_position(F.zip_with(first, other, lambda x, y: x.eqNullSafe(y)), False).cast("int")
+        return F.when(apart > 0, apart - 1).otherwise(F.size(first))
+
+    same = F.array_min(F.transform(bare, shared))
+    return F.coalesce(F.when(F.exists(texts, lambda t: significant(t) == ""), 0).otherwise(same), F.lit(0))
 
 
 def ends_sentence(text: Column) -> Column:

@@ -66,12 +66,15 @@ def summary(diagnostics: DataFrame, strict: bool = False) -> DataFrame:
     return out.withColumn("valid", ~bad)
 
 
-def compare_sheets(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(sheet, side, only_left, only_right, similar) of two workbooks given as (sheet, header) rows."""
-    own = lambda df, name: df.groupBy("sheet").agg(F.array_sort(F.collect_set("header")).alias(name))
-    rows = own(left, "l").join(own(right, "r"), "sheet", "full_outer")
-    side = F.when(F.col("r").isNull(), "left").when(F.col("l").isNull(), "right").otherwise("shared")
+def compare_sheets(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("sheet",)) -> DataFrame:
+    """(keys, side, only_left, only_right, similar) of workbooks given as (keys, header) rows.
+
+    keys is the sheet, or what names a pair of workbooks and the sheet.
+    """
+    own = lambda df, name: df.groupBy(*keys).agg(F.array_sort(F.collect_set("header")).alias(name))
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("side", side).withColumn("only_left", F.array_except(F.coalesce("l", none), F.coalesce("r", none))).withColumn("only_right", F.array_except(F.coalesce("r", none), F.coalesce("l", none)))
+    rows = own(left, "l").join(own(right, "r"), list(keys), "full_outer").withColumn("side", F.when(F.col("r").isNull(), "left").when(F.col("l").isNull(), "right").otherwise("shared"))
+    missing = lambda a, b: F.array_except(F.coalesce(a, none), F.coalesce(b, none))
+    rows = rows.withColumns({"only_left": missing("l", "r"), "only_right": missing("r", "l")})
     same = (F.size("only_left") == 0) & (F.size("only_right") == 0) & (F.col("side") == "shared")
-    return rows.select("sheet", "side", F.array_join("only_left", "|").alias("only_left"), F.array_join("only_right", "|").alias("only_right"), same.alias("similar"))
+    return rows.select(*keys, "side", F.array_join("only_left", "|").alias("only_left"), F.array_join("only_right", "|").alias("only_right"), same.alias("similar"))

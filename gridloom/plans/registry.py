@@ -398,7 +398,16 @@ def _(view, table):
     return render.knowledge_rows(cells, grid.header_labels(cells, 1, 3), 3)
 
 
-@query("text_split")
+#: What Spark's (?U)\\s matches, for DuckDB.
+WHITE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query("text_split", rf"""WITH RECURSIVE t AS (SELECT CAST(doc_id AS VARCHAR) AS k, text FROM documents WHERE length(text) > 1000),
+ p AS (SELECT k, 0 AS n, CAST(NULL AS VARCHAR) AS body, text AS rest FROM t
+ UNION ALL SELECT k, n + 1, regexp_replace(left(rest, c), '{WHITE}+$', ''), regexp_replace(substr(rest, c + 1), '^{WHITE}+', '') FROM (SELECT k, n, rest,
+  CASE WHEN l > 0 THEN l WHEN b > 0 THEN b ELSE 1000 END AS c FROM (SELECT k, n, rest, length(regexp_extract(w, '^((?s:.*))\n', 1)) AS l, length(regexp_extract(w, '^((?s:.*)) ', 1)) AS b FROM (SELECT k, n, rest, left(rest, 1001) AS w FROM p WHERE rest <> '')))),
+ q AS (SELECT k, body, row_number() OVER (PARTITION BY k ORDER BY n) AS part FROM p WHERE body <> '')
+ SELECT k || ':part-' || part AS chunk_id, part, body FROM q UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, text FROM documents WHERE length(text) <= 1000""")
 def _(view, table):
     return render.chunk_texts(table("documents"), "doc_id", "text", 1_000)
 
@@ -446,14 +455,18 @@ def _(view, table):
     return rules.summary(rules.enum(table("orders"), "o_orderstatus", ["O", "F"], severity="warning"))
 
 
-@query("workbook_compare", """, l AS (SELECT DISTINCT sheet, display AS h FROM v_cells WHERE doc = 'doc0' AND col = 2 AND "row" <= 12 AND sheet <> 'MACHINERY'), r AS (SELECT DISTINCT sheet, display AS h FROM v_cells WHERE doc = 'doc1' AND col = 2 AND "row" <= 12 AND sheet <> 'BUILDING'),
- s AS (SELECT DISTINCT sheet FROM (SELECT sheet FROM l UNION ALL SELECT sheet FROM r)), d AS (SELECT sheet, sheet IN (SELECT sheet FROM l) AS il, sheet IN (SELECT sheet FROM r) AS ir, coalesce((SELECT string_agg(h, '|' ORDER BY h) FROM l WHERE l.sheet = s.sheet AND NOT EXISTS (SELECT 1 FROM r WHERE r.sheet = l.sheet AND r.h = l.h)), '') AS only_left,
- coalesce((SELECT string_agg(h, '|' ORDER BY h) FROM r WHERE r.sheet = s.sheet AND NOT EXISTS (SELECT 1 FROM l WHERE r.sheet = l.sheet AND r.h = l.h)), '') AS only_right FROM s)
- SELECT sheet, CASE WHEN il AND ir THEN 'shared' WHEN il THEN 'left' ELSE 'right' END AS side, only_left, only_right, il AND ir AND only_left = '' AND only_right = '' AS similar FROM d""")
+@query("workbook_compare", """, h AS (SELECT DISTINCT CAST(substr(doc, 4) AS BIGINT) AS pair, sheet, display AS h FROM v_cells WHERE col = 2), l AS (SELECT * FROM h WHERE sheet <> 'MACHINERY' OR pair % 2 = 1), r AS (SELECT pair - 1 AS pair, sheet, h FROM h WHERE pair > 0 AND (sheet <> 'BUILDING' OR pair % 2 = 0)),
+ m AS (SELECT max(pair) AS m FROM h), s AS (SELECT DISTINCT pair, sheet FROM (SELECT pair, sheet FROM l UNION ALL SELECT pair, sheet FROM r)), d AS (SELECT pair, sheet, (pair, sheet) IN (SELECT (pair, sheet) FROM l) AS il, (pair, sheet) IN (SELECT (pair, sheet) FROM r) AS ir,
+ coalesce((SELECT string_agg(h, '|' ORDER BY h) FROM l WHERE l.pair = s.pair AND l.sheet = s.sheet AND NOT EXISTS (SELECT 1 FROM r WHERE r.pair = l.pair AND r.sheet = l.sheet AND r.h = l.h)), '') AS only_left,
+ coalesce((SELECT string_agg(h, '|' ORDER BY h) FROM r WHERE r.pair = s.pair AND r.sheet = s.sheet AND NOT EXISTS (SELECT 1 FROM l WHERE r.pair = l.pair AND r.sheet = l.sheet AND r.h = l.h)), '') AS only_right FROM s)
+ SELECT pair, sheet, CASE WHEN il AND ir THEN 'shared' WHEN il THEN 'left' ELSE 'right' END AS side, only_left, only_right, il AND ir AND only_left = '' AND only_right = '' AS similar FROM d""")
 def _(view, table):
-    rows = view("cells").where("col = 2 and row <= 12")
-    side = lambda doc, gone: rows.where((F.col("doc") == doc) & (F.col("sheet") != gone)).select("sheet", F.col("display").alias("header"))
-    return rules.compare_sheets(side("doc0", "MACHINERY"), side("doc1", "BUILDING"))
+    """Every workbook against its successor; of even ones a sheet is missing on the left, of odd ones on the right."""
+    pair = F.substring("doc", F.lit(4), F.length("doc")).cast("long")
+    heads = view("cells").where("col = 2").select(pair.alias("pair"), "sheet", F.col("display").alias("header"))
+    left = heads.where("sheet <> 'MACHINERY' or pair % 2 = 1")
+    right = heads.where("pair > 0 and (sheet <> 'BUILDING' or pair % 2 = 0)").withColumn("pair", F.col("pair") - 1)
+    return rules.compare_sheets(left, right, ("pair", "sheet"))
 
 
 # Signals.
@@ -533,26 +546,31 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", (F.col("i") + 1).alias("line"), F.explode(found).alias("pattern"))
 
 
-@query("stabilise_lcp")
+@query("stabilise_lcp", rf"""WITH p AS (SELECT doc_id, ord, regexp_replace(regexp_replace(left(text, (length(text) * ord + 5) // 6), '^{WHITE}+', ''), '{WHITE}+$', '') AS t FROM documents, range(1, 7) AS u(ord)),
+ f AS (SELECT doc_id, ord, t, coalesce(lag(t) OVER (PARTITION BY doc_id ORDER BY ord), '') AS before FROM p) SELECT doc_id AS session, ord, before AS committed, t AS partial FROM f""")
 def _(view, table):
+    """Every text in six growing parts, the last of them the whole: what two agree on is committed."""
     from gridloom.streaming.captions import stabilise_batch
 
-    docs = table("documents").select(F.col("doc_id").alias("session"), F.substring("text", 1, 120).alias("t"))
+    docs = table("documents").select(F.col("doc_id").alias("session"), F.coalesce("text", F.lit("")).alias("t"))
     steps = docs.select("session", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("ord"), "t")
-    return stabilise_batch(steps.select("session", "ord", F.expr("left(t, ord * 20)").alias("text")))
+    return stabilise_batch(steps.select("session", F.col("ord").cast("long").alias("ord"), F.expr("left(t, (length(t) * ord + 5) div 6)").alias("text")))
 
 
-@query("common_prefix", r""", p AS (SELECT doc_id, regexp_replace(left(text, 60), '\s', '', 'g') AS a, regexp_replace(left(text, 33) || 'zz', '\s', '', 'g') AS b FROM documents)
- SELECT doc_id, (SELECT coalesce(max(n), 0) FROM unnest(range(1, 200)) AS u(n) WHERE n <= least(length(a), length(b)) AND left(a, n) = left(b, n)) AS n FROM p""".replace(", p AS", "WITH p AS", 1))
+@query("common_prefix", rf"""WITH p AS (SELECT doc_id, regexp_replace(text, '{WHITE}', '', 'g') AS a, regexp_replace(left(text, length(text) // 2) || 'zz', '{WHITE}', '', 'g') AS b FROM documents),
+ q AS (SELECT doc_id, a, b, list_position(list_transform(list_zip(string_split(a, ''), string_split(b, '')), lambda x: x[1] IS NOT DISTINCT FROM x[2]), false) AS i FROM p)
+ SELECT doc_id, CASE WHEN coalesce(a, '') = '' THEN 0 WHEN i > 0 THEN i - 1 ELSE length(a) END AS n FROM q""")
 def _(view, table):
-    pair = F.array(F.substring("text", 1, 60), F.concat(F.substring("text", 1, 33), F.lit("zz")))
+    """Each text against its first half with other letters after it."""
+    pair = F.array("text", F.concat(F.expr("left(text, length(text) div 2)"), F.lit("zz")))
     return table("documents").select("doc_id", text.common_prefix_length(pair).alias("n"))
 
 
-@query("hotword_normalise", """WITH w AS (SELECT p_type, trim(unnest(string_split(p_name, ' '))) AS w, p_partkey FROM part), f AS (SELECT p_partkey, list_distinct(list(lower(w))) AS ws FROM w WHERE w <> '' GROUP BY p_partkey) SELECT p_partkey, CAST(len(ws) AS BIGINT) AS words FROM f""")
+@query("hotword_normalise", """WITH w AS (SELECT p_partkey, lower(trim(w)) AS w, i FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part) WHERE trim(w) <> ''),
+ f AS (SELECT p_partkey, w, min(i) AS i FROM w GROUP BY ALL) SELECT p_partkey, string_agg(w, '|' ORDER BY i) AS words, count(*) AS n FROM f GROUP BY p_partkey""")
 def _(view, table):
     words = text.normalise_hotwords(F.split("p_name", " "))
-    return table("part").select("p_partkey", F.size(words).alias("words"))
+    return table("part").select("p_partkey", F.lower(F.array_join(words, "|")).alias("words"), F.size(words).alias("n"))
 
 
 @query("jsonl_protocol", r"""SELECT event_id, CASE WHEN k IS NULL THEN 'missing' WHEN k % 10 = 0 THEN 'version' ELSE 'ok' END AS verdict, k FROM (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")

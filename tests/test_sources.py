@@ -127,8 +127,9 @@ def test_due_and_recovered_jobs(spark):
     assert sorted(r["job"] for r in jobs.due(rows, 10).collect()) == ["b"]
 
 
-def test_split_text_keeps_all_and_the_limit():
-    for text in ("", "word " * 100, "x" * 95, "one. two! three? " * 20, "line\n" * 50):
-        parts = render.split_text(text, 10)
-        assert all(0 < len(p) <= 10 for p in parts) or parts == [""]
-        assert "".join("".join(parts).split()) == "".join(text.split())
+def test_split_parts(spark):
+    cases = {"short": ["short"], "one two three four": ["one two", "three", "four"], "a" * 25: ["a" * 10, "a" * 10, "a" * 5], "line one\nline two and more": ["line one", "line two", "and", "more"], "  lead " + "b" * 12: ["  lead", "b" * 10, "bb"], " " * 12: [], "ab\n\n\ncd efghijklm": ["ab", "cd", "efghijklm"]}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    got = {r["t"]: r["parts"] for r in rows.select("t", render.split_parts(F.col("t"), 10).alias("parts")).collect()}
+    assert got == cases
+    assert render.chunk_texts(spark.createDataFrame([(1, None)], "i int, t string"), "i", "t").count() == 0
