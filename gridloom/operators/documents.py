@@ -17,11 +17,11 @@ from gridloom.operators.render import split_parts
 REGION = [*SHEET, "region"]
 #: Names of cover sheets, endings of document types, titles that stand alone, labels of their attributes.
 COVERS = ("表紙", "封面", "Cover")
-DOCUMENT_TYPES = ("設計書", "仕様書", "定義書", "一覧", "specification")
-PHASES = ("基本設計", "詳細設計", "要件定義")
-ATTRIBUTES = ("文書番号", "バージョン", "版数", "作成者", "作成日", "更新日", "更新者", "承認者")
+DOCUMENT_TYPES = ("画面設計書", "詳細設計書", "基本設計書", "要件定義書")
+PHASES = ("基本設計", "詳細設計", "画面設計", "要件定義")
+ATTRIBUTES = ("文書番号", "バージョン", "作成者", "作成日", "更新者", "更新日", "承認者", "承認日", "レビュー者", "レビュー日")
 #: Kinds of assets that are pictures.
-VISUAL = ("image", "screenshot", "shape", "chart")
+VISUAL = ("image", "screenshot", "chart", "layout")
 
 
 def filled(value: Column) -> Column:
@@ -78,9 +78,9 @@ def renderable(regions: DataFrame, values: DataFrame, cells: DataFrame, assets:
     return regions.where(~F.col("region").startswith("unrecognized")).join(some, REGION, "left_semi")
 
 
-def interleaved(kind: Column, layout: Column, has_assets: Column) -> Column:
-    """Whether text and pictures of a region alternate by row: it has a layout or assets, and is no screenshot."""
-    return (kind != "screenshot") & (layout | has_assets)
+def interleaved(kind: Column, mode: Column, extractor: Column) -> Column:
+    """Whether text and pictures of a region alternate by row: a layout, or extracted as an asset, and not shown as a screenshot."""
+    return ~mode.eqNullSafe(F.lit("screenshot")) & (kind.eqNullSafe(F.lit("layout")) | extractor.eqNullSafe(F.lit("asset")))
 
 
 def screen_ids(metadata: DataFrame, candidates: list[str]) -> DataFrame:

@@ -88,3 +88,8 @@ def illegal_steps(steps: DataFrame) -> DataFrame:
     """Rows (session, ord, from_state, to_state) that no edge of EDGES allows."""
     edges = steps.sparkSession.createDataFrame([(a, b) for a, to in EDGES.items() for b in to], "from_state string, to_state string")
     return steps.join(F.broadcast(edges), ["from_state", "to_state"], "left_anti")
+
+
+def jobs_of_sessions(jobs: DataFrame) -> DataFrame:
+    """jobs with their place in their session, by when they were made."""
+    return jobs.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("ord")))

@@ -156,36 +156,44 @@ def summary_parts(parts: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("session", "group").agg(F.to_json(own).alias("json"))
 
 
-#: Titles of a summary's sections by language, in the order of the two layouts' sections.
+#: Sections of the two layouts; then, by language, the headings: title, line of an empty section, the
+#: sections of each layout, the columns of action items, and the labels of what stands before the sections.
 SECTIONS = {
     "single": ("overview", "topics", "key_points", "process_steps", "conclusions", "risks"),
     "group": ("overview", "topics", "key_points", "decisions", "action_items", "unresolved_questions", "risks"),
 }
-TITLES = {
-    "en": {"title": "Meeting Summary", "none": "No relevant content extracted.", "single": ("Overview", "Topics", "Key points", "Process steps", "Conclusions", "Notes"), "group": ("Meeting overview", "Discussion topics", "Key opinions", "Decisions", "Action items", "Unresolved questions", "Risks and notes"), "table": ("Task", "Owner", "Due")},
-    "ja": {"title": "会議まとめ", "none": "該当する内容は抽出されませんでした", "single": ("内容概要", "主なトピック", "重要ポイント", "手順", "結論", "注意事項"), "group": ("会議概要", "討論トピック", "主な意見", "決定事項", "アクション項目", "未解決の質問", "リスクと注意事項"), "table": ("項目", "担当", "期限")},
-    "zh": {"title": "会议要点", "none": "未提取到相关内容。", "single": ("内容概要", "主要主题", "关键知识点", "操作流程", "结论", "注意事项"), "group": ("会议概述", "讨论主题", "主要观点", "决定事项", "待办事项", "未解决问题", "风险与注意事项"), "table": ("事项", "负责人", "截止时间")},
+HEADINGS = {
+    "en": ("English", "Meeting Summary", "No relevant content extracted.", {"single": "Overview|Topics|Key points|Process steps|Conclusions|Notes", "group": "Meeting overview|Discussion topics|Key opinions|Decisions|Action items|Unresolved questions|Risks and notes"}, "Task|Owner|Due", "Meeting type|Summary language|Segment count|Source: confirmed original captions", {"single": "Single presenter", "group": "Group discussion"}),
+    "ja": ("日本語", "会議まとめ", "該当する内容は抽出されませんでした", {"single": "内容概要|主なトピック|重要ポイント|手順|結論|注意事項", "group": "会議概要|討論トピック|主な意見|決定事項|アクション項目|未解決の質問|リスクと注意事項"}, "項目|担当|期限", "会議形式|要約言語|字幕件数|データソース：確認済みの原文字幕", {"single": "単独説明", "group": "複数人ディスカッション"}),
+    "zh": ("简体中文", "会议要点", "未提取到相关内容。", {"single": "内容概要|主要主题|关键知识点|操作流程|结论|注意事项", "group": "会议概述|讨论主题|主要观点|决定事项|待办事项|未解决问题|风险与注意事项"}, "事项|负责人|截止时间", "会议形式|摘要语言|字幕条数|数据来源：已确认的原文字幕", {"single": "单人讲解", "group": "多人讨论"}),
 }
 
 
 def summary_markdown(items: DataFrame, documents: DataFrame) -> DataFrame:
-    """(session, content): a heading and a section of bullets for each part of the layout; action items as a table.
+    """(session, content): a heading, what the summary is of, and a section for each part of the layout.
 
     items has session, section, ord, text, owner, due; documents session, language
-    (others count as zh) and layout (single or group). A section without items says so.
+    (others count as zh), layout (single or group) and segments. Sections are bullets,
+    action items a table; one without items says so. Pipes are escaped, line ends blanks.
     """
-    rows = [(language, layout, i, section, t["title"], t["none"], t[layout][i], list(t["table"])) for language, t in TITLES.items() for layout, sections in SECTIONS.items() for i, section in enumerate(sections)]
-    plan = documents.sparkSession.createDataFrame(rows, "language string, layout string, place int, section string, title string, none string, head string, columns array<string>")
-    docs = documents.select("session", F.when(F.col("language").isin("en", "ja"), F.col("language")).otherwise("zh").alias("language"), "layout")
-    missing = not_specified(F.col("language"))
-    cell = lambda c: F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-    own = F.array_sort(F.collect_list(F.struct("ord", "text", "owner", "due")))
-    lists = items.where(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("session", "section").agg(own.alias("items"))
+    plan = []
+    for language, (own_name, title, none, heads, columns, labels, layouts) in HEADINGS.items():
+        label = labels.split("|")
+        for layout, sections in SECTIONS.items():
+            before = f"# {title}\n\n- {label[0]}：{layouts[layout]}\n- {label[1]}：{own_name}\n- {label[2]}："
+            for place, (section, head) in enumerate(zip(sections, heads[layout].split("|"))):
+                plan.append((language, layout, place, section, before, f"\n- {label[3]}\n\n", none, f"## {head}\n\n", "| " + columns.replace("|", " | ") + " |\n|---|---|---|\n"))
+    plan = documents.sparkSession.createDataFrame(plan, "language string, layout string, place int, section string, before string, source string, none string, head string, columns string")
+    docs = documents.select("session", F.when(F.col("language").isin("en", "ja"), F.col("language")).otherwise("zh").alias("language"), "layout", "segments")
+    plain = lambda c: F.replace(F.regexp_replace(c, r"[\r\n]", " "), F.lit("|"), F.lit("\\|"))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    lists = items.where(~blank(F.col("text"))).groupBy("session", "section").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "owner", "due"))).alias("items"))
     full = docs.join(F.broadcast(plan), ["language", "layout"]).join(lists, ["session", "section"], "left")
-    named = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", missing).otherwise(cell(c))
-    table = F.concat(F.lit("| "), F.array_join("columns", " | "), F.lit(" |\n| --- | --- | --- |\n"), F.array_join(F.transform("items", lambda x: F.concat(F.lit("| "), cell(x["text"]), F.lit(" | "), named(x["owner"]), F.lit(" | "), named(x["due"]), F.lit(" |"))), "\n"), F.lit("\n"))
-    bullets = F.concat(F.array_join(F.transform("items", lambda x: F.concat(F.lit("- "), F.trim(x["text"]))), "\n"), F.lit("\n"))
-    body = F.when(F.col("items").isNull(), F.concat("none", F.lit("\n"))).when(F.col("section") == "action_items", table).otherwise(bullets)
-    parts = full.select("session", "title", "place", F.concat(F.lit("\n## "), "head", F.lit("\n\n"), body).alias("part"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]), "")
-    return parts.groupBy("session", "title").agg(joined.alias("parts")).select("session", F.concat(F.lit("# "), "title", F.lit("\n"), "parts").alias("content"))
+    missing = not_specified(F.col("language"))
+    named = lambda c: F.when(blank(c), missing).otherwise(plain(c))
+    table = F.concat("columns", F.array_join(F.transform("items", lambda x: F.concat(F.lit("| "), plain(x["text"]), F.lit(" | "), named(x["owner"]), F.lit(" | "), named(x["due"]), F.lit(" |"))), "\n"))
+    bullets = F.array_join(F.transform("items", lambda x: F.concat(F.lit("- "), plain(x["text"]))), "\n")
+    body = F.when(F.col("items").isNull(), F.col("none")).when(F.col("section") == "action_items", table).otherwise(bullets)
+    parts = full.select("session", F.concat("before", F.col("segments").cast("string"), "source").alias("before"), F.struct("place", F.concat("head", body, F.lit("\n\n")).alias("part")).alias("p"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), "")
+    return parts.groupBy("session", "before").agg(joined.alias("parts")).select("session", F.concat("before", "parts").alias("content"))
