@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 from gridloom.llm.common import checkpointed, code_points, free_name, held_out, powers, written
 
 SIZES = (3, 4, 5, 6)
-HASH_BITS = 20
+HASH_BITS = 19
 #: Files that the bounded sample's vectors are written to.
-PARTS = 6
+PARTS = 4
 
 
 @dataclass(frozen=True)
@@ -102,25 +102,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000, smoothing: fl
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
         return ToxicityModel(np.zeros(1 << HASH_BITS, np.float32), 0.0, 1.0 if n_toxic else 0.0)
-    counts = _class_counts(rows).toArrow()  # at most one row for each hash
-    seen = np.asarray(counts["feature"])
     share = n_toxic / (n_toxic + n_clean)
-    p = (np.asarray(counts["toxic"]) + smoothing * share) / n_toxic
-    q = (np.asarray(counts["clean"]) + smoothing * (1 - share)) / n_clean
+    p = (F.col("toxic") + smoothing * share) / n_toxic
+    q = (F.col("clean") + smoothing * (1 - share)) / n_clean
+    counts = _class_counts(rows).select("feature", F.log(p / q).cast("float").alias("ratio")).toArrow()  # one row a hash, 4 MB at most
     ratios = np.zeros(1 << HASH_BITS, np.float32)
-    ratios[seen] = np.log(p / q)
+    ratios[np.asarray(counts["feature"])] = np.asarray(counts["ratio"])
+    del counts
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def vectors(batches):
         for _, texts, marks in _texts(batches, "text", "label"):
             held = [np.unique(ngram_ids(t), return_counts=True) for t in texts]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in held])]).astype(np.int32))
-            at, times = (np.concatenate(x) for x in zip(*held))
-            values = shared.value[at] * np.log2(1 + times).astype(np.float32)
-            columns = [pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(marks, pa.float64())]
+            values = [shared.value[x] * np.log2(1 + n).astype(np.float32) for x, n in held]
+            columns = [pa.array([x.astype(np.int32).tobytes() for x, _ in held], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary()), pa.array(marks, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["at", "value", "label"])
 
-    prepared = written(rows.mapInArrow(vectors, "at array<int>, value array<float>, label double").coalesce(PARTS))
+    prepared = written(rows.mapInArrow(vectors, "at binary, value binary, label double").coalesce(PARTS))
     weights, intercept = logistic(prepared, n_toxic + n_clean, float(np.log(share / (1 - share))), strength)
     return ToxicityModel((weights * ratios).astype(np.float32), intercept)
 
@@ -128,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000, smoothing: fl
 def _slopes(rows: DataFrame, point: np.ndarray) -> tuple[float, np.ndarray]:
     """Summed logistic loss of the rows at a point (weights, then the intercept), and its gradient.
 
-    Every task sums up its own rows; at most PARTS sums, 4 MB each, reach the driver.
+    Every task sums up its own rows; at most PARTS sums, 2 MB each, reach the driver.
     """
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast(point)
@@ -136,29 +134,30 @@ def _slopes(rows: DataFrame, point: np.ndarray) -> tuple[float, np.ndarray]:
     def run(batches):
         w = shared.value
         slope, loss = np.zeros(len(w)), 0.0
-        for batch in batches:
-            at, value, label = (batch.column(i) for i in range(3))
-            sizes = np.diff(np.asarray(at.offsets))
-            where, values, marks = np.asarray(at.flatten()), np.asarray(value.flatten()).astype(np.float64), np.asarray(label)
-            row = np.repeat(np.arange(len(marks)), sizes)
+        for _, at, value, label in _texts(batches, "at", "value", "label", size=64):
+            where, values, marks = np.frombuffer(b"".join(at), np.int32), np.frombuffer(b"".join(value), np.float32), np.array(label)
+            row = np.repeat(np.arange(len(marks)), [len(x) // 4 for x in at])
             z = np.bincount(row, values * w[where], minlength=len(marks)) + w[-1]
             loss += float((np.logaddexp(0, z) - marks * z).sum())
             miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - marks
-            slope[:-1] += np.bincount(where, values * miss[row], minlength=len(w) - 1)
+            np.add.at(slope, where, values * miss[row])
             slope[-1] += miss.sum()
         yield pa.RecordBatch.from_pydict({"loss": [loss], "slope": [slope.astype(np.float32).tobytes()]})
 
-    parts = rows.mapInArrow(run, "loss double, slope binary").collect()
+    loss, slope = 0.0, np.zeros(len(point))
+    for part in rows.mapInArrow(run, "loss double, slope binary").collect():
+        loss += part["loss"]
+        slope += np.frombuffer(part["slope"], np.float32)
     shared.destroy()
-    return sum(r["loss"] for r in parts), sum((np.frombuffer(r["slope"], np.float32).astype(np.float64) for r in parts), np.zeros(len(point)))
+    return loss, slope
 
 
-def logistic(rows: DataFrame, n: int, intercept: float, strength: float, rounds: int = 25, memory: int = 8) -> tuple[np.ndarray, float]:
+def logistic(rows: DataFrame, n: int, intercept: float, strength: float, rounds: int = 20, memory: int = 4) -> tuple[np.ndarray, float]:
     """Weights and intercept of the least mean logistic loss plus strength / 2 times the squared weights.
 
     Limited-memory quasi-Newton steps over the unscaled values: the log-count ratios are
     their scale, which a standardising solver would take away. Each step is one Spark job
-    over the rows (at, value, label), more where a step has to be halved.
+    over the rows (at, value, label; the first two are packed numbers), more where a step has to be halved.
     """
     size = 1 << HASH_BITS
 
@@ -171,7 +170,7 @@ def logistic(rows: DataFrame, n: int, intercept: float, strength: float, rounds:
     x = np.zeros(size + 1)
     x[-1] = intercept
     loss, slope = at(x)
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    steps: list[tuple[np.ndarray, np.ndarray]] = []  # in single precision, to spare the driver's memory
     for _ in range(rounds):
         way, shares = slope.copy(), []
         for moved, turned in reversed(steps):
@@ -188,7 +187,7 @@ def logistic(rows: DataFrame, n: int, intercept: float, strength: float, rounds:
             length /= 2
         else:
             break
-        steps = [*steps, (-length * way, new - slope)][-memory:]
+        steps = [*steps, ((-length * way).astype(np.float32), (new - slope).astype(np.float32))][-memory:]
         x, slope, before, loss = x - length * way, new, loss, lower
         if before - loss < 1e-6 * before:
             break
@@ -199,7 +198,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
     """docs with the column `out` from 0 to 1 (replaced if there).
 
     Null and empty texts have no features and get the score of the intercept.
-    The weights, 4 MB at any input size, are broadcast.
+    The weights, 2 MB at any input size, are broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(out)
