@@ -20,9 +20,7 @@ from pyspark.sql import types as T
 from gridloom.llm.common import checkpointed, code_points, free_name, held_out, powers, written
 
 SIZES = (3, 4, 5, 6)
-HASH_BITS = 19
-#: Files that the bounded sample's vectors are written to.
-PARTS = 4
+HASH_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -105,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000, smoothing: fl
     share = n_toxic / (n_toxic + n_clean)
     p = (F.col("toxic") + smoothing * share) / n_toxic
     q = (F.col("clean") + smoothing * (1 - share)) / n_clean
-    counts = _class_counts(rows).select("feature", F.log(p / q).cast("float").alias("ratio")).toArrow()  # one row a hash, 4 MB at most
+    counts = _class_counts(rows).select("feature", F.log(p / q).cast("float").alias("ratio")).toArrow()  # one row a hash, 8 MB at most
     ratios = np.zeros(1 << HASH_BITS, np.float32)
     ratios[np.asarray(counts["feature"])] = np.asarray(counts["ratio"])
     del counts
@@ -118,59 +116,46 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000, smoothing: fl
             columns = [pa.array([x.astype(np.int32).tobytes() for x, _ in held], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary()), pa.array(marks, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["at", "value", "label"])
 
-    prepared = written(rows.mapInArrow(vectors, "at binary, value binary, label double").coalesce(PARTS))
-    weights, intercept = logistic(prepared, n_toxic + n_clean, float(np.log(share / (1 - share))), strength)
+    prepared = written(rows.mapInArrow(vectors, "at binary, value binary, label double"))
+    start = float(np.log(share / (1 - share)))
+
+    def solve(batches):
+        weights, intercept = logistic([part for _, *part in _texts(batches, "at", "value", "label", size=64)], start, strength)
+        yield pa.RecordBatch.from_pydict({"weights": [weights.astype(np.float32).tobytes()], "intercept": [intercept]})
+
+    solved = prepared.coalesce(1).mapInArrow(solve, "weights binary, intercept double").first()
+    weights, intercept = np.frombuffer(solved["weights"], np.float32), solved["intercept"]
     return ToxicityModel((weights * ratios).astype(np.float32), intercept)
 
 
-def _slopes(rows: DataFrame, point: np.ndarray) -> tuple[float, np.ndarray]:
-    """Summed logistic loss of the rows at a point (weights, then the intercept), and its gradient.
+def logistic(rows: list[tuple[list[bytes], list[bytes], list[float]]], intercept: float, strength: float, rounds: int = 30, memory: int = 8) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the least mean logistic loss plus strength / 2 times the squared weights.
 
-    Every task sums up its own rows; at most PARTS sums, 2 MB each, reach the driver.
+    rows are parts of the bounded sample (packed hashes, packed values, labels), so one
+    task holds them. Limited-memory quasi-Newton steps over the unscaled values: the
+    log-count ratios are their scale, which a standardising solver would take away.
     """
-    sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast(point)
-
-    def run(batches):
-        w = shared.value
-        slope, loss = np.zeros(len(w)), 0.0
-        for _, at, value, label in _texts(batches, "at", "value", "label", size=64):
-            where, values, marks = np.frombuffer(b"".join(at), np.int32), np.frombuffer(b"".join(value), np.float32), np.array(label)
-            row = np.repeat(np.arange(len(marks)), [len(x) // 4 for x in at])
-            z = np.bincount(row, values * w[where], minlength=len(marks)) + w[-1]
+    size = 1 << HASH_BITS
+    n = sum(len(labels) for *_, labels in rows)
+
+    def slope_at(x: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, slope = 0.0, np.zeros(size + 1)
+        for at, value, labels in rows:
+            where, values, marks = np.frombuffer(b"".join(at), np.int32), np.frombuffer(b"".join(value), np.float32), np.array(labels)
+            row = np.repeat(np.arange(len(marks)), [len(y) // 4 for y in at])
+            z = np.bincount(row, values * x[where], minlength=len(marks)) + x[-1]
             loss += float((np.logaddexp(0, z) - marks * z).sum())
             miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - marks
             np.add.at(slope, where, values * miss[row])
             slope[-1] += miss.sum()
-        yield pa.RecordBatch.from_pydict({"loss": [loss], "slope": [slope.astype(np.float32).tobytes()]})
-
-    loss, slope = 0.0, np.zeros(len(point))
-    for part in rows.mapInArrow(run, "loss double, slope binary").collect():
-        loss += part["loss"]
-        slope += np.frombuffer(part["slope"], np.float32)
-    shared.destroy()
-    return loss, slope
-
-
-def logistic(rows: DataFrame, n: int, intercept: float, strength: float, rounds: int = 20, memory: int = 4) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the least mean logistic loss plus strength / 2 times the squared weights.
-
-    Limited-memory quasi-Newton steps over the unscaled values: the log-count ratios are
-    their scale, which a standardising solver would take away. Each step is one Spark job
-    over the rows (at, value, label; the first two are packed numbers), more where a step has to be halved.
-    """
-    size = 1 << HASH_BITS
-
-    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
-        loss, slope = _slopes(rows, x)
-        slope = slope / n
+        slope /= n
         slope[:-1] += strength * x[:-1]
         return loss / n + strength / 2 * float(x[:-1] @ x[:-1]), slope
 
     x = np.zeros(size + 1)
     x[-1] = intercept
-    loss, slope = at(x)
-    steps: list[tuple[np.ndarray, np.ndarray]] = []  # in single precision, to spare the driver's memory
+    loss, slope = slope_at(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
         way, shares = slope.copy(), []
         for moved, turned in reversed(steps):
@@ -181,13 +166,13 @@ def logistic(rows: DataFrame, n: int, intercept: float, strength: float, rounds:
             way += moved * (share - turned @ way / (moved @ turned))
         length = 1.0
         while length > 1e-3:
-            lower, new = at(x - length * way)
+            lower, new = slope_at(x - length * way)
             if lower <= loss - 1e-4 * length * float(slope @ way):
                 break
             length /= 2
         else:
             break
-        steps = [*steps, ((-length * way).astype(np.float32), (new - slope).astype(np.float32))][-memory:]
+        steps = [*steps, (-length * way, new - slope)][-memory:]
         x, slope, before, loss = x - length * way, new, loss, lower
         if before - loss < 1e-6 * before:
             break
@@ -198,7 +183,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
     """docs with the column `out` from 0 to 1 (replaced if there).
 
     Null and empty texts have no features and get the score of the intercept.
-    The weights, 2 MB at any input size, are broadcast.
+    The weights, 4 MB at any input size, are broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(out)
