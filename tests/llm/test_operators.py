@@ -445,6 +445,24 @@ def test_kneser_ney_scores_without_the_driver(spark, monkeypatch):
     assert len(whole) == 40 and whole == pytest.approx(dealt)
 
 
+def test_kneser_ney_sums_to_one_and_is_never_infinite(spark):
+    """Counts of one, two and three or more only, so that counts of counts give no discount of their own."""
+    train = spark.createDataFrame([("a b c d e",)] * 4 + [("b c a",)] * 3 + [("d a",)], "text string")
+    for texts in (train, train.where("text = 'a b c d e'")):
+        model = kneser_ney.KneserNey(texts, of_words=True)
+        assert all(0 < d for ds in model.discounts.values() for d in ds)
+        words = [bytes(r["g"]) for r in model.counts[1].collect()] + [b"no word."]
+        contexts = {bytes(r["g"])[:16] for r in model.counts[3].collect()} | {b"no words at all."}
+        asked = spark.createDataFrame([(bytearray(c + w),) for c in contexts for w in words], "g binary")
+        sums: Counter = Counter()
+        for r in model.probabilities(asked).collect():
+            assert np.isfinite(r["logp"])
+            sums[bytes(r["g"])[:16]] += np.exp(r["logp"])
+        assert len(sums) == len(contexts) and all(v == pytest.approx(1.0) for v in sums.values())
+    rows = kneser_ney.classify(table(spark, SF, "documents"), table(spark, SF, "labels")).where("perplexity is not null").collect()
+    assert rows and all(np.isfinite(r["perplexity"]) for r in rows)
+
+
 def test_kneser_ney_odd_rows(spark, odd):
     for labels in (spark.createDataFrame([(4, 1), (None, 1), (5, 0)], "doc_id long, quality int"), spark.createDataFrame([], "doc_id long, quality int")):
         rows = kneser_ney.classify(odd, labels).collect()
