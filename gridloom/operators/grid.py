@@ -90,17 +90,21 @@ def _islands(rows: DataFrame, keys: list[str], at: str, gap: int, breaks: Column
     return rows.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
+def numbered_rows(cells: DataFrame) -> DataFrame:
+    """(doc, sheet, row, band): rows with text and the number of their run; a row with bold text begins a new one."""
+    rows = cells.where(has_text(F.col("display"))).groupBy(*SHEET, "row").agg(F.bool_or(F.coalesce("bold", F.lit(False))).alias("heading"))
+    return _islands(rows, SHEET, "row", 1, F.col("heading")).select(*SHEET, "row", F.col("island").alias("band"))
+
+
 def row_bands(cells: DataFrame) -> DataFrame:
     """(doc, sheet, band, r0, r1): runs of rows with text; a row with bold text begins a new one."""
-    rows = cells.where(has_text(F.col("display"))).groupBy(*SHEET, "row").agg(F.bool_or(F.coalesce("bold", F.lit(False))).alias("heading"))
-    return _islands(rows, SHEET, "row", 1, F.col("heading")).groupBy(*SHEET, F.col("island").alias("band")).agg(F.min("row").alias("r0"), F.max("row").alias("r1"))
+    return numbered_rows(cells).groupBy(*SHEET, "band").agg(F.min("row").alias("r0"), F.max("row").alias("r1"))
 
 
 def column_islands(cells: DataFrame) -> DataFrame:
     """(doc, sheet, band, island, r0, r1, c0, c1): inside each band, runs of columns with text."""
-    full = cells.where(has_text(F.col("display")))
-    bands = row_bands(cells)
-    columns = full.join(bands, SHEET).where(F.col("row").between(F.col("r0"), F.col("r1"))).select(*SHEET, "band", "r0", "r1", "col").distinct()
+    full = cells.where(has_text(F.col("display"))).select(*SHEET, "row", "col").join(numbered_rows(cells), [*SHEET, "row"])
+    columns = full.groupBy(*SHEET, "band", "col").agg(F.lit(1).alias("one")).join(row_bands(cells), [*SHEET, "band"]).drop("one")
     return _islands(columns, [*SHEET, "band"], "col", 1).groupBy(*SHEET, "band", "island", "r0", "r1").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
 
 

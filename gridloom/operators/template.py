@@ -43,6 +43,16 @@ class Region:
     repeat: bool = False
     header_rows: int = 1
     ignore: bool = False
+    end_pattern: str | None = None
+    title: str | None = None
+    required: bool = False
+    stop_after: int = 0
+    shrink: bool = False
+    trim: bool | None = None
+    key_col: int = 1
+    value_col: int = 2
+    keys: tuple[tuple[str, str], ...] = ()
+    columns: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass(frozen=True)

@@ -6,12 +6,13 @@ import json
 import os
 import re
 
+from gridloom.operators.regions import Sheet
 from gridloom.operators.template import Fingerprint, Region, Template
 
 SUFFIXES = (".json", ".yaml", ".yml")
 #: What the root and its parts must have, and the type of each.
 ROOT = {"schema_version": str, "template_id": str, "version": str, "name": str, "sheets": list}
-SHEET = {"sheet_id": str, "name_pattern": str}
+SHEET_FIELDS = {"sheet_id": str, "name_pattern": str}
 REGION = {"region_id": str, "region_type": str, "locator": dict}
 
 
@@ -44,7 +45,7 @@ def problems(data: object) -> list[str]:
 
     if check(data, ROOT, ()):
         for i, sheet in enumerate(data["sheets"] if isinstance(data.get("sheets"), list) else []):
-            if check(sheet, SHEET, ("sheets", str(i))):
+            if check(sheet, SHEET_FIELDS, ("sheets", str(i))):
                 for j, region in enumerate(sheet.get("regions") or []):
                     at = ("sheets", str(i), "regions", str(j))
                     if check(region, REGION, at) and isinstance(region.get("locator"), dict) and "mode" not in region["locator"]:
@@ -52,15 +53,29 @@ def problems(data: object) -> list[str]:
     return [f"{'.'.join(at) or '$'}: {message}" for at, message in sorted(found)]
 
 
+def _flag(value: object) -> bool:
+    return value.strip().lower() in ("1", "true", "yes", "on") if isinstance(value, str) else bool(value)
+
+
+def _pairs(mapping: dict | None) -> tuple[tuple[str, str], ...]:
+    return tuple((str(k), str(v)) for k, v in (mapping or {}).items())
+
+
 def _region(raw: dict, sheet_order: int) -> Region:
+    """Without an extractor a region is extracted by its type; blanks and columns are cut as its options say."""
     place, extractor = raw["locator"], raw.get("extractor") or {}
+    options = extractor.get("options") or {}
     box = None
     if place.get("range"):
         first, _, last = place["range"].partition(":")
         box = (*_position(first), *_position(last or first))
     return Region(
-        region_id=raw["region_id"], kind=raw["region_type"], order=1_000 * sheet_order + int(raw.get("order") or 0), anchor_text=place.get("anchor_text"), anchor_pattern=place.get("anchor_pattern"), end_text=place.get("end_anchor_text"), range=box,
-        row_offset=int(place.get("row_offset") or 0), col_offset=int(place.get("column_offset") or 0), height=place.get("height"), width=place.get("width"), repeat=bool(place.get("repeat_anchor")), header_rows=int(extractor.get("header_rows", 1)), ignore=raw["region_type"] == "ignore",
+        region_id=raw["region_id"], kind=extractor.get("kind") or raw["region_type"], order=1_000 * sheet_order + int(raw.get("order") or 0), title=raw.get("title"), required=bool(raw.get("required")), range=box,
+        anchor_text=place.get("anchor_text"), anchor_pattern=place.get("anchor_pattern"), end_text=place.get("end_anchor_text"), end_pattern=place.get("end_anchor_pattern"),
+        row_offset=int(place.get("row_offset") or 0), col_offset=int(place.get("column_offset") or 0), height=place.get("height"), width=place.get("width"), repeat=bool(place.get("repeat_anchor")),
+        header_rows=int(extractor.get("header_rows") or 0), key_col=int(extractor.get("key_column") or 1), value_col=int(extractor.get("value_column") or 2), keys=_pairs(extractor.get("key_semantics")), columns=_pairs(extractor.get("column_semantics")),
+        stop_after=int(options.get("stop_after_blank_rows") or 0), shrink=_flag(options.get("shrink_to_content")), trim=_flag(options["trim_empty_columns"]) if "trim_empty_columns" in options else None,
+        ignore=raw["region_type"] == "ignore" or _flag(options.get("ignore")),
     )
 
 
@@ -70,11 +85,16 @@ def template_of(data: dict) -> Template:
         raise TemplateError("; ".join(wrong))
     match = data.get("match") or {}
     marks = [Fingerprint({_position(a): str(t) for a, t in (f.get("cells") or {}).items()}, tuple(f.get("required_text") or ()), float(f.get("weight", 1.0)), f.get("sheet_name_pattern")) for f in match.get("fingerprints") or []]
-    regions = [_region(r, int(s.get("order") or 0)) for s in data["sheets"] for r in s.get("regions") or []]
+    regions = [r for s in sheets_of(data) for r in s.regions]
     score = {"min_score": float(match["minimum_score"])} if "minimum_score" in match else {}
     return Template(data["template_id"], data["version"], tuple(match.get("sheet_name_patterns") or ()), tuple(marks), tuple(regions), **score)
 
 
+def sheets_of(data: dict) -> tuple[Sheet, ...]:
+    """The sheets of a mapping without problems(), for gridloom.operators.regions."""
+    return tuple(Sheet(s["sheet_id"], s["name_pattern"], tuple(_region(r, int(s.get("order") or 0)) for r in s.get("regions") or []), bool(s.get("required", True))) for s in data["sheets"])
+
+
 def _pack_file(folder: str) -> str | None:
     return next((p for s in (".yaml", ".yml", ".json") if os.path.isfile(p := os.path.join(folder, f"template{s}"))), None)
 
