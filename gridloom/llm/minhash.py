@@ -27,6 +27,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 #: Texts with more units than this beyond a hub may meet a partner several times; results don't depend on it.
 CARRIED = 512
+#: A join deals groups of more rows than this over several tasks; at most so many groups, whose keys are broadcast.
+DEALT_ROWS, DEALT_GROUPS = 1_000, 100_000
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 _COORDINATE, _VALUE, _POSITION, _UNIT = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F, 0x8CB92BA72F3D8DD7))
@@ -265,10 +267,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     gives no rows. Columns other than key and text are not read.
     """
     signed, labels = text_classes(docs, key, text)
-    rows = signed.select("doc", "t").join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
-    classes = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size"))
-    out = rows.join(classes, "label", "left")
-    return out.select(F.col("doc").alias(key), F.when(F.col("label").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    total = signed.count()
+    texts = checkpointed(signed.where(F.col("t").isNotNull()).groupBy("t").agg(F.min("doc").alias("class_id"), F.count("*").alias("n")).join(labels, "t", "left"))
+    linked = texts.where(F.col("label").isNotNull())
+    classes = checkpointed(linked.groupBy("label").agg(F.min("class_id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n")))
+    linked = _dealt_join(linked.select("t", "label", F.col("n").alias("copies")), classes, "label", "t", total).select("t", "class_id", "class_size", F.col("copies").alias("n"))
+    alone = texts.where(F.col("label").isNull()).select("t", "class_id", F.col("n").alias("class_size"), "n")
+    rows = _dealt_join(signed.where(F.col("t").isNotNull()).select("doc", "t"), checkpointed(alone.unionByName(linked)), "t", "doc", total)
+    wordless = signed.where(F.col("t").isNull()).select("doc", F.col("doc").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return rows.select("doc", "class_id", "class_size").unionByName(wordless).withColumnRenamed("doc", key)
+
+
+def _dealt_join(rows: DataFrame, groups: DataFrame, on: str, by: str, total: int) -> DataFrame:
+    """rows with the columns of their group: groups has one row for each value of `on` and n, how many rows have it.
+
+    The rows of a large group are dealt by a hash of `by`, and the group's row is
+    copied to each part. At most total / DEALT_ROWS groups are large, and never more
+    than DEALT_GROUPS.
+    """
+    most = max(DEALT_ROWS, -(-total // DEALT_GROUPS))
+    parts = F.ceil(F.col("n") / most).cast("int")
+    large = groups.where(F.col("n") > most).select(on, parts.alias("parts"))
+    dealt = rows.join(F.broadcast(large), on, "left").withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return dealt.join(groups.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), [on, "part"]).drop("part")
 
 
 def _digests(text: str, out: str):
@@ -288,8 +309,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Rows without words all stay. Of repeated rows one stays.
     """
     signed, labels = text_classes(docs, key, text)
-    rows = signed.where(F.col("t").isNotNull()).select("doc", "t").join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
-    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), "doc", "t")).alias("m")).select(F.col("m.doc").alias("doc"), F.col("m.t").alias("t"))
+    texts = signed.where(F.col("t").isNotNull()).groupBy("t").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), "doc")).alias("d"))
+    texts = texts.join(labels, "t", "left").withColumn("label", F.coalesce("label", "t"))
+    first = texts.groupBy("label").agg(F.min(F.struct("d.z", "d.doc", "t")).alias("m")).select(F.col("m.doc").alias("doc"), F.col("m.t").alias("t"))
     t, n = free_name(docs, "t"), free_name(docs, "n")
     marked = docs.mapInArrow(_digests(text, t), T.StructType([*docs.schema.fields, T.StructField(t, T.BinaryType())]))
     first = first.select(F.col("doc").alias(n), F.col("t").alias(f"{n}t"))

@@ -537,6 +537,16 @@ def test_dart_minhash_estimates_weighted_similarity():
     assert abs(got - want) < 0.04
 
 
+def test_dealt_groups_give_the_same_classes(spark, monkeypatch):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, text) for i in range(9)] + [(10 + i, f"{text} tail{i}") for i in range(9)] + [(30, None), (31, ""), (32, "alone here"), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str)
+    assert sorted({r[1:] for r in plain}) == [(0, 19), (30, 1), (31, 1), (32, 1)]
+    monkeypatch.setattr(minhash, "DEALT_ROWS", 2)
+    assert sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str) == plain
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     rows = [(r["doc_id"], r["class_id"], r["class_size"]) for r in minhash.near_duplicates(odd).collect()]
     assert Counter(rows) == Counter([(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 1), (5, 5, 3), (5, 5, 3), (6, 5, 3), (None, None, 1), (7, 7, 1)])
