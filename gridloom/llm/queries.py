@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, forest, html, kneser_ney, minhash, packing, pii, repetition, toxicity
+from gridloom.llm import bpe, chat, forest, html, kneser_ney, language_mix, minhash, packing, pii, prefix_trie, repetition, toxicity, vector_codes
 from gridloom.llm.common import held_out, table
 
 #: The text of the extra conversation of op8.
@@ -91,6 +91,21 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_mix.fit(docs.where(~language_mix.held_out(F.col("doc_id"))))
+    rows = language_mix.predict(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", language_mix.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,9 +113,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_hash_forest, op2_pii_surrogates, op3_toxicity, op4_repetition, op5_byte_bpe, op6_packing, op7_main_text, op8_reply_trees, op9_kneser_ney, op10_dart_minhash, pipeline)
+    own = (op1_hash_forest, op2_pii_surrogates, op3_toxicity, op4_repetition, op5_byte_bpe, op6_packing, op7_main_text, op8_reply_trees, op9_kneser_ney, op10_dart_minhash, op11_prefix_trie, op12_vector_codes, op13_language_mix, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_prefix_trie": prefix_trie.SQL, "op12_vector_codes": vector_codes.SQL}
