@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.folds import folded
 from gridloom.functions.text import strip, utf16_length
 from gridloom.functions.times import clamp, clock, playback_time, srt_time
 
@@ -155,29 +156,23 @@ def summary_chunks(segments: DataFrame, budget: int = 2_500) -> DataFrame:
 
     Whole confirmed segments in order; a chunk closes when the next would pass the
     budget (500 to 20000 UTF-16 units). A segment over the budget stands alone and
-    is marked. The fold runs over one session's ordered lengths.
+    is marked. The fold reads a session's lengths in order and keeps one sum.
     """
     limit = min(MOST_BUDGET, max(LEAST_BUDGET, budget))
-    rows = segments.where(F.col("status").isin(*CONFIRMED))
-    own = F.struct(F.col("seq"), utf16_length(F.col("text")).alias("n"), F.col("start_ms"), F.col("end_ms"))
-    items = rows.groupBy("session").agg(F.array_sort(F.collect_list(own)).alias("items"))
-    kind = "struct<chunk:int,sum:int,oversize:boolean,ids:array<int>,over:array<boolean>>"
-    start = F.from_json(F.lit('{"chunk":0,"sum":0,"oversize":false,"ids":[],"over":[]}'), kind)
-
-    def step(s: Column, x: Column) -> Column:
-        alone = x["n"] > limit
-        fresh = alone | s["oversize"] | (F.size(s["ids"]) == 0) | ((s["sum"] > 0) & (s["sum"] + x["n"] > limit))
-        chunk = s["chunk"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(
-            chunk.alias("chunk"), F.when(fresh, x["n"]).otherwise(s["sum"] + x["n"]).alias("sum"), alone.alias("oversize"),
-            F.concat(s["ids"], F.array(chunk)).alias("ids"), F.concat(s["over"], F.array(alone)).alias("over"),
-        )
-
-    folded = items.withColumn("f", F.aggregate("items", start, step))
-    flat = folded.select("session", F.explode(F.arrays_zip("items", F.col("f.ids").alias("ids"), F.col("f.over").alias("over"))).alias("z"))
-    return flat.groupBy("session", F.col("z.ids").alias("chunk")).agg(
-        F.min("z.items.seq").alias("first_seq"), F.max("z.items.seq").alias("last_seq"), F.count("*").alias("segments"), F.sum("z.items.n").alias("chars"),
-        F.bool_or("z.over").alias("oversize"), F.min_by("z.items.start_ms", "z.items.seq").alias("start_ms"), F.max_by("z.items.end_ms", "z.items.seq").alias("end_ms"),
+    rows = segments.where(F.col("status").isin(*CONFIRMED)).select("session", "seq", utf16_length(F.col("text")).cast("long").alias("n"), "start_ms", "end_ms")
+
+    def step(state: tuple, row: dict):
+        chunk, held, oversize = state
+        alone = row["n"] > limit
+        fresh = alone or oversize or chunk == 0 or (held > 0 and held + row["n"] > limit)
+        state = (chunk + fresh, row["n"] if fresh else held + row["n"], alone)
+        return state, [(state[0], row["seq"], row["n"], alone, row["start_ms"], row["end_ms"])]
+
+    kind = dict(segments.dtypes)["session"]
+    placed = folded(rows.fillna(0, ["n"]), "seq", lambda: (0, 0, False), step, f"session {kind}, chunk int, seq long, n long, over boolean, start_ms long, end_ms long")
+    return placed.groupBy("session", "chunk").agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("segments"), F.sum("n").alias("chars"),
+        F.bool_or("over").alias("oversize"), F.min_by("start_ms", "seq").alias("start_ms"), F.max_by("end_ms", "seq").alias("end_ms"),
     )
 
 
