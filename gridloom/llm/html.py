@@ -43,6 +43,11 @@ CHROME_WORDS = {
     "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "topbar", "widget",
 }
 MAIN_WORDS = {"article", "content", "entry", "main", "post", "story", "text"}
+#: Words that say of what kind an element is or where it stands; with one of CHROME_WORDS they name a part, as in comment-list.
+STRUCTURE_WORDS = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "col", "column", "container", "cta", "foot", "form", "global", "group", "head", "heading", "holder", "icon", "icons", "inline", "inner", "item", "items", "left",
+    "link", "links", "list", "local", "mobile", "module", "outer", "page", "pane", "panel", "posts", "primary", "region", "right", "row", "secondary", "section", "site", "slot", "strip", "thread", "title", "top", "unit", "wrap", "wrapper", "wp", "zone",
+}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -55,18 +60,21 @@ BLOCK = T.StructType([
     T.StructField("text", T.StringType(), False), T.StructField("words", T.IntegerType(), False), T.StructField("link", T.DoubleType(), False),
     T.StructField("place", T.IntegerType(), False), T.StructField("heading", T.IntegerType(), False), T.StructField("share", T.DoubleType(), False),
 ])
-#: A menu, footer and the like, by tag or role, or by name on a page with a named article; outside that article; in a
-#: part that a name alone tells to be beside the article, where none is named; no name at all; inside the named article.
+#: A menu, footer and the like, by tag or role, or by its whole name on a page with a named article; outside that article;
+#: in a part that a name alone tells to be beside the article, where none is named; no such name; inside the named article.
+#: A hint is no place: share alone, which is 0 in parts without one, and the words and links speak there.
 BESIDE, OUTSIDE, NAMED_BESIDE, UNNAMED, INSIDE = range(5)
 FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "place", "heading", "share")
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element names the article; 2 if its tag or role says that it stands beside it, 1 if a class or id does.
+def _marks(tag: str, attributes: str) -> tuple[bool, int, bool]:
+    """Whether an element names the article; 2 if its tag or role says that it stands beside it, 1 if a class or id does; whether one hints at it.
 
-    Names such as has-sidebar tell the state of a page, not what the element is.
+    A name tells what an element is if all its words name parts or structure, as
+    comment-list does. reviews-of-books only has such a word: a hint. Names such as
+    has-sidebar tell the state of a page, not what the element is.
     """
-    chrome, main = 2 * (tag in CHROME_TAGS), tag in MAIN_TAGS
+    chrome, main, hint = 2 * (tag in CHROME_TAGS), tag in MAIN_TAGS, False
     if attributes and tag not in ("body", "main"):
         for name, *value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), entities.unescape("".join(value))
@@ -74,12 +82,14 @@ def _marks(tag: str, attributes: str) -> tuple[bool, int]:
                 chrome = max(chrome, 2 * (value.lower() in CHROME_ROLES))
                 main |= value.lower() in MAIN_TAGS
             elif name in ("class", "id"):
-                words = {w.lower() for part in value.split() if not _STATE.match(part) for w in _NAME_PART.findall(part)}
-                chrome = max(chrome, int(bool(words & CHROME_WORDS)))
+                names = [{w.lower() for w in _NAME_PART.findall(part)} for part in value.split() if not _STATE.match(part)]
+                words = set().union(*names)
+                chrome = max(chrome, int(any(n & CHROME_WORDS and n <= CHROME_WORDS | MAIN_WORDS | STRUCTURE_WORDS for n in names)))
+                hint |= bool(words & CHROME_WORDS)
                 main |= bool(words & MAIN_WORDS) and not words & CHROME_WORDS
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 chrome = 2
-    return main, chrome
+    return main, chrome, hint
 
 
 def blocks(page: str | None) -> list[tuple[str, int, float, int, int, float]]:
@@ -88,14 +98,14 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int, int, float]]:
     Character references are decoded and blanks inside a block become one space.
     place rises with what speaks for an article: BESIDE, OUTSIDE, NAMED_BESIDE,
     UNNAMED, INSIDE. share is the part of the page's words that the outermost element
-    around the block holds which _marks() takes for no article. End tags without a
+    around the block holds which _marks() takes for no article, or hints at it. End tags without a
     start, and starts without an end, are tolerated.
     """
     found: list[tuple[str, int, float, int, int, int, int]] = []
     if not page:
         return []
-    # Tag, in the article, beside it, number of the part beside it, whether that is a header of the article (whose headings are its own), silent.
-    stack: list[tuple[str, bool, int, int, bool, bool]] = [("", False, 0, 0, False, False)]
+    # Tag, in the article, beside it, number of the part beside it, whether that is a header of the article (whose headings are its own), silent, hinted at.
+    stack: list[tuple[str, bool, int, int, bool, bool, bool]] = [("", False, 0, 0, False, False, False)]
     part_words = [0]
     pieces: list[str] = []
     linked: list[str] = []
@@ -108,7 +118,7 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int, int, float]]:
         if text:
             n = text.count(" ") + 1
             link = sum(len(x.split()) for x in linked)
-            _, in_main, in_chrome, part, own_head, _ = stack[-1]
+            _, in_main, in_chrome, part, own_head, _, _ = stack[-1]
             part_words[part] += n
             found.append((text, n, min(1.0, link / n), int(in_main), 0 if own_head and heading else in_chrome, int(heading), part))
         pieces.clear()
@@ -156,15 +166,17 @@ def blocks(page: str | None) -> list[tuple[str, int, float, int, int, float]]:
                         del stack[i:]
                         break
             elif not attributes.endswith("/"):
-                main, chrome = _marks(tag, attributes)
-                _, in_main, in_chrome, part, own_head, silent = stack[-1]
+                main, chrome, hint = _marks(tag, attributes)
+                _, in_main, in_chrome, part, own_head, silent, hinted = stack[-1]
+                if tag in MAIN_TAGS and hinted or tag == "main":
+                    part, own_head, hinted = 0, False, False  # what surrounds the article by its tag is no part of it
                 if tag == "main":
-                    in_chrome, part, own_head = 0, 0, False
-                elif chrome and not in_chrome:
+                    in_chrome = 0
+                elif chrome and not in_chrome or hint and not (in_chrome or hinted or chrome):
                     part_words.append(0)
                     part, own_head = len(part_words) - 1, tag == "header" and in_main
                 in_chrome = max(in_chrome, chrome) if tag != "main" else 0
-                stack.append((tag, in_main or main and not in_chrome, in_chrome, part, own_head, silent or tag in SILENT))
+                stack.append((tag, in_main or main and not in_chrome, in_chrome, part, own_head, silent or tag in SILENT, hinted or hint and tag not in MAIN_TAGS))
     flush()
     named, total = any(b[3] for b in found), sum(b[1] for b in found)
 
@@ -196,14 +208,14 @@ def page_blocks(pages: DataFrame, html: str = "html", out: str = "blocks") -> Da
 
 
 def labelled_blocks() -> pd.DataFrame:
-    """FEATURES and label, 1 for text of the article, of every block of the labelled pages."""
+    """FEATURES, label (1 for text of the article) and the number of its page, of every block of the labelled pages."""
     rows = []
-    for page in html_pages.pages():
+    for number, page in enumerate(html_pages.pages()):
         found = blocks(page)
         sizes = [(0.0, 0.0), *[(float(b[1]), b[2]) for b in found], (0.0, 0.0)]
         for i, (text, n, link, place, heading, share) in enumerate(found):
-            rows.append((n, link, *sizes[i], *sizes[i + 2], place, heading, share, text.startswith(html_pages.MARK)))
-    return pd.DataFrame(rows, columns=[*FEATURES, "label"]).astype(float)
+            rows.append((n, link, *sizes[i], *sizes[i + 2], place, heading, share, text.startswith(html_pages.MARK), number))
+    return pd.DataFrame(rows, columns=[*FEATURES, "label", "page"]).astype(float)
 
 
 def train_tree(spark: SparkSession, labelled: pd.DataFrame | None = None, max_depth: int = 12):

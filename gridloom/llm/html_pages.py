@@ -47,6 +47,10 @@ def _links(n: int, words: int, tag: str = "ul") -> str:
     return f"<{tag}>" + "".join(f'<li><a href="/{i}">{_words(words)}</a></li>' for i in range(n)) + f"</{tag}>"
 
 
+#: Names that only have a word of CHROME_WORDS, and elements that name the article.
+HINTS = ('id="reviews-of-books"', 'class="search-engines-history"', 'class="social-theory chapter"', 'id="the-modal-verb"')
+NAMED = ("<article>{}</article>", "<main>{}</main>", '<div role="main">{}</div>', '<div class="post">{}</div>')
+
 #: Articles, from one paragraph to many, with headings, lists, short lines, quotes and links among the text.
 ARTICLES = (
     _text("p", 60),
@@ -57,6 +61,7 @@ ARTICLES = (
     _text("h1", 11) + _text("p", 90, 6) + _text("h2", 3) + _text("p", 120, 10) + _text("p", 4, 4) + _text("p", 70) + _text("h2", 4) + _text("p", 38, 3) + _text("p", 16),
     _text("h1", 7) + _text("p", 40) + "<ul>" + _text("li", 12) + _text("li", 5) + _text("li", 9, 2) + _text("li", 16) + "</ul>" + _text("p", 52) + _text("blockquote", 28) + _text("p", 6, 6) + _text("p", 33),
     _text("p", 48) + _text("p", 10) + _text("p", 80, 20) + _text("p", 9, 9) + _text("p", 65) + _text("p", 26, 12) + _text("p", 31),
+    _text("h1", 3) + _text("p", 25) + _text("h2", 2) + _text("p", 41) + _text("h2", 1) + _text("p", 36) + _text("h3", 2) + _text("p", 19),
     _text("h1", 9, 9) + _text("h2", 12) + _text("p", 150) + _text("p", 2, 2) + _text("p", 44) + _text("p", 7) + _text("p", 95) + _text("p", 58),
     "".join(_text("p", n) for n in (35, 20, 17, 28, 55, 12, 40, 23, 15, 62)),
 )
@@ -107,6 +112,14 @@ def pages() -> Iterator[str]:
     for n in (8, 30, 90):
         yield f'<html><body><article><header>{_text("h1", 7)}<p>{_words(6, 1)}</p></header>{_text("p", 45)}{_text("p", 60)}<div class="comment"><p>{_words(n)}</p><p>{_words(12)}</p></div></article></body></html>'
         yield f'<html><body><article>{_text("h1", 4)}{_text("p", 70)}<div class="promo">{_words(n, 2)}</div>{_text("p", 25)}{_text("p", 3)}</article><footer>{_words(n)}</footer></body></html>'
+    # Parts of a named article whose names only have a word of menus and the like: text if they read as text, else not.
+    for name, layout in product(HINTS, NAMED):
+        for a, b, c in ((60, 70, 0), (50, 26, 40), (18, 33, 120), (110, 9, 260), (14, 4, 30)):
+            rest = _text("p", c) if c else ""
+            yield f'<html><body><nav>{_links(5, 1)}</nav>{layout.format(f"""<div {name}>{_text("p", a)}{_text("p", b)}</div>{rest}""")}<footer>{_words(7)}</footer></body></html>'
+            yield f'<html><body>{layout.format(f"""{_text("h1", 6)}{rest}{_text("p", a)}<section {name}>{_text("h2", 3)}{_text("p", b)}</section>{_text("p", a)}""")}</body></html>'
+            yield f'<html><body>{layout.format(f"""{_text("p", a)}<div {name}>{_links(6, 3)}</div>{_text("p", b)}{rest}<div {name}><p>{_words(5, 5)}</p></div>""")}</body></html>'
+            yield f'<html><body><div {name}>{_links(4, 2)}{layout.format(_text("p", a) + _text("p", b) + rest)}</div></body></html>'
     # Articles of very short paragraphs or words alone.
     for tag, layout in product(("p", "div", "li"), ("<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>')):
         yield "<html><body><nav>" + _links(5, 1) + "</nav>" + layout.format("".join(_text(tag, n) for n in (1, 1, 1, 2, 1, 3, 1, 1, 12, 1, 5))) + "<footer>" + _words(5) + "</footer></body></html>"

@@ -40,6 +40,19 @@ SHAPES = {
     "short paragraphs": ("<article>" + f"<p>{t(1)}</p>" * 30 + "</article>", 30),
     "sidebar": (f'<div class="post"><p>{t(80)}</p><p>{t(20)}</p></div><div class="sidebar"><p>{t(60, "beta")}</p>{links(4)}</div>', 100),
     "aside inside": (f"<article><p>{t(40)}</p><aside><p>{t(40, 'beta')}</p></aside><p>{t(40)}</p></article>", 80),
+    "named by a title": (f'<main><div id="reviews-of-books"><p>{t(60)}</p><p>{t(70)}</p></div></main>', 130),
+    "part named by a title": (f'<article><p>{t(80)}</p><div class="search-engines-history"><p>{t(50)}</p></div><p>{t(30)}</p></article>', 160),
+    "sections named by titles": (f'<main><h1>{t(5)}</h1><section id="a-feedback-loop"><h2>{t(3)}</h2><p>{t(44)}</p></section><section id="meta-analysis-of-sharing-data"><h2>{t(4)}</h2><p>{t(61)}</p><p>{t(12)}</p></section></main>', 129),
+    "page named by its title": (f'<body id="login-history-of-unix"><div class="discussion-paper-12"><article><p>{t(44)}</p><p>{t(13)}</p></article></div></body>', 57),
+    "comment list in the article": (f'<article><p>{t(70)}</p><div class="comment-list"><p>{t(40, "beta")}</p><p>{t(25, "beta")}</p></div></article>', 70),
+    "parts of two words": (f'<article><div class="share-buttons"><p>{t(12, "beta")}</p></div><p>{t(50)}</p><div id="related-posts">{links(4, 6)}<p>{t(20, "beta")}</p></div><p>{t(33)}</p><div class="newsletterSignup box"><p>{t(30, "beta")}</p></div></article>', 83),
+    "links named by a title": (f'<article><p>{t(50)}</p><div class="search-engines-compared">{links(9, 2)}</div><p>{t(40)}</p></article>', 90),
+    "blog": (f'<div class="site-header"><h2>{t(2, "beta")}</h2></div><div id="main-nav">{links(6)}</div><div class="post-body"><h1>{t(7)}</h1><p>{t(88)}</p><h2>{t(3)}</h2><p>{t(54)}</p></div><div id="comments-area"><p>{t(64, "beta")}</p></div><div class="site-footer">{t(8, "beta")}</div>', 152),
+    "news": (f'<header><div>{t(3, "beta")}</div></header><main><article><h1>{t(9)}</h1><div class="byline">{t(4, "beta")}</div><p>{t(31)}</p><div class="ad-slot">{t(9, "beta")}</div><p>{t(45)}</p><div class="tags">{links(3)}</div></article><aside>{links(5, 7)}</aside></main><footer>{t(11, "beta")}</footer>', 85),
+    "shop page": (f'<div class="breadcrumbs">{links(3)}</div><div class="content"><h1>{t(4)}</h1><p>{t(58)}</p><ul><li>{t(6)}</li><li>{t(9)}</li></ul></div><div class="recommended">{links(6, 5)}</div>', 77),
+    "forum answer": (f'<div id="content"><h1>{t(10)}</h1><div class="post"><p>{t(66)}</p><pre>{t(20)}</pre></div></div><div class="sidebar">{links(8, 4)}<p>{t(22, "beta")}</p></div>', 96),
+    "documentation": (f'<nav>{links(20, 2)}</nav><main class="page"><h1>{t(3)}</h1><p>{t(25)}</p><h2 id="menu-api">{t(2)}</h2><p>{t(41)}</p><div id="notice-period"><p>{t(36)}</p></div></main>', 107),
+    "two columns": (f'<div class="row"><div class="col-left">{links(7, 1)}</div><div class="col-main"><p>{t(75)}</p><p>{t(28)}</p></div></div>', 103),
     "footer without end tags": (f"<article><p>{t(40)}<p>{t(12)}</article><footer><p>{t(15, 'beta')}", 52),
 }
 
@@ -55,13 +68,21 @@ def test_links_and_neighbours_decide(spark, tree):
     assert weight["link"] > 0.05 and weight["words_before"] + weight["words_after"] > 0 and weight["link_before"] + weight["link_after"] > 0
 
 
-def test_held_out_blocks(spark):
+def test_held_out_layouts(spark):
+    """No block of a held-out layout was learned from; pages beyond the layouts are held out by page."""
+    from gridloom.llm import html_pages
+
     labelled = html.labelled_blocks()
-    fold = labelled.index % 5 == 0
-    model = html.train_tree(spark, labelled[~fold])
-    rows = spark.createDataFrame(labelled[fold])
-    right = rows.select((html.tree_expression(model, {f: F.col(f) for f in html.FEATURES}) == F.col("label")).cast("int").alias("right"))
-    assert right.agg(F.avg("right")).first()[0] >= 0.97
+    n = len(html_pages.ARTICLES)
+    of = labelled["page"].map(lambda p: p // n if p < n * len(html_pages.LAYOUTS) else p)
+    folds = []
+    for turn in range(5):
+        fold = of % 5 == turn
+        model = html.train_tree(spark, labelled[~fold])
+        rows = spark.createDataFrame(labelled[fold])
+        right = rows.select((html.tree_expression(model, {f: F.col(f) for f in html.FEATURES}) == F.col("label")).cast("int").alias("right"))
+        folds.append(right.agg(F.avg("right")).first()[0])
+    assert sum(folds) / 5 >= 0.97 and min(folds) >= 0.94
 
 
 def test_repeated_rows_and_clashing_names(spark):
