@@ -53,6 +53,20 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")), F.lit(0))
 
 
+def cut(docs: DataFrame, ids: str, max_length: int) -> DataFrame:
+    """docs with a row (part, start, tokens, and its own ids) for each run of up to max_length ids; a null array has none.
+
+    An array is cut before its rows are made, so a long one is copied once, not for
+    each of its sequences.
+    """
+    held = F.coalesce(F.col(ids), F.array().cast(dict(docs.dtypes)[ids]))
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(held) / max_length).cast("int") - 1))
+    spans = F.transform(places, lambda i: F.struct(i.alias("part"), F.slice(held, i * max_length + 1, max_length).alias("ids")))
+    name = free_name(docs, "span")
+    rows = docs.withColumn(name, F.explode(spans)).withColumn(ids, F.col(f"{name}.ids"))
+    return rows.withColumns({"part": F.col(f"{name}.part"), "start": (F.col(f"{name}.part") * max_length).cast("long"), "tokens": F.size(ids)}).drop(name)
+
+
 def sequences(docs: DataFrame, length: Column, max_length: int) -> DataFrame:
     """A row (columns of docs, part, start, tokens) for each run of up to max_length tokens, from token start.
 
@@ -68,20 +82,26 @@ def sequences(docs: DataFrame, length: Column, max_length: int) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, n_buckets: int = 16, budget: int = 65_536, max_length: int = 8_192, slice_rows: int = 100_000) -> DataFrame:
-    """(key, part, start, tokens, bucket, batch, place): every sequence of docs in one batch.
+def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, ids: str | None = None, n_buckets: int = 16, budget: int = 65_536, max_length: int = 8_192, slice_rows: int = 100_000) -> DataFrame:
+    """(key, part, start, tokens, bucket, batch, place): every sequence of docs in one batch; with ids also its own ids.
 
     length is the number of tokens of a row, token_count() of its text where none is
-    given. A sequence is the span of tokens from start on; batches() cuts it out.
+    given; where ids names a column of token ids, that is what is cut and counted, and
+    a sequence carries max_length of them at most. A sequence is the span of tokens
+    from start on; without ids, batches() cuts it out.
     bucket is the padded length; a batch holds budget // bucket sequences of its
     bucket, only the last one of a bucket may hold fewer. Rows with equal or null
     keys are packed as often as they occur. place numbers the sequences of a batch
     from 0. An empty table gives no rows. Columns of docs other than the key are
     not carried, so their names cannot clash.
     """
-    length = token_count(F.col("text")) if length is None else length
-    rows = sequences(docs.select(F.col(key).alias("key"), length.alias("n_tokens")), F.col("n_tokens"), max_length)
-    rows = checkpointed(rows.select("key", "part", "start", "tokens", F.monotonically_increasing_id().alias("salt")))
+    if ids is None:
+        length = token_count(F.col("text")) if length is None else length
+        rows = sequences(docs.select(F.col(key).alias("key"), length.alias("n_tokens")), F.col("n_tokens"), max_length).drop("n_tokens")
+    else:
+        rows = cut(docs.select(F.col(key).alias("key"), F.col(ids).alias("ids")), "ids", max_length)
+    carried = [F.col("ids").alias(ids)] if ids else []
+    rows = checkpointed(rows.withColumn("salt", F.monotonically_increasing_id()))
     histogram = sorted((r["tokens"], r["count"]) for r in rows.groupBy("tokens").count().collect())
     boundaries = [max(1, x) for x in best_boundaries([a for a, _ in histogram], [b for _, b in histogram], n_buckets)]
     total = sum(b for _, b in histogram)
@@ -97,7 +117,7 @@ def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, n_b
     at = F.col("first") + F.row_number().over(inside) - 1
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket")))
     return placed.join(starts, ["bucket", "slice"]).select(
-        F.col("key").alias(key), "part", "start", "tokens", "bucket", F.floor(at / size).cast("long").alias("batch"), (at % size).cast("int").alias("place")
+        F.col("key").alias(key), "part", "start", "tokens", "bucket", F.floor(at / size).cast("long").alias("batch"), (at % size).cast("int").alias("place"), *carried
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,12 @@ def op1_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surrogate_key(spark: SparkSession) -> str:
-    """The session's key; for the registered queries over made-up tables, a public one where none is set."""
-    return spark.conf.get("gridloom.pii.key", None) or "public key of the registered queries"
+    """The session's key; where none is set, a random one that the session keeps, so nobody can work surrogates out again."""
+    key = spark.conf.get("gridloom.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("gridloom.pii.key", key)
+    return key
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +61,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_tokens(docs: DataFrame) -> DataFrame:
-    """The documents packed by their numbers of tokens of the byte-level vocabulary."""
+    """The documents' tokens of the byte-level vocabulary as sequences in batches, with their ids."""
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = bpe.encode_texts(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return packing.pack(encoded, length=F.size("ids"))
+    return packing.pack(encoded.select("doc_id", "ids"), ids="ids")
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

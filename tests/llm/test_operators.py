@@ -312,6 +312,30 @@ def test_packing_places_every_token_once(spark, odd):
     assert packing.pack(empty(odd)).count() == 0
 
 
+def joined(packed):
+    """The ids of each document, from its sequences in order."""
+    got: dict[int, list] = {}
+    for r in packed.orderBy("doc_id", "part").collect():
+        assert len(r["ids"]) == r["tokens"] <= r["bucket"] and r["start"] == len(got.get(r["doc_id"], []))
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    return got
+
+
+def test_packing_carries_ids(spark):
+    """Null and empty arrays, repeated and null keys, and a long array in many sequences."""
+    rows = [(1, list(range(1000))), (2, []), (3, None), (4, [7]), (4, [8, 9]), (None, [5])]
+    docs = spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumns({c: F.lit("mine") for c in ("span", "part", "salt", "tokens")})
+    got = packing.pack(docs, ids="ids", max_length=64, budget=128, n_buckets=3).collect()
+    assert joined_of(got, 1) == list(range(1000)) and joined_of(got, 2) == [] == joined_of(got, 3) and joined_of(got, None) == [5]
+    assert sorted(r["ids"] for r in got if r["doc_id"] == 4) == [[7], [8, 9]]
+    assert max(Counter((r["bucket"], r["batch"], r["place"]) for r in got).values()) == 1 and len(got) == 16 + 5
+    assert packing.pack(docs.where("false"), ids="ids").count() == 0
+
+
+def joined_of(rows, key):
+    return [i for r in sorted((r for r in rows if r["doc_id"] == key), key=lambda r: r["part"]) for i in r["ids"]]
+
+
 def test_packing_cuts_the_tokens_of_the_vocabulary(spark, documents):
     import public_tokenizers
     import tiktoken
@@ -321,11 +345,9 @@ def test_packing_cuts_the_tokens_of_the_vocabulary(spark, documents):
     assert isinstance(plain, tiktoken.Encoding)
     encoded = bpe.encode_texts(table(spark, SF, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     packed = queries.op6_packing(spark, SF)
-    got: dict[int, list] = {}
-    for r in packing.batches(packed, encoded).orderBy("doc_id", "part").collect():
-        assert len(r["ids"]) == r["tokens"] and r["start"] == len(got.get(r["doc_id"], []))
-        got.setdefault(r["doc_id"], []).extend(r["ids"])
-    assert got == {i: plain.encode_ordinary(t) for i, t in documents.items()}
+    whole = {i: plain.encode_ordinary(t) for i, t in documents.items()}
+    assert joined(packed) == whole
+    assert joined(packing.batches(packed.drop("ids"), encoded)) == whole
     lengths = Counter(r["tokens"] for r in packed.collect())
     ends = packing.best_boundaries(*map(list, zip(*sorted(lengths.items()))), 16)
     assert {r["bucket"] for r in packed.select("bucket").distinct().collect()} == {max(1, e) for e in ends}
@@ -570,5 +592,20 @@ def test_pipeline_stages_hand_on_documents(spark):
         assert after <= before and after
         if name != "packing":
             assert docs.columns == columns
+            last = docs
     assert after == before
+    import public_tokenizers
+
+    plain = bpe.encoder(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    texts = {r["doc_id"]: r["text"] or "" for r in last.select("doc_id", "text").collect()}
+    assert {i: plain.decode(ids) for i, ids in joined(docs).items()} == texts
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]) == '["toxicity", "quality_rules", "near_dedup", "pii", "packing"]'
+
+
+def test_surrogates_have_a_key_of_their_own(spark):
+    """Without a setting the key is random and the session keeps it; it stands in no source."""
+    spark.conf.unset("gridloom.pii.key")
+    key = queries.surrogate_key(spark)
+    assert len(key) == 64 and queries.surrogate_key(spark) == key
+    spark.conf.unset("gridloom.pii.key")
+    assert queries.surrogate_key(spark) != key
