@@ -36,9 +36,15 @@ SYLLABLES = {
     "greek": ("Βα Βε Γα Δα Δε Θα Κα Κε Λα Λε Μα Με Να Νε Πα Πε Ρα Σα Σε Τα", "βελ δαν δορ λαν λεν λιν μαρ μελ μιν ναρ νελ ραλ ραν ριν σαν σελ ταλ ταν τελ", "α ία ίνα", "ος ης ας", "ίδης άκης όπουλος"),
 }
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+#: Letters of scripts without case, by their class in patterns: first code point, step and number.
+RANGES = {"IsHan": (0x4E00, 73, 200), "IsHiragana": (0x3042, 1, 80), "IsKatakana": (0x30A2, 1, 80), "IsHangul": (0xAC00, 53, 200), "IsHebrew": (0x5D0, 1, 27), "IsArabic": (0x628, 1, 19), "IsDevanagari": (0x915, 1, 35), "IsThai": (0xE01, 1, 46)}
 
-_SURNAME = r"\p{Lu}[\p{L}'’\-]+"
+_SURNAME = r"\p{Lu}(?:[\p{L}\-]|['’](?!s(?!\p{L})))+"
 _NAMES = "|".join(" ".join(GIVEN.values()).split())
+#: In capitals; a surname of a text is found in capitals too.
+_SHOUTED = "|".join(" ".join(GIVEN.values()).upper().split())
+#: Names in scripts without capitals stand after a title.
+_UNCASED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]{2,6}"
 _TITLE = "|".join(t.replace(".", r"\.") for g in TITLES.values() for t in g)
 _BEFORE = r"(?<![\p{L}\p{N}])"
 _AFTER = r"(?![\p{L}\p{N}])"
@@ -52,17 +58,18 @@ _KEYWORD = r"""(?i:pass(?:word|wd)|pwd|secret|token|api[_\- ]?key)["']?[ \t]{0,3
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
     "aws": _BEFORE + r"(?:AKIA|ASIA)[0-9A-Z]{12,}(?![\p{L}\p{N}])",
-    "secret": rf"""(?<=[=:"' \t])(?<={_KEYWORD})[A-Za-z0-9_\-+/=]{{6,}}|""" + _BEFORE + r"(?:[0-9A-Fa-f]{32,}|sk-[A-Za-z0-9]{16,})(?![\p{L}\p{N}])",
+    "secret": rf"""(?<=[=:"' \t])(?<={_KEYWORD})[^\s"'`<>|]{{5,}}[^\s"'`<>|.,;:!?)\]}}]|""" + _BEFORE + r"(?:[0-9A-Fa-f]{32,}|sk-[A-Za-z0-9]{16,})(?![\p{L}\p{N}])",
     "iban": _BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,38}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\p{L}\p{N}:])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,5}|0\d{2,4}[ /\-]\d{5,8}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}])",
     "card": _BEFORE + r"\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
-    "name": r"(?=\p{Lu})" + _BEFORE + rf"(?:(?:{_TITLE}) (?:(?:{_NAMES}) )?{_SURNAME}|(?:{_NAMES}) {_SURNAME})|(?<= ){_CUE}{_PERSON}" + _AFTER,
+    "name": r"(?=\p{Lu})" + _BEFORE + rf"(?:(?:{_TITLE}) (?:(?:{_NAMES}) )?{_SURNAME}|(?:{_NAMES}) {_SURNAME}|(?:{_SHOUTED}) \p{{Lu}}[\p{{Lu}}\-]+{_AFTER})|(?:{_TITLE}) ?{_UNCASED}|(?<= ){_CUE}{_PERSON}" + _AFTER,
 }
 ENTITY = "|".join(PATTERNS.values())
 #: A text without a match of this has no entity.
-HINT = rf"[0-9@]|(?<=[:, ]){_CUE}\p{{Lu}}|sk-|AKIA|ASIA|[A-Fa-f]{{32}}|{_KEYWORD}|(?=\p{{Lu}}){_BEFORE}(?:{_TITLE}|{_NAMES}) \p{{Lu}}"
+HINT = rf"[0-9@]|(?<=[:, ]){_CUE}\p{{Lu}}|sk-|AKIA|ASIA|[A-Fa-f]{{32}}|{_KEYWORD}|(?=\p{{Lu}}){_BEFORE}(?:{_TITLE}|{_NAMES}|{_SHOUTED}) \p{{Lu}}|(?:{_TITLE}) ?{_UNCASED}"
 
 NUMBERS = ("phone", "card", "ssn")
 MAX_DRAWS = 64
@@ -74,12 +81,13 @@ def kind_of(mention: Column) -> Column:
         "email": mention.contains("@"),
         "secret": mention.rlike(r"^[0-9A-Fa-f]{32,}$"),
         "aws": mention.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{12,}$"),
+        "ip6": mention.rlike(r"^[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}$"),
         "ip": mention.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"),
         "ssn": mention.rlike(r"^\d{3}-\d{2}-\d{4}$"),
-        "phone": mention.rlike(r"^(?:\+|\(\d{3}\)|\d{3}[.\-]\d{3}[.\-]\d{4}$)"),
+        "phone": mention.rlike(r"^(?:\+|\(\d{3}\)|\d{3}[.\-]\d{3}[.\-]\d{4}$|0\d{2,4}[ /\-]\d{5,8}$)"),
         "iban": mention.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){3,8}$"),
         "card": mention.rlike(r"^\d(?:[ \-]?\d){12,18}$"),
-        "name": mention.rlike(r"^\p{Lu}[\p{L}.'’\-]* \p{Lu}|^\p{Lu}[\p{L}.]*\. ?\p{Lu}"),
+        "name": mention.rlike(rf"^\p{{Lu}}[\p{{L}}.'’\-]* \p{{Lu}}|^(?:{_TITLE}) ?{_UNCASED}$"),
     }
     return reduce(lambda rest, x: F.when(x[1], x[0]).otherwise(rest), reversed(tests.items()), F.lit("secret"))
 
@@ -114,7 +122,11 @@ def canonical_of(kind: Column, mention: Column) -> Column:
 
 def _letter(char: Column, byte: Column) -> Column:
     """A letter of the same script and case; a digit for a digit; other characters stay."""
-    drawn = F.when(char.rlike(r"\p{IsCyrillic}"), _pick(F.split(F.lit(LETTERS["cyrillic"]), ""), byte)).when(char.rlike(r"\p{IsGreek}"), _pick(F.split(F.lit(LETTERS["greek"]), ""), byte)).otherwise(_pick(F.split(F.lit(LETTERS["latin"]), ""), byte))
+    letters = lambda text: _pick(F.split(F.lit(text), ""), byte)
+    drawn = F.when(char.rlike(r"^[\x00-\x{24F}]"), letters(LETTERS["latin"])).when(char.rlike(r"\p{IsCyrillic}"), letters(LETTERS["cyrillic"])).when(char.rlike(r"\p{IsGreek}"), letters(LETTERS["greek"]))
+    for name, (first, step, n) in RANGES.items():
+        drawn = drawn.when(char.rlike(rf"\p{{{name}}}"), letters("".join(chr(first + step * i) for i in range(n))))
+    drawn = drawn.otherwise(letters(LETTERS["latin"]))
     return F.when(char.rlike(r"^[0-9]$"), (byte % 10).cast("string")).when(char.rlike(r"^\p{Lu}$"), F.upper(drawn)).when(char.rlike(r"^\p{L}$"), drawn).otherwise(char)
 
 
@@ -123,12 +135,12 @@ def _reshaped(mention: Column, stream: Column) -> Column:
 
 
 def _hex(mention: Column, stream: Column) -> Column:
-    """Other hexadecimal digits in the case of the mention; where it has both, in that of each letter."""
-    upper = mention.rlike("^[0-9A-F]*[A-F][0-9A-F]*$")
+    """Other hexadecimal digits in the case of the mention; where it has both, in that of each letter; what is none stays."""
+    upper = mention.rlike("^[0-9A-F:]*[A-F][0-9A-F:]*$")
 
     def draw(c: Column, i: Column) -> Column:
         digit = F.conv((_byte(stream, i) % 16).cast("string"), 10, 16)
-        return F.when(upper | c.rlike("^[A-F]$"), F.upper(digit)).otherwise(F.lower(digit))
+        return F.when(~c.rlike("^[0-9A-Fa-f]$"), c).when(upper | c.rlike("^[A-F]$"), F.upper(digit)).otherwise(F.lower(digit))
 
     return F.array_join(F.transform(F.split(mention, ""), draw), "")
 
@@ -210,7 +222,8 @@ def _name_part(script: Column, part: Column, stream: Column, draw: Column) -> Co
 def _given_part(word: Column) -> Column:
     """f or m for a known given name; n for any other."""
     women, men = (sorted({w for (_, g), names in GIVEN.items() if g == gender for w in names.split()}) for gender in "fm")
-    return F.when(word.isin(*women), "f").when(word.isin(*men), "m").otherwise("n")
+    plain = F.when(word.rlike(r"^\p{Lu}{2,}$"), F.initcap(F.lower(word))).otherwise(word)
+    return F.when(plain.isin(*women), "f").when(plain.isin(*men), "m").otherwise("n")
 
 
 def atoms(mentions: Column, known: Column) -> Column:
@@ -230,7 +243,9 @@ def atoms(mentions: Column, known: Column) -> Column:
         plain = F.array(F.struct(x["m"].alias("word"), x["kind"].alias("kind"), canonical_of(x["kind"], x["m"]).alias("canonical")))
         return F.when(x["kind"] == "name", F.transform(F.split(x["m"], " "), of_word)).otherwise(plain)
 
-    return F.transform(F.transform(mentions, lambda m: F.struct(m.alias("m"), F.when(m.rlike(rf"^{_SURNAME}$") & F.array_contains(known, m), "name").otherwise(kind_of(m)).alias("kind"))), of_mention)
+    own = F.concat(known, F.transform(known, F.upper))
+
+    return F.transform(F.transform(mentions, lambda m: F.struct(m.alias("m"), F.when(m.rlike(rf"^{_SURNAME}$") & F.array_contains(own, m), "name").otherwise(kind_of(m)).alias("kind"))), of_mention)
 
 
 def surrogates(words: Column, draw_of, key: str) -> Column:
@@ -248,19 +263,20 @@ def written(kind: Column, mention: Column, canonical: Column, draw: Column, stre
         "email": _email(mention, stream, draw),
         "aws": F.concat(F.substring(mention, 1, 4), F.array_join(F.transform(F.split(F.substring(mention, F.lit(5), F.length(mention)), ""), lambda c, i: _pick(F.split(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ""), _byte(stream, i))), "")),
         "ip": _address(stream),
+        "ip6": _hex(mention, stream),
         "phone": _phone(mention, canonical, stream),
         "ssn": _into(mention, _digits(canonical, stream, F.lit(0))),
         "card": _into(mention, _luhn(_digits(canonical, stream, F.lit(1)))),
         "iban": _into(mention, _iban(canonical, stream), "^[0-9A-Z]$"),
     }
     secret = F.when(mention.rlike(r"^[0-9A-Fa-f]+$"), _hex(mention, stream)).when(mention.startswith("sk-"), F.concat(F.lit("sk-"), _reshaped(F.substring(mention, F.lit(4), F.length(mention)), stream))).otherwise(_reshaped(mention, stream))
-    name = F.when(mention.rlike(r"^\p{Lu}{2,}$"), F.upper(new_name)).otherwise(new_name)
+    name = F.when(mention.rlike(rf"^{_UNCASED}$"), _reshaped(mention, stream)).when(mention.rlike(r"^\p{Lu}{2,}$"), F.upper(new_name)).otherwise(new_name)
     return reduce(lambda rest, x: F.when(kind == x[0], x[1]).otherwise(rest), reversed(cases.items()), F.when(kind == "title", mention).when(kind.startswith("name-"), name).otherwise(secret))
 
 
 def _all_patterns(known: Column) -> Column:
     """ENTITY, and after it the known surnames, for rows that have some."""
-    own = F.array_join(F.transform(known, lambda w: F.regexp_replace(w, "-", "[-]")), "|")
+    own = F.array_join(F.transform(F.concat(known, F.transform(known, F.upper)), lambda w: F.regexp_replace(w, "-", "[-]")), "|")
     return F.concat(F.lit(f"{ENTITY}|{_BEFORE}(?:"), own, F.lit(f"){_AFTER}"))
 
 
@@ -268,7 +284,7 @@ def find(docs: DataFrame, text: str = "text", out: str = "mentions", known: str
     """docs with the array<string> of all mentions, in order, in the column `out`, and of the surnames among them in `known`.
 
     A surname that stands with a title, a given name or after a cue somewhere in the
-    text is a mention wherever it stands alone in it.
+    text is a mention wherever it stands alone in it, in capitals too.
     """
     none = F.array().cast("array<string>")
     first = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0))).otherwise(none)

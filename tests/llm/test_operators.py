@@ -152,9 +152,9 @@ def test_pii_finds_every_spelling_of_a_secret(spark):
 
 
 def test_pii_hint_holds_for_every_pattern(spark):
-    own = {"email": "a@b.cd", "aws": "ASIAQWERTYUIOPLKJHGF", "secret": "Secret: abcdef", "iban": "DE89 3704 0044 0532 0130 00", "ip": "10.2.3.4", "ssn": "123-45-6789", "phone": "(415) 555-0132", "card": "4111111111111111", "name": "Anna Schmidt"}
+    own = {"email": "a@b.cd", "aws": "ASIAQWERTYUIOPLKJHGF", "secret": "Secret: abcdef", "iban": "DE89 3704 0044 0532 0130 00", "ip6": "2001:db8:0:0:0:0:0:1", "ip": "10.2.3.4", "ssn": "123-45-6789", "phone": "(415) 555-0132", "card": "4111111111111111", "name": "Anna Schmidt"}
     assert set(own) == set(pii.PATTERNS)
-    more = [("secret", "abcdefab" * 4), ("secret", "ABCDEFAB" * 4), ("secret", "sk-abcdefghijklmnop"), ("secret", "API_KEY = 'abcdef'"), ("name", "Frau Schmidt")]
+    more = [("secret", "abcdefab" * 4), ("secret", "ABCDEFAB" * 4), ("secret", "sk-abcdefghijklmnop"), ("secret", "API_KEY = 'abcdef'"), ("name", "Frau Schmidt"), ("name", "ANNA SCHMIDT"), ("name", "Dr. 王小明"), ("phone", "0171 2345678"), ("secret", "pwd=a.b.c.d")]
     for kind, text in [*own.items(), *more]:
         row = spark.range(1).select(F.lit(text).rlike(pii.PATTERNS[kind]), F.lit(text).rlike(pii.HINT)).first()
         assert tuple(row) == (True, True), (kind, text)
@@ -167,6 +167,33 @@ def test_pii_coreference_over_formats_and_bare_surnames(spark):
     assert two == "A Schmidt alone is no name here."
 
 
+def test_pii_values_run_to_a_blank_or_quote(spark):
+    texts = {"token=abc.def.ghi, then": "abc.def.ghi", "password: hunter2!abc$ ok": "hunter2!abc$", "passwd=пароль123": "пароль123", 'secret: "a.b.c,d.e"': "a.b.c,d.e", "pwd=Abc.Def.x": "Abc.Def.x"}
+    for (text, value), new in zip(texts.items(), replaced(spark, *texts)):
+        before, after = text.split(value)
+        assert new.startswith(before) and new.endswith(after) and len(new) == len(text)
+        assert not any(len(w) > 2 and w in new[len(before) :] for w in re.findall(r"\w+", value))
+    assert re.fullmatch(r"passwd=[а-яё]{6}\d{3}", replaced(spark, "passwd=пароль123")[0])
+
+
+def test_pii_numbers_of_other_countries(spark):
+    numbers = ["+33 1 23 45 67 89", "0171 2345678", "030-1234567", "2001:db8:85a3:0:0:8a2e:370:7334", "fe80:0:12::ff:1", "+44 20 7946 0958"]
+    for number, new in zip(numbers, replaced(spark, *[f"at {n} now" for n in numbers])):
+        shape = lambda t: re.sub(r"[0-9a-f]", "0", t)
+        assert new != f"at {number} now" and shape(new.removeprefix("at ")) == shape(f"{number} now")
+    stay = ["at 12:30:45 now", "use std::vec or a::b", "in 2024 and 1999", "from 12:00::x"]
+    assert replaced(spark, *stay) == stay
+
+
+def test_pii_possessives_capitals_and_uncased_names(spark):
+    one, two, three = replaced(spark, "John Smith's car is Smith's, not SMITH's. O'Neill?", "MARIA CURIE wrote; Curie, Maria Curie.", "Dr. 王小明 came. 王小明 is here.")
+    new = re.fullmatch(r"(\w+) (\w+)'s car is (\w+)'s, not (\w+)'s\. O'Neill\?", one)
+    assert new and new[2] == new[3] == new[4].title() != "Smith" and new[4].isupper()
+    new = re.fullmatch(r"(\w+) (\w+) wrote; (\w+), (\w+) (\w+)\.", two)
+    assert new and new[1] == new[4].upper() != "MARIA" and new[2] == new[3].upper() == new[5].upper() != "CURIE"
+    assert re.match(r"Dr\. [\u4e00-\u9fff]{3} came", three) and not three.startswith("Dr. 王小明")
+
+
 def test_pii_ibans_keep_check_digits(spark):
     new = replaced(spark, "pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432 today")[0]
     for iban in re.fullmatch(r"pay (DE[\d ]{25}) or (GB\w{20}) today", new).groups():
