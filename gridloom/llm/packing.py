@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpointed, free_name, parallelism
+from gridloom.llm.common import checkpointed, free_name, parallelism, written
 
 
 def best_boundaries(lengths: list[int], counts: list[int], n_buckets: int) -> list[int]:
@@ -101,7 +101,8 @@ def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, ids
     else:
         rows = cut(docs.select(F.col(key).alias("key"), F.col(ids).alias("ids")), "ids", max_length)
     carried = [F.col("ids").alias(ids)] if ids else []
-    rows = checkpointed(rows.withColumn("salt", F.monotonically_increasing_id()))
+    # With ids a Parquet table: it is smaller than a checkpoint, and counting reads its narrow columns alone.
+    rows = (written if ids else checkpointed)(rows.withColumn("salt", F.monotonically_increasing_id()))
     histogram = sorted((r["tokens"], r["count"]) for r in rows.groupBy("tokens").count().collect())
     boundaries = [max(1, x) for x in best_boundaries([a for a, _ in histogram], [b for _, b in histogram], n_buckets)]
     total = sum(b for _, b in histogram)
