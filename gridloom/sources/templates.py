@@ -6,16 +6,13 @@ import json
 import os
 import re
 
+from gridloom.functions.json_schema import violations
+from gridloom.operators.document_rules import RegionRules, Rule, RuleSet, SheetRules
 from gridloom.operators.regions import Sheet
 from gridloom.operators.template import Fingerprint, Region, Template
+from gridloom.sources.document_schema import TEMPLATE
 
 SUFFIXES = (".json", ".yaml", ".yml")
-#: What the root and its parts must have, and the type of each.
-ROOT = {"schema_version": str, "template_id": str, "version": str, "name": str, "sheets": list}
-SHEET_FIELDS = {"sheet_id": str, "name_pattern": str}
-REGION = {"region_id": str, "region_type": str, "locator": dict}
-
-
 class TemplateError(ValueError):
     """All that is wrong with a template, one line each, ordered by where it is."""
 
@@ -29,28 +26,9 @@ def _position(address: str) -> tuple[int, int]:
 
 
 def problems(data: object) -> list[str]:
-    """`path: message` of each structural error; $ is the root."""
-    found: list[tuple[tuple[str, ...], str]] = []
-
-    def check(value: object, fields: dict[str, type], at: tuple[str, ...]) -> bool:
-        if not isinstance(value, dict):
-            found.append((at, "must be an object"))
-            return False
-        for name, kind in fields.items():
-            if name not in value:
-                found.append((at, f"{name} is required"))
-            elif not isinstance(value[name], kind):
-                found.append(((*at, name), f"must be of type {kind.__name__}"))
-        return True
-
-    if check(data, ROOT, ()):
-        for i, sheet in enumerate(data["sheets"] if isinstance(data.get("sheets"), list) else []):
-            if check(sheet, SHEET_FIELDS, ("sheets", str(i))):
-                for j, region in enumerate(sheet.get("regions") or []):
-                    at = ("sheets", str(i), "regions", str(j))
-                    if check(region, REGION, at) and isinstance(region.get("locator"), dict) and "mode" not in region["locator"]:
-                        found.append(((*at, "locator"), "mode is required"))
-    return [f"{'.'.join(at) or '$'}: {message}" for at, message in sorted(found)]
+    """`path: message` of all that breaks the template schema, ordered by path; $ is the root."""
+    found = sorted(violations(TEMPLATE, data), key=lambda x: x[0])
+    return [f"{'.'.join(at) or '$'}: {message}" for at, _, message in found]
 
 
 def _flag(value: object) -> bool:
@@ -95,6 +73,14 @@ def sheets_of(data: dict) -> tuple[Sheet, ...]:
     return tuple(Sheet(s["sheet_id"], s["name_pattern"], tuple(_region(r, int(s.get("order") or 0)) for r in s.get("regions") or []), bool(s.get("required", True))) for s in data["sheets"])
 
 
+def rules_of(data: dict) -> RuleSet:
+    """The rules of a mapping without problems(): those of its regions, and its own."""
+    rule = lambda r: Rule(r["rule_id"], r["kind"], r.get("field") or "", r.get("severity", "error"), r.get("message"), dict(r.get("options") or {}))
+    regions = lambda s: tuple(RegionRules(g["region_id"], bool(g.get("required")), tuple(map(rule, g.get("validation_rules") or []))) for g in s.get("regions") or [])
+    sheets = tuple(SheetRules(s["sheet_id"], s["name_pattern"], bool(s.get("required", True)), regions(s)) for s in data["sheets"])
+    return RuleSet(sheets, tuple(map(rule, data.get("validation_rules") or [])))
+
+
 def _pack_file(folder: str) -> str | None:
     return next((p for s in (".yaml", ".yml", ".json") if os.path.isfile(p := os.path.join(folder, f"template{s}"))), None)
 

@@ -8,7 +8,7 @@ from gridloom.sources import templates
 
 GOOD = {
     "schema_version": "1.0", "template_id": "t", "version": "2", "name": "n", "match": {"sheet_name_patterns": ["^A$"], "minimum_score": 0.4, "fingerprints": [{"cells": {"B3": "Title"}, "required_text": ["x"], "weight": 1.5}]},
-    "sheets": [{"sheet_id": "s", "name_pattern": "^A$", "order": 2, "regions": [{"region_id": "r", "region_type": "table", "order": 5, "locator": {"mode": "range", "range": "B2:AA10"}, "extractor": {"kind": "table", "header_rows": 2}}]}],
+    "sheets": [{"sheet_id": "s", "name_pattern": "^A$", "order": 2, "regions": [{"region_id": "r", "region_type": "table", "order": 5, "locator": {"mode": "fixed", "range": "B2:AA10"}, "extractor": {"kind": "table", "header_rows": 2}}]}],
 }
 
 
@@ -31,8 +31,10 @@ def test_files_and_packs_in_order(tmp_path):
 
 def test_all_problems_are_told_by_place(tmp_path):
     bad = {**GOOD, "version": 2, "sheets": [{"sheet_id": "s", "regions": [{"region_id": "r", "region_type": "table", "locator": {}}]}]}
-    assert templates.problems(bad) == ["sheets.0: name_pattern is required", "sheets.0.regions.0.locator: mode is required", "version: must be of type str"]
-    assert templates.problems([]) == ["$: must be an object"] and templates.problems(GOOD) == []
+    found = templates.problems(bad)  # without a mode, what either mode needs is told too
+    assert found[0] == "sheets.0: 'name_pattern' is a required property" and found[-1] == "version: 2 is not of type 'string'" and len(found) == 5
+    assert "sheets.0.regions.0.locator: 'mode' is a required property" in found
+    assert templates.problems([]) == ["$: [] is not of type 'object'"] and templates.problems(GOOD) == []
     with pytest.raises(templates.TemplateError):
         templates.template_of(bad)
     (tmp_path / "x.json").write_text("{")
@@ -41,6 +43,21 @@ def test_all_problems_are_told_by_place(tmp_path):
             templates.load_template(str(tmp_path / path))
 
 
+@pytest.mark.parametrize("change", [{"locator": {"mode": "fixed", "range": "A1:Z"}}, {"locator": {"mode": "fixed", "range": "$A$1:B2"}}, {"region_type": "weird"}, {"locator": {"mode": "anchor"}}, {"order": "3"}, {"extractor": {"kind": "table", "header_rows": "x"}}])
+def test_wrong_regions_are_told(change):
+    """Malformed ranges, unknown types and values of a wrong type are errors with their place, not crashes."""
+    sheet = GOOD["sheets"][0]
+    bad = {**GOOD, "sheets": [{**sheet, "regions": [{**sheet["regions"][0], **change}]}]}
+    with pytest.raises(templates.TemplateError, match=r"sheets\.0\.regions\.0"):
+        templates.template_of(bad)
+
+
+def test_wrong_fingerprints_are_told():
+    for match in ({"fingerprints": [{"cells": {"$A$1": "x"}}]}, {"fingerprints": [{"cells": {"A1": "x"}, "weight": "2"}]}, {"minimum_score": 2}):
+        with pytest.raises(templates.TemplateError, match="match"):
+            templates.template_of({**GOOD, "match": match})
+
+
 def test_a_loaded_template_scores_cells(spark):
     from gridloom.operators.template import score
 
