@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def session_and_folder(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, str]:
+    """What a query needs that puts several views together."""
+    return spark, sf_dir
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
     length = F.length("text").cast("long")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from gridloom.plans import documents, regions  # noqa: F401
+from gridloom.plans import audio, documents, records, regions  # noqa: F401
 from gridloom.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
