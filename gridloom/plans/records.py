@@ -56,7 +56,7 @@ MESSAGE = {
 }
 
 
-@query("schema_diagnostics", """WITH src AS (SELECT * FROM conversations), m AS (SELECT conv_id || '-' || turn AS doc, "role" AS r, turn, "text" AS t FROM conversations),
+@query("schema_diagnostics", """, m AS (SELECT conv_id || '-' || turn AS doc, "role" AS r, turn, "text" AS t FROM conversations),
  e AS (SELECT doc, 'role' AS location, 'enum' AS keyword, '''' || r || ''' is not one of [''user'', ''assistant'']' AS words FROM m WHERE r NOT IN ('user', 'assistant')
  UNION ALL SELECT doc, 'text', 'pattern', '''' || t || ''' does not match ''^[A-Z]''' FROM m WHERE NOT regexp_matches(t, '^[A-Z]')
  UNION ALL SELECT doc, 'text', 'maxLength', '''' || t || ''' is too long' FROM m WHERE length(t) > 120
