@@ -41,7 +41,7 @@ def backoff_seconds(attempt: Column, base: float = 1.0, cap: float = 60.0, jitte
     """base doubled with each attempt up to cap, plus a share of jitter (0 to 0.5); a longer Retry-After wins, capped too."""
     wait = F.least(F.lit(base) * F.pow(F.lit(2.0), F.greatest(attempt, F.lit(1)) - 1), F.lit(cap))
     wait = wait * (1 + (F.lit(0.0) if jitter is None else clamp(jitter, 0.0, 0.5)))
-    return wait if retry_after is None else F.greatest(wait, F.coalesce(F.least(retry_after, F.lit(cap)), F.lit(0.0)))
+    return wait if retry_after is None else F.greatest(wait, F.when(retry_after.isNotNull(), F.least(retry_after, F.lit(cap))).otherwise(0.0))
 
 
 def http_error(status: Column) -> Column:
