@@ -36,13 +36,12 @@ SYLLABLES = {
     "greek": ("Βα Βε Γα Δα Δε Θα Κα Κε Λα Λε Μα Με Να Νε Πα Πε Ρα Σα Σε Τα", "βελ δαν δορ λαν λεν λιν μαρ μελ μιν ναρ νελ ραλ ραν ριν σαν σελ ταλ ταν τελ", "α ία ίνα", "ος ης ας", "ίδης άκης όπουλος"),
 }
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
-#: Letters of scripts without case, by their class in patterns: first code point, step and number.
-RANGES = {"IsHan": (0x4E00, 73, 200), "IsHiragana": (0x3042, 1, 80), "IsKatakana": (0x30A2, 1, 80), "IsHangul": (0xAC00, 53, 200), "IsHebrew": (0x5D0, 1, 27), "IsArabic": (0x628, 1, 19), "IsDevanagari": (0x915, 1, 35), "IsThai": (0xE01, 1, 46)}
+#: Letters of scripts without case: first and last code point of the script's part, then first, step and number of those drawn.
+RANGES = ((0x4E00, 0x9FFF, 0x4E00, 73, 200), (0xAC00, 0xD7A3, 0xAC00, 53, 200), (0x3040, 0x309F, 0x3042, 1, 80), (0x30A0, 0x30FF, 0x30A2, 1, 80), (0x5D0, 0x5EA, 0x5D0, 1, 27), (0x620, 0x6D3, 0x628, 1, 19), (0x904, 0x939, 0x915, 1, 35), (0xE01, 0xE30, 0xE01, 1, 46))
 
 _SURNAME = r"\p{Lu}(?:[\p{L}\-]|['’](?!s(?!\p{L})))+"
-_NAMES = "|".join(" ".join(GIVEN.values()).split())
-#: In capitals; a surname of a text is found in capitals too.
-_SHOUTED = "|".join(" ".join(GIVEN.values()).upper().split())
+#: Capitalised or in capitals: a capital must come first, and the rest is compared without case.
+_NAMES = f"(?iu:{'|'.join(' '.join(GIVEN.values()).split())})"
 #: Names in scripts without capitals stand after a title.
 _UNCASED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]{2,6}"
 _TITLE = "|".join(t.replace(".", r"\.") for g in TITLES.values() for t in g)
@@ -65,11 +64,11 @@ PATTERNS = {
     "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,5}|0\d{2,4}[ /\-]\d{5,8}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}])",
     "card": _BEFORE + r"\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
-    "name": r"(?=\p{Lu})" + _BEFORE + rf"(?:(?:{_TITLE}) (?:(?:{_NAMES}) )?{_SURNAME}|(?:{_NAMES}) {_SURNAME}|(?:{_SHOUTED}) \p{{Lu}}[\p{{Lu}}\-]+{_AFTER})|(?:{_TITLE}) ?{_UNCASED}|(?<= ){_CUE}{_PERSON}" + _AFTER,
+    "name": r"(?=\p{Lu})" + _BEFORE + rf"(?:(?:{_TITLE}) (?:{_NAMES} )?{_SURNAME}|{_NAMES} {_SURNAME})|(?:{_TITLE}) ?{_UNCASED}|(?<= ){_CUE}{_PERSON}" + _AFTER,
 }
 ENTITY = "|".join(PATTERNS.values())
 #: A text without a match of this has no entity.
-HINT = rf"[0-9@]|(?<=[:, ]){_CUE}\p{{Lu}}|sk-|AKIA|ASIA|[A-Fa-f]{{32}}|{_KEYWORD}|(?=\p{{Lu}}){_BEFORE}(?:{_TITLE}|{_NAMES}|{_SHOUTED}) \p{{Lu}}|(?:{_TITLE}) ?{_UNCASED}"
+HINT = rf"[0-9@]|(?<=[:, ]){_CUE}\p{{Lu}}|sk-|AKIA|ASIA|[A-Fa-f]{{32}}|{_KEYWORD}|(?=\p{{Lu}}){_BEFORE}(?:{_TITLE}|{_NAMES}) \p{{Lu}}|(?:{_TITLE}) ?{_UNCASED}"
 
 NUMBERS = ("phone", "card", "ssn")
 MAX_DRAWS = 64
@@ -123,10 +122,13 @@ def canonical_of(kind: Column, mention: Column) -> Column:
 def _letter(char: Column, byte: Column) -> Column:
     """A letter of the same script and case; a digit for a digit; other characters stay."""
     letters = lambda text: _pick(F.split(F.lit(text), ""), byte)
-    drawn = F.when(char.rlike(r"^[\x00-\x{24F}]"), letters(LETTERS["latin"])).when(char.rlike(r"\p{IsCyrillic}"), letters(LETTERS["cyrillic"])).when(char.rlike(r"\p{IsGreek}"), letters(LETTERS["greek"]))
-    for name, (first, step, n) in RANGES.items():
-        drawn = drawn.when(char.rlike(rf"\p{{{name}}}"), letters("".join(chr(first + step * i) for i in range(n))))
-    drawn = drawn.otherwise(letters(LETTERS["latin"]))
+    point = F.ascii(char)
+    other = F.lit(None).cast("int")
+    for low, high, first, step, n in reversed(RANGES):
+        other = F.when(point.between(low, high), first + step * (byte % n)).otherwise(other)
+    uncased = F.decode(F.unhex(F.lpad(F.hex(other), 4, "0")), "UTF-16BE")
+    latin = letters(LETTERS["latin"])
+    drawn = F.when(point < 0x250, latin).when(char.rlike(r"\p{IsCyrillic}"), letters(LETTERS["cyrillic"])).when(char.rlike(r"\p{IsGreek}"), letters(LETTERS["greek"])).otherwise(F.coalesce(uncased, latin))
     return F.when(char.rlike(r"^[0-9]$"), (byte % 10).cast("string")).when(char.rlike(r"^\p{Lu}$"), F.upper(drawn)).when(char.rlike(r"^\p{L}$"), drawn).otherwise(char)
 
 
