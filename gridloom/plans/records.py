@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import paths
-from gridloom.operators import captions, outputs
+from gridloom.operators import business, captions, outputs
 from gridloom.operators.document_rules import RegionRules, Rule, RuleSet, SheetRules, diagnostics
 from gridloom.plans import views
 from gridloom.plans.registry import BLANK, CLOCK, SRT, query
@@ -49,6 +49,35 @@ def _(view, table):
     return cells.select("doc", "idx", "row", "col", F.to_json("raw").alias("raw"), "display", "data_type", F.coalesce(F.try_variant_get("style", "$.font.bold", "boolean"), F.lit(False)).alias("bold"))
 
 
+def whole(pieces: DataFrame) -> DataFrame:
+    """(doc, content) of a document's pieces."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "content")))
+    return pieces.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda x: x["content"]), "").alias("content"))
+
+
+#: The rows of the customers' tables that have any text in the columns with a meaning, by sheet.
+ROWS = """r AS (SELECT doc, sheet, "row" AS n, max(display) FILTER (col = 1) AS a, max(display) FILTER (col = 2) AS b, max(display) FILTER (col = 3) AS c FROM v_cells WHERE "row" > 1 AND col <= 3 GROUP BY ALL HAVING max(display) <> '')"""
+
+
+@query("md_business", f""", {PLACED}, {ROWS}, body AS (SELECT doc, sheet, string_agg('| ' || a || ' | ' || b || ' | ' || c || ' |' || chr(10), '' ORDER BY n) AS lines FROM r GROUP BY doc, sheet),
+ parts AS (SELECT doc, idx, '## ' || sheet || chr(10) || chr(10) || coalesce('### r' || chr(10) || chr(10) || '|  |  |  |' || chr(10) || '| --- | --- | --- |' || chr(10) || lines || chr(10), '') AS part FROM ranked LEFT JOIN body USING (doc, sheet))
+ SELECT doc, '# ' || doc || chr(10) || chr(10) || string_agg(part, '' ORDER BY idx) AS content FROM parts GROUP BY doc""")
+def _(view, table):
+    """The customers' documents as Markdown."""
+    return whole(business.markdown(customer_documents(*view("session_and_folder"))))
+
+
+@query("html_business", f""", {PLACED}, {ROWS}, body AS (SELECT doc, sheet, string_agg('<tr><td>' || a || '</td><td>' || b || '</td><td>' || c || '</td></tr>', '' ORDER BY n) AS lines FROM r GROUP BY doc, sheet),
+ parts AS (SELECT doc, idx, sheet, lines, 'sheet-' || idx || '-s' || idx AS anchor FROM ranked LEFT JOIN body USING (doc, sheet)),
+ shown AS (SELECT doc, idx, '<li><a href="#' || anchor || '">' || sheet || '</a><ol>' || CASE WHEN lines IS NULL THEN '' ELSE '<li><a href="#' || anchor || '-region-0-r">r</a></li>' END || '</ol></li>' AS nav,
+  '<section id="' || anchor || '"><h2>' || sheet || '</h2>' || CASE WHEN lines IS NULL THEN '' ELSE '<section id="' || anchor || '-region-0-r" data-region-type="table"><h3>r</h3><div class="table-wrap"><table><tr><th></th><th></th><th></th></tr>' || lines || '</table></div></section>' END || '</section>' AS part FROM parts)
+ SELECT doc, '<!doctype html>' || chr(10) || '<html><head><meta charset="utf-8"><meta name="viewport" content="width=device-width,initial-scale=1"><title>' || doc || '</title><style>{business.STYLE}</style></head><body><nav><ol>' || string_agg(nav, '' ORDER BY idx)
+ || '</ol></nav><main><h1>' || doc || '</h1>' || string_agg(part, '' ORDER BY idx) || '</main></body></html>' || chr(10) AS content FROM shown GROUP BY doc""")
+def _(view, table):
+    """The customers' documents as HTML."""
+    return whole(business.html(customer_documents(*view("session_and_folder"))))
+
+
 #: What a message should be; real ones break it.
 MESSAGE = {
     "type": "object", "required": ["role", "text"], "additionalProperties": False,
