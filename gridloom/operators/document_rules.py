@@ -114,14 +114,6 @@ def resolve(parts: Parts, paths: list[tuple[str | None, str | None, str | None]]
     return rows.join(regions, ["doc", "idx", "region_id"], "left").join(sheets, ["doc", "idx"], "left").select("doc", "k", "token", "idx", "ord", "sheet", "region_id", "field")
 
 
-def _row(rows: DataFrame, rule: Rule, message: str, value: Column, n: Column) -> DataFrame:
-    severity = rule.severity if rule.severity in SEVERITIES else "error"
-    return rows.select(
-        "doc", F.lit(rule.rule_id).alias("rule_id"), F.lit(f"business.{rule.kind}").alias("code"), F.lit(severity).alias("severity"), F.lit(rule.message or message).alias("message"), "sheet", "region_id",
-        F.lit(rule.field).alias("field"), value.cast("string").alias("value"), n.cast("long").alias("n"),
-    )
-
-
 def _missing(parts: Parts, rules: RuleSet) -> list[DataFrame]:
     """Rows for required sheets and regions that a document lacks."""
     out, aliases, none = [], _aliases(parts, rules), F.lit(None).cast("string")
@@ -157,19 +149,7 @@ def diagnostics(parts: Parts, rules: RuleSet) -> DataFrame:
     paths = [_path(r.field, a, g) for r, a, g in flat] + [_path(t, None, None) for t in targets]
     out = _missing(parts, rules)
     if flat:
-        located = resolve(parts, paths, rules)
-        values = field_values(parts)
-        shown = stringify(F.col("value"))
-        joined = located.join(values, ["doc", "idx", "ord", "field"], "left").withColumns({"found": F.col("empty").isNotNull(), "shown": shown, "typed": F.to_json("value")})
-        joined = joined.withColumn("present", F.col("found") & ~F.col("empty") & F.col("value").isNotNull() & (strip(F.col("shown")) != ""))
-        for k, (rule, alias, region) in enumerate(flat):
-            mine = joined.where(F.col("k") == k)
-            known = {s.sheet_id for s in rules.sheets}
-            if alias is not None and "." not in rule.field:
-                mine = mine.where(F.col("ord").isNotNull())
-            elif rule.field.split(".")[0] in known:
-                mine = mine.where(F.col("idx").isNotNull())
-            out += _broken(rule, mine, joined.where(F.col("k") == len(flat) + k), targets[k])
+        out += _broken(parts, rules, flat, targets, resolve(parts, paths, rules))
     if not out:
         return parts.heads.where("false").select("doc", *[F.lit(None).cast("long" if c == "n" else "string").alias(c) for c in DIAGNOSTIC[1:]])
     whole = out[0]
@@ -178,29 +158,54 @@ def diagnostics(parts: Parts, rules: RuleSet) -> DataFrame:
     return whole
 
 
-def _broken(rule: Rule, rows: DataFrame, target: DataFrame, target_path: str) -> list[DataFrame]:
-    label, where = rule.field or rule.rule_id, ["doc", "sheet", "region_id"]
-    by_value = lambda bad, message: _row(bad.groupBy(*where, F.col("shown").alias("v")).agg(F.count("*").alias("c")), rule, message, F.col("v"), F.col("c"))
-    per_doc = lambda bad, message, value=None: _row(bad.select(*where).distinct(), rule, message, F.lit(value), F.lit(1))
-    if rule.kind == "required":
-        facts = rows.groupBy(*where).agg(F.bool_or("found").alias("found"), F.count_if(~F.col("present")).alias("blank"))
-        return [_row(facts.where(~F.col("found")), rule, f"no field or column {label}", F.lit(None), F.lit(1)), _row(facts.where(F.col("found") & (F.col("blank") > 0)), rule, f"no value for {label}", F.lit(None), F.col("blank"))]
-    full = rows.where("present")
-    if rule.kind == "regex":
-        pattern = rule.options.get("pattern")
-        if not isinstance(pattern, str):
-            return [per_doc(rows, f"no pattern for {label}")]
-        if not is_valid_regex(pattern):
-            return [per_doc(rows, f"invalid pattern for {label}", pattern)]
-        return [by_value(full.where(~matches_strict(F.col("shown"), pattern)), f"{label} does not match")]
-    if rule.kind == "enum":
-        allowed = [json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for x in rule.options.get("values", rule.options.get("enum", []))]
-        return [by_value(full.where(~F.col("typed").isin(*allowed)) if allowed else full, f"{label} is not allowed")]
-    if rule.kind == "unique":
-        return [by_value(full, f"{label} is not unique").where("n > 1")]
-    known = target.groupBy("doc").agg(F.bool_or("found").alias("there"))
-    rows = rows.join(known, "doc", "left").withColumn("there", F.coalesce("there", F.lit(False)))
-    held = target.where(F.col("found") & F.col("typed").isNotNull()).select("doc", "typed").distinct()
-    lost = rows.where(F.col("there") & F.col("present")).join(held, ["doc", "typed"], "left_anti")
-    return [per_doc(rows.where(~F.col("there")), f"no target {target_path}", target_path), by_value(lost, f"{label} is not in {target_path}")]
-
+def _of(values: list, kind: str = "string") -> Column:
+    """The value of a rule's number k."""
+    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("k"))
+
+
+def _broken(parts: Parts, rules: RuleSet, flat: list[tuple[Rule, str | None, str | None]], targets: list[str], located: DataFrame) -> list[DataFrame]:
+    """Rows for what a field lacks as a whole, and for its broken values; the values are read once for all rules."""
+    n, known, where = len(flat), {s.sheet_id for s in rules.sheets}, ["doc", "k", "sheet", "region_id"]
+    each = [r for r, *_ in flat]
+    scoped = [alias is not None and "." not in r.field for r, alias, _ in flat]
+    aliased = [not s and r.field.split(".")[0] in known for r, s in zip(each, scoped)]
+    labels, kind = [r.field or r.rule_id for r in each], _of([r.kind for r in each])
+    patterns = [r.options.get("pattern") if isinstance(r.options.get("pattern"), str) else None for r in each]
+    usable = [p is not None and is_valid_regex(p) for p in patterns]
+    joined = located.join(field_values(parts), ["doc", "idx", "ord", "field"], "left").withColumns({"found": F.col("empty").isNotNull(), "shown": stringify(F.col("value")), "typed": F.to_json("value")})
+    joined = joined.withColumn("present", F.col("found") & ~F.col("empty") & F.col("value").isNotNull() & (strip(F.col("shown")) != ""))
+    mine = joined.where((F.col("k") < n) & (~_of(scoped, "boolean") | F.col("ord").isNotNull()) & (~_of(aliased, "boolean") | F.col("idx").isNotNull()))
+    target = joined.where(F.col("k") >= n).withColumn("k", F.col("k") - n)
+    there = target.groupBy("doc", "k").agg(F.bool_or("found").alias("there"))
+    held = target.where(F.col("found") & F.col("typed").isNotNull()).select("doc", "k", "typed", F.lit(True).alias("held")).distinct()
+    none = F.lit(None).cast("string")
+    told = lambda text, value=none, count=F.lit(1): F.struct(text.alias("message"), value.alias("value"), count.cast("long").alias("n"))
+    label, path = _of(labels), _of(targets)
+    facts = mine.groupBy(*where).agg(F.bool_or("found").alias("found"), F.count_if(~F.col("present")).alias("blank")).join(there, ["doc", "k"], "left")
+    wrong = (
+        F.when((kind == "required") & ~F.col("found"), told(F.concat(F.lit("no field or column "), label)))
+        .when((kind == "required") & (F.col("blank") > 0), told(F.concat(F.lit("no value for "), label), count=F.col("blank")))
+        .when((kind == "regex") & _of(patterns).isNull(), told(F.concat(F.lit("no pattern for "), label)))
+        .when((kind == "regex") & ~_of(usable, "boolean"), told(F.concat(F.lit("invalid pattern for "), label), _of(patterns)))
+        .when((kind == "reference") & ~F.coalesce("there", F.lit(False)), told(F.concat(F.lit("no target "), path), path))
+    )
+    whole = facts.withColumn("x", wrong).where(F.col("x").isNotNull()).select(*where, "x.*")
+    bad = F.lit(False)
+    for k, rule in enumerate(each):
+        if rule.kind == "regex" and usable[k]:
+            bad = F.when(F.col("k") == k, ~matches_strict(F.col("shown"), patterns[k])).otherwise(bad)
+        elif rule.kind == "enum":
+            allowed = [json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for x in rule.options.get("values", rule.options.get("enum", []))]
+            bad = F.when(F.col("k") == k, ~F.col("typed").isin(*allowed) if allowed else F.lit(True)).otherwise(bad)
+        elif rule.kind == "unique":
+            bad = F.when(F.col("k") == k, F.lit(True)).otherwise(bad)
+        elif rule.kind == "reference":
+            bad = F.when(F.col("k") == k, F.coalesce("there", F.lit(False)) & F.col("held").isNull()).otherwise(bad)
+    values = mine.where("present").join(held, ["doc", "k", "typed"], "left").join(there, ["doc", "k"], "left").where(bad)
+    counted = values.groupBy(*where, F.col("shown").alias("value")).agg(F.count("*").alias("n")).where((kind != "unique") | (F.col("n") > 1))
+    words = F.when(kind == "regex", F.concat(label, F.lit(" does not match"))).when(kind == "enum", F.concat(label, F.lit(" is not allowed"))).when(kind == "unique", F.concat(label, F.lit(" is not unique"))).otherwise(F.concat(label, F.lit(" is not in "), path))
+    severity = _of([r.severity if r.severity in SEVERITIES else "error" for r in each])
+    return [
+        rows.select("doc", _of([r.rule_id for r in each]).alias("rule_id"), F.concat(F.lit("business."), kind).alias("code"), severity.alias("severity"), F.coalesce(_of([r.message for r in each]), message).alias("message"), "sheet", "region_id", _of([r.field for r in each]).alias("field"), "value", "n")
+        for rows, message in ((whole, F.col("message")), (counted, words))
+    ]
