@@ -123,10 +123,9 @@ def _letter(char: Column, byte: Column) -> Column:
     """A letter of the same script and case; a digit for a digit; other characters stay."""
     letters = lambda text: _pick(F.split(F.lit(text), ""), byte)
     point = F.ascii(char)
-    other = F.lit(None).cast("int")
-    for low, high, first, step, n in reversed(RANGES):
-        other = F.when(point.between(low, high), first + step * (byte % n)).otherwise(other)
-    uncased = F.decode(F.unhex(F.lpad(F.hex(other), 4, "0")), "UTF-16BE")
+    ranges = F.array(*[F.array(*map(F.lit, r)) for r in RANGES])
+    of = F.get(F.filter(ranges, lambda r: point.between(r[0], r[1])), F.lit(0))
+    uncased = F.decode(F.unhex(F.lpad(F.hex(of[2] + of[3] * (byte % of[4])), 4, "0")), "UTF-16BE")
     latin = letters(LETTERS["latin"])
     drawn = F.when(point < 0x250, latin).when(char.rlike(r"\p{IsCyrillic}"), letters(LETTERS["cyrillic"])).when(char.rlike(r"\p{IsGreek}"), letters(LETTERS["greek"])).otherwise(F.coalesce(uncased, latin))
     return F.when(char.rlike(r"^[0-9]$"), (byte % 10).cast("string")).when(char.rlike(r"^\p{Lu}$"), F.upper(drawn)).when(char.rlike(r"^\p{L}$"), drawn).otherwise(char)
@@ -272,8 +271,8 @@ def written(kind: Column, mention: Column, canonical: Column, draw: Column, stre
         "iban": _into(mention, _iban(canonical, stream), "^[0-9A-Z]$"),
     }
     secret = F.when(mention.rlike(r"^[0-9A-Fa-f]+$"), _hex(mention, stream)).when(mention.startswith("sk-"), F.concat(F.lit("sk-"), _reshaped(F.substring(mention, F.lit(4), F.length(mention)), stream))).otherwise(_reshaped(mention, stream))
-    name = F.when(mention.rlike(rf"^{_UNCASED}$"), _reshaped(mention, stream)).when(mention.rlike(r"^\p{Lu}{2,}$"), F.upper(new_name)).otherwise(new_name)
-    return reduce(lambda rest, x: F.when(kind == x[0], x[1]).otherwise(rest), reversed(cases.items()), F.when(kind == "title", mention).when(kind.startswith("name-"), name).otherwise(secret))
+    name = F.when(mention.rlike(r"^\p{Lu}{2,}$"), F.upper(new_name)).otherwise(new_name)
+    return reduce(lambda rest, x: F.when(kind == x[0], x[1]).otherwise(rest), reversed(cases.items()), F.when(kind == "title", mention).when(kind.startswith("name-") & ~mention.rlike(rf"^{_UNCASED}$"), name).otherwise(secret))  # uncased names are reshaped as secrets are
 
 
 def _all_patterns(known: Column) -> Column:
