@@ -25,8 +25,10 @@ def srt_time(ms: Column) -> Column:
 
 
 def playback_time(ms: Column) -> Column:
-    h, m, s, _ = _parts(ms)
-    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%02d:%02d", m, s))
+    """mm:ss, from an hour on h:mm:ss; cut towards zero, so what is less than a second before the start is 00:00. Null for null."""
+    whole = lambda unit: F.call_function("div", ms, F.lit(unit))
+    h, m, s = whole(3_600_000), whole(60_000) % 60, whole(1_000) % 60
+    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).when(ms.isNotNull(), F.format_string("%02d:%02d", m, s))
 
 
 def ticks_to_seconds(ticks: Column) -> Column:

@@ -126,10 +126,11 @@ def playback(positions: DataFrame, segments: DataFrame, offset_s: float = 0.0) -
     """(session, pos_ms, seq, at): for each position the last caption that has started; seq -1 before the first.
 
     The offset is rounded to a tenth of a second and held within ten seconds. Both
-    sides are sorted once per session; no pairs are made.
+    sides are sorted once per session; no pairs are made. Null sessions and null
+    positions have no caption.
     """
     shift = int(round(min(10.0, max(-10.0, round(offset_s, 1))) * 1000))
-    caps = segments.select("session", (F.col("start_ms") + shift).alias("ms"), F.lit(0).alias("kind"), "seq")
+    caps = segments.where(F.col("session").isNotNull() & F.col("start_ms").isNotNull()).select("session", (F.col("start_ms") + shift).alias("ms"), F.lit(0).alias("kind"), "seq")
     asks = positions.select("session", F.col("pos_ms").alias("ms"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"))
     before = Window.partitionBy("session").orderBy("ms", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = caps.unionByName(asks).withColumn("hit", F.last("seq", ignorenulls=True).over(before))
