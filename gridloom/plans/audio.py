@@ -21,7 +21,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     rows = views.table(spark, sf_dir, "conversations").where(F.col("conv_id").isNotNull())
     rows = rows.select(F.col("conv_id").alias("session"), (F.coalesce(F.sum(F.length(said)).over(before), F.lit(0)) * WINDOW).alias("at"), said.alias("said"))
-    return rows.select("session", "at", audio.spoken(F.col("said"), WINDOW).alias("pcm"))
+    return audio.said(rows, "said", WINDOW)
 
 
 def audio_captions(spark: SparkSession, sf_dir: str) -> DataFrame:

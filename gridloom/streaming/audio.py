@@ -21,8 +21,10 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridloom.functions.folds import folded
@@ -206,10 +208,11 @@ class Captioner:
         window = self.options.samples(self.options.window_ms)
         new = samples[b.measured - b.start :]
         new = new[: len(new) // window * window].reshape(-1, window)
-        loud = np.sqrt(np.mean((new / 32768.0) ** 2, axis=1)) >= self.options.threshold
+        level = new.astype(np.float64)
+        loud = np.flatnonzero(np.sqrt(np.einsum("ij,ij->i", level, level) / window) / 32768.0 >= self.options.threshold)  # sums of whole squares are exact
         b.measured += new.size
-        b.loud |= bool(loud.any())
-        b.quiet = b.quiet + new.size if not loud.any() else (len(loud) - 1 - int(np.flatnonzero(loud)[-1])) * window
+        b.loud |= bool(len(loud))
+        b.quiet = b.quiet + new.size if not len(loud) else (len(new) - 1 - int(loud[-1])) * window
 
     def _cycle(self, b: Buffer) -> list[tuple]:
         o, samples = self.options, self._samples(b)
@@ -369,11 +372,47 @@ def spoken(text: Column, window: int) -> Column:
     return F.unhex(F.array_join(little, ""))
 
 
+#: What spoken() takes for silence: the blanks and line ends of its pattern.
+SILENT = np.array([9, 10, 11, 12, 13, 32, 0x85, 0x2028, 0x2029], np.uint32)
+#: Bytes of audio in a batch that a task makes.
+SPOKEN_BYTES = 1 << 24
+
+
+def said(rows: DataFrame, text: str, window: int, pcm: str = "pcm", most: int = SPOKEN_BYTES) -> DataFrame:
+    """rows with the column text replaced by its audio, the same as spoken() of it; made in numpy, in batches of `most` bytes or one text."""
+
+    def speak(t: str) -> bytes:
+        points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") if t else SILENT[:1]
+        units = np.where(np.isin(points, SILENT), 0, np.minimum(points, LAST_POINT) + LOUD)
+        return np.repeat(units.astype("<i2"), window).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def part(batch: pa.RecordBatch, made: list[bytes | None], end: int) -> pa.RecordBatch:
+            own = batch.slice(end - len(made), len(made))
+            return pa.RecordBatch.from_arrays([own.column(c) for c in others] + [pa.array(made, pa.binary())], names=[*others, pcm])
+
+        for batch in batches:
+            made, size = [], 0
+            for i, t in enumerate(batch.column(text)):
+                own = None if not t.is_valid else speak(t.as_py())
+                if made and size + len(own or b"") > most:
+                    yield part(batch, made, i)
+                    made, size = [], 0
+                made.append(own)
+                size += len(own or b"")
+            if made:
+                yield part(batch, made, batch.num_rows)
+
+    others = [c for c in rows.columns if c != text]
+    kinds = T.StructType([*(f for f in rows.schema if f.name != text), T.StructField(pcm, T.BinaryType())])
+    return rows.mapInArrow(run, kinds)
+
+
 def heard(window: int) -> Recogniser:
     """The recogniser of spoken(): the first sample of each window is a character, runs of silence are one blank."""
 
     def run(samples: np.ndarray) -> str:
-        points = samples[: len(samples) // window * window : window]
-        return " ".join("".join(chr(int(p) - LOUD) if p > LOUD else " " for p in points).split())
+        points = samples[: len(samples) // window * window : window].astype(np.int32)
+        return " ".join(np.where(points > LOUD, points - LOUD, 32).astype("<u4").tobytes().decode("utf-32-le").split())
 
     return run
