@@ -111,16 +111,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000, smoothing: fl
 
     def vectors(batches):
         for _, texts, marks in _texts(batches, "text", "label"):
-            held = [np.unique(ngram_ids(t), return_counts=True) for t in texts]
-            values = [shared.value[x] * np.log2(1 + n).astype(np.float32) for x, n in held]
-            columns = [pa.array([x.astype(np.int32).tobytes() for x, _ in held], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary()), pa.array(marks, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["at", "value", "label"])
+            held = [by_times(ngram_ids(t)) for t in texts]
+            columns = [pa.array([x.astype(np.int32).tobytes() for x in part], pa.binary()) for part in zip(*held)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(marks, pa.float64())], names=["at", "times", "runs", "label"])
 
-    prepared = written(rows.mapInArrow(vectors, "at binary, value binary, label double"))
+    prepared = written(rows.mapInArrow(vectors, "at binary, times binary, runs binary, label double"))
     start = float(np.log(share / (1 - share)))
 
     def solve(batches):
-        weights, intercept = logistic([part for _, *part in _texts(batches, "at", "value", "label", size=64)], start, strength)
+        weights, intercept = logistic([part for _, *part in _texts(batches, "at", "times", "runs", "label", size=64)], shared.value, start, strength)
         yield pa.RecordBatch.from_pydict({"weights": [weights.astype(np.float32).tobytes()], "intercept": [intercept]})
 
     solved = prepared.coalesce(1).mapInArrow(solve, "weights binary, intercept double").first()
@@ -128,26 +127,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000, smoothing: fl
     return ToxicityModel((weights * ratios).astype(np.float32), intercept)
 
 
-def logistic(rows: list[tuple[list[bytes], list[bytes], list[float]]], intercept: float, strength: float, rounds: int = 30, memory: int = 8) -> tuple[np.ndarray, float]:
+def by_times(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order of how often they occur; the distinct numbers of times; how many hashes have each."""
+    found, n = np.unique(ids, return_counts=True)
+    order = np.argsort(n, kind="stable")
+    times, runs = np.unique(n, return_counts=True)
+    return found[order], times, runs
+
+
+def logistic(rows: list[tuple[list[bytes], list[bytes], list[bytes], list[float]]], ratios: np.ndarray, intercept: float, strength: float, rounds: int = 30, memory: int = 8) -> tuple[np.ndarray, float]:
     """Weights and intercept of the least mean logistic loss plus strength / 2 times the squared weights.
 
-    rows are parts of the bounded sample (packed hashes, packed values, labels), so one
-    task holds them. Limited-memory quasi-Newton steps over the unscaled values: the
-    log-count ratios are their scale, which a standardising solver would take away.
+    rows are parts of the bounded sample (packed hashes, numbers of times and runs as of
+    by_times(), labels), so one task holds them: four bytes for each hash of a row, as
+    its value is its ratio times log2(1 + times). Limited-memory quasi-Newton steps over
+    the unscaled values: the log-count ratios are their scale, which a standardising
+    solver would take away.
     """
     size = 1 << HASH_BITS
     n = sum(len(labels) for *_, labels in rows)
 
     def slope_at(x: np.ndarray) -> tuple[float, np.ndarray]:
-        loss, slope = 0.0, np.zeros(size + 1)
-        for at, value, labels in rows:
-            where, values, marks = np.frombuffer(b"".join(at), np.int32), np.frombuffer(b"".join(value), np.float32), np.array(labels)
+        loss, slope, scaled = 0.0, np.zeros(size + 1), x[:-1] * ratios
+        for at, times, runs, labels in rows:
+            where, marks = np.frombuffer(b"".join(at), np.int32), np.array(labels)
+            often = np.repeat(np.log2(1 + np.frombuffer(b"".join(times), np.int32)), np.frombuffer(b"".join(runs), np.int32))
             row = np.repeat(np.arange(len(marks)), [len(y) // 4 for y in at])
-            z = np.bincount(row, values * x[where], minlength=len(marks)) + x[-1]
+            z = np.bincount(row, often * scaled[where], minlength=len(marks)) + x[-1]
             loss += float((np.logaddexp(0, z) - marks * z).sum())
             miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - marks
-            np.add.at(slope, where, values * miss[row])
+            np.add.at(slope, where, often * miss[row])
             slope[-1] += miss.sum()
+        slope[:-1] *= ratios
         slope /= n
         slope[:-1] += strength * x[:-1]
         return loss / n + strength / 2 * float(x[:-1] @ x[:-1]), slope
@@ -172,7 +183,7 @@ def logistic(rows: list[tuple[list[bytes], list[bytes], list[float]]], intercept
             length /= 2
         else:
             break
-        steps = [*steps, (-length * way, new - slope)][-memory:]
+        steps = [*steps, ((-length * way).astype(np.float32), (new - slope).astype(np.float32))][-memory:]
         x, slope, before, loss = x - length * way, new, loss, lower
         if before - loss < 1e-6 * before:
             break
