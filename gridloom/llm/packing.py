@@ -62,6 +62,7 @@ def cut(docs: DataFrame, ids: str, max_length: int) -> DataFrame:
     held = F.coalesce(F.col(ids), F.array().cast(dict(docs.dtypes)[ids]))
     places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(held) / max_length).cast("int") - 1))
     spans = F.transform(places, lambda i: F.struct(i.alias("part"), F.slice(held, i * max_length + 1, max_length).alias("ids")))
+    spans = F.when(F.size(held) <= max_length, F.array(F.struct(F.lit(0).alias("part"), held.alias("ids")))).otherwise(spans)  # most are whole, and slices inside a lambda copy id by id
     name = free_name(docs, "span")
     rows = docs.withColumn(name, F.explode(spans)).withColumn(ids, F.col(f"{name}.ids"))
     return rows.withColumns({"part": F.col(f"{name}.part"), "start": (F.col(f"{name}.part") * max_length).cast("long"), "tokens": F.size(ids)}).drop(name)
