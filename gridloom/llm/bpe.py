@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-LEAF_CHARS = 512
+LEAF_CHARS = 4_096
 LEAF_IDS = 256
 FIRST_WINDOW = 32
 
