@@ -28,15 +28,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+#: While this is set, a DataFrame that is made has its shuffle files removed when its action ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def checkpointed(df: DataFrame, free_shuffles: bool = False) -> DataFrame:
     """Cut the lineage with files in shared_folder().
 
     Spark deletes them when the result is no longer referred to only where
     spark.cleaner.referenceTracking.cleanCheckpoints is set; else they stay.
+    free_shuffles: the shuffle files behind it go at once, not when the driver's garbage is collected.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    if free_shuffles:
+        before = spark.conf.get(FREE_SHUFFLES)
+        spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df = df.select("*")
+        finally:
+            spark.conf.set(FREE_SHUFFLES, before)
     return df.checkpoint()
 
 
@@ -85,7 +97,11 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     """Hash of values[start:end] for each range, by one polynomial prefix sum."""
     up, down = powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    own = sums[1:]
+    own[:] = values
+    own += np.uint64(1)
+    own *= up[:-1]
+    np.cumsum(own, out=own)
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
@@ -95,10 +111,10 @@ def code_points(text: str) -> np.ndarray:
 
 def word_bounds(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words (see WORD) of one text."""
-    inside = np.zeros(len(points) + 2, np.int8)
+    inside = np.zeros(len(points) + 2, bool)
     inside[1:-1] = ~((points == 32) | ((points >= 9) & (points <= 13)))
-    step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    changes = np.flatnonzero(inside[1:] != inside[:-1])
+    return changes[::2], changes[1::2]
 
 
 def word_hashes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

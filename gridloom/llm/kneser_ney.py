@@ -2,36 +2,54 @@
 
 The model counts three-word n-grams of trusted texts, with the start and the end of a
 text as words of their own; lower orders follow from the distinct n-grams above them.
-Words that no trusted text has share one event of the lowest order. The distinct
-n-grams of all documents are joined, order by order, to these counts, which gives the
-log probability of each; that table is joined to the n-grams of each document, and a
-document's parts are summed up. Nothing of either table reaches the driver. A
-document's perplexity is held against a quantile of trusted texts of its language
-that the model was not trained on.
-
-The tables grow with the text. An n-gram's key is the 64-bit hash of each of its
-words, 8 bytes a word, so contexts and suffixes are parts of it. The same model runs
-over characters, five at a time, where a caller asks for no words.
+Words that no trusted text has share one event of the lowest order. A document's
+perplexity is held against a quantile of trusted texts of its language that the model
+was not trained on.
+
+Texts are scored in blocks of some million n-grams. Order by order, from the highest, a
+block sends each distinct n-gram once, with what it adds to its counts, to the bucket of
+its hash; the bucket adds up over all blocks and answers with the sums, in the order it
+was asked. Of each n-gram one block is told that it is the first: that one counts its
+context and its suffix for the next lower order. So a shuffle moves a hash, in the 5 to 6
+bytes that sorted hashes need, and small counts for a distinct n-gram of a block, however
+often it occurs. Half of the buckets are asked at a time, and the shuffle's files go when
+the answers are written. Answers go back to the partition that asked, where the block is
+made again from the texts, which are never shuffled or written. Probabilities are worked
+out from the sums in the blocks; nothing but the counts of counts reaches the driver.
+N-grams are told apart by a 64-bit hash there.
+
+KneserNey has the same model as tables that grow with the text. An n-gram's key is the
+64-bit hash of each of its words, 8 bytes a word, so contexts and suffixes are parts of
+it. The same model runs over characters, five at a time, where a caller asks for no
+words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property, reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpointed, code_points, free_name, range_hashes, window_hashes, word_bounds
+from gridloom.llm.common import BASE, checkpointed, code_points, free_name, mix, parallelism, range_hashes, window_hashes, word_bounds
 
 #: Length of n-grams of characters and of words.
 ORDER = 5
 WORD_ORDER = 3
 #: Bytes of a character or word in a key.
 WIDTH = 8
-#: Occurrences of one n-gram that one task meets at most; those of a more frequent one are dealt over several.
-SHARD_ENTRIES = 4_000_000
+#: N-grams of a block at most, unless one text alone has more; a task holds some 300 bytes for each.
+SHARD_ENTRIES = 500_000
+#: Characters for each bucket; a task holds the distinct n-grams of a bucket that each block sends.
+BUCKET_CHARACTERS = 8_000_000
+#: Turns in which the buckets are asked for n-grams of two words or more, each with a shuffle of its own.
+TURNS = 2
 #: Ids that are broadcast at most: 32 MB of eight bytes each.
 BROADCAST_IDS = 4_000_000
 #: Least discount, so that each context leaves something to the lower order.
@@ -58,7 +76,7 @@ def words(text: str | None) -> np.ndarray:
     starts, ends = word_bounds(points)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    alone = np.flatnonzero(((points >= 0x2E80) & (points < 0xA4D0)) | ((points >= 0xF900) & (points < 0xFB00)) | ((points >= 0x1F000) & (points < 0x40000)))
+    alone = np.zeros(0, np.int64) if points.max() < 0x2E80 else np.flatnonzero(((points >= 0x2E80) & (points < 0xA4D0)) | ((points >= 0xF900) & (points < 0xFB00)) | ((points >= 0x1F000) & (points < 0x40000)))
     if len(alone):
         cuts = np.unique(np.concatenate([starts, ends, alone, alone + 1]))
         inside = np.zeros(len(points) + 1, np.int64)
@@ -141,7 +159,10 @@ def _context(order: int) -> Column:
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the counts of counts."""
     n = {r["c"]: r["n"] for r in counts.where(F.col("c") <= 4).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    one, two, three, four = (n.get(i, 0) for i in (1, 2, 3, 4))
+    return _discounts(*(n.get(i, 0) for i in (1, 2, 3, 4)))
+
+
+def _discounts(one: int, two: int, three: int, four: int) -> tuple[float, float, float]:
     y = one / (one + 2 * two) if one else 0.5
     of = lambda i, a, b: min(float(i), max(LEAST, i - (i + 1) * y * b / a)) if a else 0.5 * i
     return of(1, one, two), of(2, two, three), of(3, three, four)
@@ -152,13 +173,30 @@ class KneserNey:
 
     def __init__(self, texts: DataFrame, text: str = "text", of_words: bool = False):
         self.of_words, self.order = of_words, WORD_ORDER if of_words else ORDER
-        self.counts: dict[int, DataFrame] = {self.order: checkpointed(gram_counts(texts, text, of_words).select("g", "c"))}
+        self.texts = texts.select(F.col(text).alias("t"))
+
+    @cached_property
+    def counts(self) -> dict[int, DataFrame]:
+        counts = {self.order: checkpointed(gram_counts(self.texts, "t", self.of_words).select("g", "c"))}
         for order in range(self.order, 1, -1):
-            lower = self.counts[order].groupBy(_suffix(order).alias("g")).agg(F.count("*").alias("c"))
-            self.counts[order - 1] = checkpointed(lower)
-        self.discounts = {n: discounts(c) for n, c in self.counts.items()}
-        row = self.counts[1].agg(F.sum("c"), F.count("*")).first()
-        self.total, self.alphabet = int(row[0] or 0), int(row[1]) + 1
+            counts[order - 1] = checkpointed(counts[order].groupBy(_suffix(order).alias("g")).agg(F.count("*").alias("c")))
+        return counts
+
+    @cached_property
+    def discounts(self) -> dict[int, tuple[float, float, float]]:
+        return {n: discounts(c) for n, c in self.counts.items()}
+
+    @cached_property
+    def _totals(self) -> tuple[int, int]:
+        return tuple(self.counts[1].agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
+
+    @property
+    def total(self) -> int:
+        return self._totals[0]
+
+    @property
+    def alphabet(self) -> int:
+        return self._totals[1] + 1
 
     def _kept(self, order: int) -> Column:
         d1, d2, d3 = self.discounts[order]
@@ -193,54 +231,290 @@ class KneserNey:
         return rows.select(*asked.columns, (own + F.coalesce("back", F.lit(1.0)) * F.col("q")).alias("p"))
 
 
-def trusted(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents that a label row calls good.
-
-    Up to BROADCAST_IDS labelled ids are broadcast; more are joined by a shuffle, which moves the texts.
-    """
+def _good(labels: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """The ids that a label row calls good. Up to BROADCAST_IDS (then the flag is true) are broadcast; more are joined by a shuffle, which moves the texts."""
     good = labels.where(F.col("quality") == 1).select(key).distinct()
-    return docs.join(F.broadcast(good) if good.count() <= BROADCAST_IDS else good, key, "left_semi")
-
+    small = good.count() <= BROADCAST_IDS
+    return (F.broadcast(good) if small else good), small
 
-def _document_grams(docs: DataFrame, text: str, of_words: bool) -> DataFrame:
-    """(d, k, times): hash of the text, hash of each distinct n-gram of it, how often it occurs there."""
 
-    def run(batches):
-        for batch, texts in _texts(batches, "t"):
-            ids = batch.column(batch.schema.get_field_index("d")).to_numpy()
-            found = [np.unique(grams(t, of_words)[0], return_counts=True) for t in texts]
-            hashes, times = (np.concatenate(x) for x in zip(*found))
-            d = np.repeat(ids, [len(k) for k, _ in found])
-            for lo in range(0, len(d), 100_000):
-                part = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(d[part]), pa.array(hashes[part].view(np.int64)), pa.array(times[part].astype(np.int32))], names=["d", "k", "times"])
+def trusted(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents that a label row calls good."""
+    return docs.join(_good(labels, key)[0], key, "left_semi")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as eight planes of bytes, which compress to little where numbers are small."""
+    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if len(values) else b"")
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).reshape(n)
 
-    return docs.select(F.xxhash64(text).alias("d"), F.col(text).alias("t")).mapInArrow(run, "d long, k long, times int")
+
+_REQUESTS = "p long, b long, made_of long, keys binary, sums binary"
+_ANSWERS = "p long, b long, made_of long, counts binary, marks binary, contexts binary, one long, two long, three long, four long, kinds long, total long"
+
+
+@dataclass
+class _Block:
+    """Tokens of some texts, end to end. b: the partition, and the block's number there; made_of: the same for the same texts."""
+
+    b: int
+    made_of: int
+    tokens: np.ndarray
+    lengths: np.ndarray
+    trained: np.ndarray
+    asked: np.ndarray
+    d: np.ndarray
+
+    def starts(self, size: int) -> np.ndarray:
+        """Where windows begin that do not leave their text."""
+        inside, ends = np.ones(len(self.tokens), bool), np.cumsum(self.lengths)
+        for back in range(1, size):
+            inside[ends - back] = False
+        return np.flatnonzero(inside)
+
+    def hashes(self, size: int) -> np.ndarray:
+        """What window_hashes gives for all tokens, without its powers."""
+        n = len(self.tokens) - size + 1
+        added = np.zeros(n, np.uint64)
+        for at in range(size - 1, -1, -1):
+            added *= BASE
+            added += self.tokens[at : at + n]
+            added += np.uint64(1)
+        return mix(added)
+
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct n-grams, ascending; where each begins once; for each place the number of the n-gram that begins there."""
+        starts = self.starts(size)
+        hashes = self.hashes(size)[starts]
+        order = np.argsort(hashes)
+        hashes, starts = hashes[order], starts[order]
+        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        place = np.full(len(self.tokens), -1, np.int32)
+        place[starts] = np.cumsum(new) - 1
+        return hashes[new], starts[new], place
+
+
+def _blocks(rows: DataFrame, order: int, of_words: bool, entries: int) -> RDD:
+    """Texts that have n-grams, in the order in which they are read."""
+
+    def run(partition, rows):
+        texts: list[tuple[np.ndarray, bool, bool, int]] = []
+        size, made = 0, 0
+
+        def block():
+            tokens = np.concatenate([x[0] for x in texts])
+            marks = (np.array([x[i] for x in texts]) for i in (1, 2, 3))
+            return _Block((partition << 32) + made, int(np.sum(tokens).view(np.int64)), tokens, np.array([len(x[0]) for x in texts]), *marks)
+
+        for row in rows:
+            tokens = words(row["t"]) if of_words else characters(row["t"])
+            if (own := len(tokens) - order + 1) <= 0:
+                continue
+            if texts and size + own > entries:
+                yield block()
+                texts, size, made = [], 0, made + 1
+            texts.append((tokens, row["trained"], row["asked"], row["d"]))
+            size += own
+        if texts:
+            yield block()
+
+    return rows.select("d", "t", "trained", "asked").rdd.mapPartitionsWithIndex(run)
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _of_buckets(hashes: np.ndarray, buckets: int, asked: range) -> np.ndarray:
+    """Which hashes are in the buckets asked."""
+    bucket = _bucket(hashes, buckets)
+    return (bucket >= asked.start) & (bucket < asked.stop)
+
+
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each occurs. (np.unique without an index is slower than a sort.)"""
+    hashes = np.sort(hashes)
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
+    return hashes[first], np.diff(first, append=len(hashes))
+
+
+def _requests(block: _Block, keys: np.ndarray, sums: list[np.ndarray], buckets: int, asked: range) -> Iterator[tuple]:
+    """A block's n-grams with what it adds to their sums, a row for each bucket asked."""
+    cuts = np.searchsorted(_bucket(keys, buckets), np.arange(asked.start, asked.stop + 1, dtype=np.uint64))
+    for at in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[at], cuts[at + 1])
+        yield asked[at], block.b, block.made_of, _packed(np.diff(keys[part], prepend=np.uint64(0))), _packed(np.concatenate([s[part] for s in sums]))
+
+
+def _highest_requests(order: int, buckets: int, asked: range):
+    def run(block: _Block):
+        hashes, learnt = block.hashes(order)[block.starts(order)], np.repeat(block.trained, block.lengths - order + 1)
+        mine = _of_buckets(hashes, buckets, asked)
+        keys, _ = _distinct(hashes[mine])
+        counted, times = _distinct(hashes[mine & learnt])
+        counts = np.zeros(len(keys), np.int64)
+        counts[np.searchsorted(keys, counted)] = times
+        return _requests(block, keys, [counts], buckets, asked)
+
+    return run
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """A bucket's sums over all blocks, given back to each block in the order of its n-grams.
+
+    counts, and for those that are not 0 marks: 1 for the first block. contexts, but for
+    the highest order: the total, and if that is over 1, how many counts are 1, 2 and more.
+    """
+    parts = [np.cumsum(_unpacked(x)) for x in asked["keys"].to_pylist()]
+    found, first, where = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+    added = np.concatenate([_unpacked(x).reshape(-1, len(k)) for x, k in zip(asked["sums"].to_pylist(), parts)], axis=1)
+    sums = [np.bincount(where, s, len(found)).astype(np.int64) for s in added]
+    counts = sums[0]
+    first_of = np.zeros(len(where), bool)
+    first_of[first] = True
+    cuts = np.cumsum([0, *(len(k) for k in parts)])
+    back = []
+    for part in map(slice, cuts[:-1], cuts[1:]):
+        c, *context = (x[where[part]] for x in sums)
+        context = [context[0], *(x[context[0] > 1] for x in context[1:])] if context else [c[:0]]
+        back.append([_packed(x) for x in (c, first_of[part][c > 0], np.concatenate(context))])
+    of_counts = [int((counts == i).sum()) for i in (1, 2, 3, 4)] + [int((counts > 0).sum()), int(counts.sum())]
+    told = [pa.array([n] + [0] * (len(parts) - 1), pa.int64()) for n in of_counts]
+    return pa.table([asked["p"], asked["b"], asked["made_of"], *(pa.array(x, pa.binary()) for x in zip(*back)), *told], names=[x.split()[0] for x in _ANSWERS.split(", ")])
+
+
+def _answered(blocks: RDD, answers: DataFrame) -> RDD:
+    """Each block with its answers, in the partition that makes it."""
+    dealt = answers.repartitionById(blocks.getNumPartitions(), F.shiftright("b", 32).cast("int")).sortWithinPartitions("b", "p")
+    return blocks.zip(dealt.rdd.mapPartitions(lambda rows: (list(own) for _, own in groupby(rows, key=lambda r: r["b"]))))
+
+
+def _counts(block: _Block, answers: list) -> np.ndarray:
+    """What all buckets answered for a block's n-grams of one order."""
+    if any((r["b"], r["made_of"]) != (block.b, block.made_of) for r in answers):
+        raise ValueError("the texts came in another order than before; write or checkpoint them first")
+    return np.concatenate([_unpacked(r["counts"]) for r in answers]).astype(np.int64)
+
+
+def _contexts(answers: list) -> np.ndarray:
+    """Of the same n-grams as contexts: their total, and how many counts are 1, 2 and more."""
+    parts = []
+    for r in answers:
+        n = int.from_bytes(r["counts"][:8], "little")
+        packed = _unpacked(r["contexts"]).astype(np.int64)
+        context = np.stack([packed[:n], packed[:n] == 1, np.zeros(n, np.int64), np.zeros(n, np.int64)])
+        context[1:, context[0] > 1] = packed[n:].reshape(3, -1)
+        parts.append(context)
+    return np.concatenate(parts, axis=1)
+
+
+def _lower_requests(size: int, buckets: int, asked: range):
+    """Requests of n-grams of this size, from the answers of the next larger one."""
+
+    def run(pair):
+        block, answers = pair
+        _, begin, _ = block.grams(size + 1)
+        c = _counts(block, answers)
+        own = np.flatnonzero(c)[np.concatenate([_unpacked(r["marks"]) for r in answers]) > 0]
+        begin, c = begin[own], c[own]
+        hashes = block.hashes(size)
+        keys, _ = _distinct((every := hashes[block.starts(size)])[_of_buckets(every, buckets, asked)])
+        add = lambda at, w=None: np.bincount(at, w, len(keys)).astype(np.int64)
+        context, suffix = (x[_of_buckets(x, buckets, asked)] for x in (hashes[begin], hashes[begin + 1]))
+        c = c[_of_buckets(hashes[begin], buckets, asked)]
+        context, suffix = np.searchsorted(keys, context), np.searchsorted(keys, suffix)
+        return _requests(block, keys, [add(suffix), add(context, c), add(context[c == 1]), add(context[c == 2]), add(context[c > 2])], buckets, asked)
+
+    return run
+
+
+def _log_probabilities(order: int, of_order: dict[int, tuple[float, float, float]], alphabet: int, total: int, back: float):
+    """(d, total, n) of the texts that are asked for. back: share of probability that unknown words get."""
+
+    def run(pair):
+        block, answers = pair
+        begin = block.starts(order)
+        p, context = np.full(len(begin), 1.0 / alphabet), None
+        for size in range(1, order + 1):
+            d1, d2, d3 = of_order[size]
+            _, _, place = block.grams(size)
+            own = [r for r in answers if r["size"] == size]
+            at = begin + order - size
+            c = _counts(block, own)[place[at]]
+            if context is None:
+                totals, left = max(1, total), back
+            else:
+                totals, one, two, more = (x[context[0][at]] for x in context[1])
+                left = np.where(totals > 0, (d1 * one + d2 * two + d3 * more) / np.maximum(totals, 1), 1.0)
+            off = np.where(c == 1, d1, np.where(c == 2, d2, d3))
+            p = np.where(c > 0, (c - off) / np.maximum(totals, 1), 0.0) + left * p
+            context = (place, _contexts(own)) if size < order else None
+        grams = block.lengths - order + 1
+        logs = np.add.reduceat(np.log(p), np.cumsum(grams) - grams)
+        return zip(*(x[block.asked].tolist() for x in (block.d, logs, grams)))
+
+    return run
+
+
+def text_scores(rows: DataFrame, of_words: bool = False, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """(d, total, n): sum of the log probabilities of a text's n-grams, and how many they are.
+
+    rows: d, t, trained, asked: an id, a text, whether the model counts it, whether
+    its score is asked for. Texts of one id are taken together. The rows are read
+    several times and must come in the same order, as those of files do; it fails
+    where they don't. A task holds the tokens of its partition.
+    """
+    spark, order = rows.sparkSession, WORD_ORDER if of_words else ORDER
+    blocks = _blocks(rows, order, of_words, shard_entries)
+    if not blocks.getNumPartitions():
+        return spark.createDataFrame([], "d long, total double, n long")
+    characters_in_all = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    buckets = max(parallelism(spark), -(-characters_in_all // BUCKET_CHARACTERS))
+    answers, told = {}, {}
+    for size in range(order, 0, -1):
+        parts = []
+        turns = TURNS if size > 1 else 1
+        for turn in range(turns):
+            part = range(buckets * turn // turns, buckets * (turn + 1) // turns)
+            asked = blocks.flatMap(_highest_requests(order, buckets, part)) if size == order else _answered(blocks, answers[size + 1].drop("contexts", "size")).flatMap(_lower_requests(size, buckets, part))
+            asked = spark.createDataFrame(asked, _REQUESTS, verifySchema=False)
+            parts.append(checkpointed(asked.groupBy("p").applyInArrow(_answer, _ANSWERS), free_shuffles=True))
+        whole = reduce(DataFrame.unionByName, parts)
+        told[size] = [x or 0 for x in whole.agg(*(F.sum(c) for c in ("one", "two", "three", "four", "kinds", "total"))).first()]
+        answers[size] = whole.select("b", "p", "made_of", "counts", "marks", "contexts", F.lit(size).alias("size"))
+    of_order = {size: _discounts(*x[:4]) for size, x in told.items()}
+    one, two, *_, kinds, total = told[1]
+    back = float(np.dot(of_order[1], (one, two, kinds - one - two)) / total) if total else 1.0
+    scored = _answered(blocks, reduce(DataFrame.unionByName, answers.values()).drop("marks")).flatMap(_log_probabilities(order, of_order, kinds + 1, total, back))
+    scored = spark.createDataFrame(scored, "d long, total double, n long", verifySchema=False)
+    return checkpointed(scored.groupBy("d").agg(F.sum("total").alias("total"), F.sum("n").alias("n")), free_shuffles=True)
+
+
+def _with_perplexities(docs: DataFrame, sums: DataFrame, text: str, out: str) -> DataFrame:
+    digest = free_name(docs, "d")
+    sums = sums.select(F.col("d").alias(digest), F.exp(-F.col("total") / F.col("n")).alias(out))
+    rows = docs.withColumn(digest, F.xxhash64(text)).join(sums, digest, "left")
+    return rows.select(*docs.columns, out)
 
 
 def perplexities(docs: DataFrame, model: KneserNey, text: str = "text", out: str = "perplexity", shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """docs with the column `out` (replaced if there); null for texts without n-grams.
 
-    The scored n-grams are joined to those of each document. An n-gram that occurs
-    more than shard_entries times is dealt over several parts of the join, to each of
-    which its score is copied; there are at most as many such n-grams as the input
-    has words, by shard_entries.
+    The model's texts are counted and docs scored in blocks of shard_entries n-grams
+    at most. An n-gram is in a block's requests once, so a frequent one makes no
+    task larger than others.
     """
     docs = docs.drop(out)
-    asked = checkpointed(gram_counts(docs, text, model.of_words).select("g", "k", "c"))
-    scored = model.probabilities(asked.withColumnRenamed("c", "times")).select("k", "times", "logp")
-    own = _document_grams(docs, text, model.of_words)
-    on = ["k"]
-    frequent = asked.where(F.col("c") > shard_entries).select("k", F.ceil(F.col("c") / shard_entries).alias("parts"))
-    if not frequent.isEmpty():
-        on = ["k", "part"]
-        own = own.join(F.broadcast(frequent), "k", "left").withColumn("part", F.pmod(F.xxhash64("d"), F.coalesce("parts", F.lit(1)))).drop("parts")
-        scored = scored.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("times") / shard_entries) - 1)))
-    sums = own.join(scored.drop("times"), on).groupBy("d").agg(F.sum(F.col("times") * F.col("logp")).alias("total"), F.sum("times").alias("n"))
-    digest = free_name(docs, "d")
-    sums = sums.select(F.col("d").alias(digest), F.exp(-F.col("total") / F.col("n")).alias(out))
-    rows = docs.withColumn(digest, F.xxhash64(text)).join(sums, digest, "left")
-    return rows.select(*docs.columns, out)
+    asked = docs.select(F.xxhash64(text).alias("d"), F.col(text).alias("t"), F.lit(False).alias("trained"), F.lit(True).alias("asked"))
+    learnt = model.texts.select(F.lit(0).cast("long").alias("d"), "t", F.lit(True).alias("trained"), F.lit(False).alias("asked"))
+    return _with_perplexities(docs, text_scores(asked.unionByName(learnt), model.of_words, shard_entries), text, out)
 
 
 def _calibration(key: str) -> Column:
@@ -261,8 +535,12 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     occur. Columns of other names are not carried.
     """
     rows = docs.select(key, text, lang)
-    model = KneserNey(trusted(rows, labels, key).where(~_calibration(key)), text, of_words=True)
-    scored = checkpointed(perplexities(rows, model, text).drop(text))
+    ids, small = _good(labels, key)
+    marked = rows.select(key, text).join(ids.withColumn("_good", F.lit(True)), key, "left")
+    learnt = F.coalesce("_good", F.lit(False)) & ~_calibration(key)
+    marked = marked.select(F.xxhash64(text).alias("d"), F.col(text).alias("t"), learnt.alias("trained"), F.lit(True).alias("asked"))
+    sums = text_scores(marked if small else checkpointed(marked, free_shuffles=True), of_words=True)  # a shuffle keeps no order
+    scored = checkpointed(_with_perplexities(rows, sums, text, "perplexity").drop(text), free_shuffles=True)
     good = trusted(scored, labels, key)
     if not (fold := good.where(_calibration(key) & F.col("perplexity").isNotNull())).isEmpty():
         good = fold
