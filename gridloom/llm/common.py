@@ -30,6 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: While this is set, a DataFrame that is made has its shuffle files removed when its action ends.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ADAPTIVE = "spark.sql.adaptive.enabled"
 
 
 def checkpointed(df: DataFrame, free_shuffles: bool = False) -> DataFrame:
@@ -52,6 +53,25 @@ def checkpointed(df: DataFrame, free_shuffles: bool = False) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, n: int, column: str) -> DataFrame:
+    """df dealt over n partitions by a column, checkpointed. Joins and groups by the column move the result no more while spark.sql.shuffle.partitions is n."""
+    spark = df.sparkSession
+    before = spark.conf.get(ADAPTIVE)
+    spark.conf.set(ADAPTIVE, "false")  # an adaptive plan doesn't tell how its result is dealt
+    try:
+        return checkpointed(df.repartition(n, column), free_shuffles=True)
+    finally:
+        spark.conf.set(ADAPTIVE, before)
+
+
+def forgotten(df: DataFrame) -> None:
+    """Delete the files of a checkpointed df, which is not read again."""
+    jvm, found = df.sparkSession.sparkContext._jvm, df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if found.isDefined():
+        path = jvm.org.apache.hadoop.fs.Path(found.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in shared_folder(), read again; the table stays there, as checkpoints do."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"

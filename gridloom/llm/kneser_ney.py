@@ -6,17 +6,22 @@ Words that no trusted text has share one event of the lowest order. A document's
 perplexity is held against a quantile of trusted texts of its language that the model
 was not trained on.
 
-Texts are scored in blocks of some million n-grams. Order by order, from the highest, a
-block sends each distinct n-gram once, with what it adds to its counts, to the bucket of
-its hash; the bucket adds up over all blocks and answers with the sums, in the order it
-was asked. Of each n-gram one block is told that it is the first: that one counts its
-context and its suffix for the next lower order. So a shuffle moves a hash, in the 5 to 6
-bytes that sorted hashes need, and small counts for a distinct n-gram of a block, however
-often it occurs. Half of the buckets are asked at a time, and the shuffle's files go when
-the answers are written. Answers go back to the partition that asked, where the block is
-made again from the texts, which are never shuffled or written. Probabilities are worked
-out from the sums in the blocks; nothing but the counts of counts reaches the driver.
-N-grams are told apart by a 64-bit hash there.
+The counts are made first, from blocks of the trusted texts. Order by order, from the
+highest, a block sends each distinct n-gram once, with what it adds to its counts, to the
+bucket of its hash; the bucket adds up over all blocks, keeps the sums, and answers with
+them in the order it was asked. Of each n-gram one block is told that it is the first: that
+one counts its context and its suffix for the next lower order.
+
+Then all texts are scored, one slice of them after another, so that the shuffles of one
+slice alone are on disk. A block asks the buckets for its n-grams of all orders at once.
+What the block is made of goes along, as numbers of its distinct words, and meets the
+answers, so texts are read once a slice and may come in any order. Probabilities are worked
+out from the sums there; nothing but the counts of counts reaches the driver.
+
+A shuffle moves a hash, in the 5 to 6 bytes that sorted hashes need, and small counts for a
+distinct n-gram of a block, however often it occurs. A task holds one block, or what one
+bucket is asked by one slice, whatever the size of its partition. N-grams are told apart by
+a 64-bit hash there.
 
 KneserNey has the same model as tables that grow with the text. An n-gram's key is the
 64-bit hash of each of its words, 8 bytes a word, so contexts and suffixes are parts of
@@ -29,15 +34,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BASE, checkpointed, code_points, free_name, mix, parallelism, range_hashes, window_hashes, word_bounds
+from gridloom.llm.common import BASE, checkpointed, code_points, dealt, forgotten, free_name, mix, parallelism, range_hashes, window_hashes, word_bounds
 
 #: Length of n-grams of characters and of words.
 ORDER = 5
@@ -48,8 +53,13 @@ WIDTH = 8
 SHARD_ENTRIES = 500_000
 #: Characters for each bucket; a task holds the distinct n-grams of a bucket that each block sends.
 BUCKET_CHARACTERS = 8_000_000
-#: Turns in which the buckets are asked for n-grams of two words or more, each with a shuffle of its own.
+#: Turns in which the buckets are asked for n-grams of two words or more when counts are made, each with a shuffle of its own.
 TURNS = 2
+#: Slices of texts that are scored one after another at most, and characters of a slice at least.
+SLICES = 12
+SLICE_CHARACTERS = 10_000_000
+#: Bytes of the rows that are handed on at once.
+BATCH_BYTES = 4_000_000
 #: Ids that are broadcast at most: 32 MB of eight bytes each.
 BROADCAST_IDS = 4_000_000
 #: Least discount, so that each context leaves something to the lower order.
@@ -255,8 +265,26 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).reshape(n)
 
 
-_REQUESTS = "p long, b long, made_of long, keys binary, sums binary"
-_ANSWERS = "p long, b long, made_of long, counts binary, marks binary, contexts binary, one long, two long, three long, four long, kinds long, total long"
+#: What is sent. size: 0 for a block, else the n-gram's. parts: of a block see _Block.packed(); of requests and of the sums that a bucket
+#: keeps (there b is -1) keys and sums; of answers counts, marks and contexts. told: how many counts are 1, 2, 3, 4, more than 0, and their sum.
+_ROWS = "p long, b long, made_of long, size long, parts array<binary>, told array<long>"
+_SCHEMA = pa.schema([("p", pa.int64()), ("b", pa.int64()), ("made_of", pa.int64()), ("size", pa.int64()), ("parts", pa.list_(pa.binary())), ("told", pa.list_(pa.int64()))])
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(list(zip(*rows)) or [[]] * len(_SCHEMA), _SCHEMA)], schema=_SCHEMA)
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(map(len, row[4]))
+        if size > BATCH_BYTES:
+            yield from _table(held).to_batches()
+            held, size = [], 0
+    if held:
+        yield from _table(held).to_batches()
 
 
 @dataclass
@@ -271,6 +299,20 @@ class _Block:
     asked: np.ndarray
     d: np.ndarray
 
+    def packed(self, p: int) -> tuple:
+        """A row of _ROWS. Words that are about as frequent are together, so that most numbers are small, and sorted, so that few bytes tell one from the next."""
+        found, which, times = np.unique(self.tokens, return_inverse=True, return_counts=True)
+        order = np.lexsort((found, -np.frexp(times)[1]))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        marks = (_packed(np.asarray(x)) for x in (self.lengths, self.trained, self.asked, self.d))
+        return p, self.b, self.made_of, 0, [_packed(np.diff(found[order], prepend=np.uint64(0))), _packed(number[which]), *marks], None
+
+    @staticmethod
+    def unpacked(row: dict) -> _Block:
+        found, which, lengths, trained, asked, d = map(_unpacked, row["parts"])
+        return _Block(row["b"], row["made_of"], np.cumsum(found)[which.astype(np.int64)], lengths.astype(np.int64), trained > 0, asked > 0, d.view(np.int64))
+
     def starts(self, size: int) -> np.ndarray:
         """Where windows begin that do not leave their text."""
         inside, ends = np.ones(len(self.tokens), bool), np.cumsum(self.lengths)
@@ -300,31 +342,29 @@ class _Block:
         return hashes[new], starts[new], place
 
 
-def _blocks(rows: DataFrame, order: int, of_words: bool, entries: int) -> RDD:
-    """Texts that have n-grams, in the order in which they are read."""
-
-    def run(partition, rows):
-        texts: list[tuple[np.ndarray, bool, bool, int]] = []
-        size, made = 0, 0
+def _blocks(batches: Iterator[pa.RecordBatch], order: int, of_words: bool, entries: int) -> Iterator[_Block]:
+    """Texts that have n-grams, some at a time."""
+    partition = TaskContext.get().partitionId()
+    texts: list[tuple[np.ndarray, bool, bool, int]] = []
+    size, made = 0, 0
 
-        def block():
-            tokens = np.concatenate([x[0] for x in texts])
-            marks = (np.array([x[i] for x in texts]) for i in (1, 2, 3))
-            return _Block((partition << 32) + made, int(np.sum(tokens).view(np.int64)), tokens, np.array([len(x[0]) for x in texts]), *marks)
+    def block():
+        tokens = np.concatenate([x[0] for x in texts])
+        marks = (np.array([x[i] for x in texts]) for i in (1, 2, 3))
+        return _Block((partition << 32) + made, int(np.sum(tokens).view(np.int64)), tokens, np.array([len(x[0]) for x in texts]), *marks)
 
-        for row in rows:
-            tokens = words(row["t"]) if of_words else characters(row["t"])
+    for batch, of_batch in _texts(batches, "t"):
+        for text, *marks in zip(of_batch, *(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("trained", "asked", "d"))):
+            tokens = words(text) if of_words else characters(text)
             if (own := len(tokens) - order + 1) <= 0:
                 continue
             if texts and size + own > entries:
                 yield block()
                 texts, size, made = [], 0, made + 1
-            texts.append((tokens, row["trained"], row["asked"], row["d"]))
+            texts.append((tokens, *marks))
             size += own
-        if texts:
-            yield block()
-
-    return rows.select("d", "t", "trained", "asked").rdd.mapPartitionsWithIndex(run)
+    if texts:
+        yield block()
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -350,7 +390,11 @@ def _requests(block: _Block, keys: np.ndarray, sums: list[np.ndarray], buckets:
     cuts = np.searchsorted(_bucket(keys, buckets), np.arange(asked.start, asked.stop + 1, dtype=np.uint64))
     for at in np.flatnonzero(np.diff(cuts)).tolist():
         part = slice(cuts[at], cuts[at + 1])
-        yield asked[at], block.b, block.made_of, _packed(np.diff(keys[part], prepend=np.uint64(0))), _packed(np.concatenate([s[part] for s in sums]))
+        yield asked[at], block.b, block.made_of, _packed(np.diff(keys[part], prepend=np.uint64(0))), _packed(np.concatenate([s[part] for s in sums])) if sums else b""
+
+
+def _as_rows(requests: Iterator[tuple], size: int) -> Iterator[tuple]:
+    return ((p, b, made_of, size, parts, None) for p, b, made_of, *parts in requests)
 
 
 def _highest_requests(order: int, buckets: int, asked: range):
@@ -367,33 +411,65 @@ def _highest_requests(order: int, buckets: int, asked: range):
 
 
 def _answer(asked: pa.Table) -> pa.Table:
-    """A bucket's sums over all blocks, given back to each block in the order of its n-grams.
+    """A bucket's sums over all blocks, kept, and given back to each block in the order of its n-grams.
 
-    counts, and for those that are not 0 marks: 1 for the first block. contexts, but for
-    the highest order: the total, and if that is over 1, how many counts are 1, 2 and more.
+    counts, and for those that are not 0 marks: 1 for the first block.
     """
-    parts = [np.cumsum(_unpacked(x)) for x in asked["keys"].to_pylist()]
+    rows = asked.to_pylist()
+    parts = [np.cumsum(_unpacked(r["parts"][0])) for r in rows]
     found, first, where = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-    added = np.concatenate([_unpacked(x).reshape(-1, len(k)) for x, k in zip(asked["sums"].to_pylist(), parts)], axis=1)
+    added = np.concatenate([_unpacked(r["parts"][1]).reshape(-1, len(k)) for r, k in zip(rows, parts)], axis=1)
     sums = [np.bincount(where, s, len(found)).astype(np.int64) for s in added]
     counts = sums[0]
     first_of = np.zeros(len(where), bool)
     first_of[first] = True
     cuts = np.cumsum([0, *(len(k) for k in parts)])
     back = []
-    for part in map(slice, cuts[:-1], cuts[1:]):
-        c, *context = (x[where[part]] for x in sums)
-        context = [context[0], *(x[context[0] > 1] for x in context[1:])] if context else [c[:0]]
-        back.append([_packed(x) for x in (c, first_of[part][c > 0], np.concatenate(context))])
-    of_counts = [int((counts == i).sum()) for i in (1, 2, 3, 4)] + [int((counts > 0).sum()), int(counts.sum())]
-    told = [pa.array([n] + [0] * (len(parts) - 1), pa.int64()) for n in of_counts]
-    return pa.table([asked["p"], asked["b"], asked["made_of"], *(pa.array(x, pa.binary()) for x in zip(*back)), *told], names=[x.split()[0] for x in _ANSWERS.split(", ")])
+    for r, part in zip(rows, map(slice, cuts[:-1], cuts[1:])):
+        c = counts[where[part]]
+        back.append((r["p"], r["b"], r["made_of"], r["size"], [_packed(c), _packed(first_of[part][c > 0])], None))
+    told = [int((counts == i).sum()) for i in (1, 2, 3, 4)] + [int((counts > 0).sum()), int(counts.sum())]
+    kept = [_packed(np.diff(found, prepend=np.uint64(0))), _packed(np.concatenate(sums))]
+    return _table([*back, (rows[0]["p"], -1, 0, rows[0]["size"], kept, told)])
 
 
-def _answered(blocks: RDD, answers: DataFrame) -> RDD:
-    """Each block with its answers, in the partition that makes it."""
-    dealt = answers.repartitionById(blocks.getNumPartitions(), F.shiftright("b", 32).cast("int")).sortWithinPartitions("b", "p")
-    return blocks.zip(dealt.rdd.mapPartitions(lambda rows: (list(own) for _, own in groupby(rows, key=lambda r: r["b"]))))
+def _look_up(kept: pa.Table, asked: pa.Table) -> pa.Table:
+    """A bucket's sums for each block, in the order of its n-grams; blocks themselves are handed on.
+
+    counts, no marks, and contexts, but for the highest order: the total, and if that is
+    over 1, how many counts are 1, 2 and more.
+    """
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for r in kept.to_pylist():
+        keys = np.cumsum(_unpacked(r["parts"][0]))
+        sums[r["size"]] = keys, _unpacked(r["parts"][1]).reshape(-1, len(keys))
+    back = []
+    for batch in asked.to_batches(16):
+        for r in batch.to_pylist():
+            parts = r["parts"]
+            if r["size"]:
+                keys = np.cumsum(_unpacked(parts[0]))
+                found, own = sums.get(r["size"], (np.zeros(0, np.uint64), np.zeros((1, 0), np.uint64)))
+                at = np.searchsorted(found, keys)
+                at[at == len(found)] = 0
+                held = found[at] == keys if len(found) else np.zeros(len(keys), bool)
+                c, *context = np.zeros((len(own), len(keys)), np.uint64)
+                for to, x in zip((c, *context), own):
+                    to[held] = x[at[held]]
+                if context:
+                    context = [context[0], *(x[context[0] > 1] for x in context[1:])]
+                elif r["size"] == 1 or not len(found):
+                    context = [np.zeros(len(keys), np.uint64)]
+                parts = [_packed(c), b"", _packed(np.concatenate(context)) if context else b""]
+            back.append((r["p"], r["b"], r["made_of"], r["size"], parts, None))
+    return _table(back)
+
+
+def _block_and_answers(blocks: pa.Table, answers: pa.Table) -> tuple[_Block, list[dict]]:
+    """A block, and what the buckets answered, in their order."""
+    (block,) = blocks.to_pylist()
+    told = [r | dict(zip(("counts", "marks", "contexts"), r["parts"])) for r in answers.to_pylist()]
+    return _Block.unpacked(block), sorted(told, key=lambda r: r["p"])
 
 
 def _counts(block: _Block, answers: list) -> np.ndarray:
@@ -435,6 +511,14 @@ def _lower_requests(size: int, buckets: int, asked: range):
     return run
 
 
+def _of_blocks(requests, size: int):
+    return lambda batches: _batches(x for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist() for x in _as_rows(requests(_Block.unpacked(r)), size))
+
+
+def _of_answers(requests, size: int):
+    return lambda block, answers: _table(list(_as_rows(requests(_block_and_answers(block, answers)), size)))
+
+
 def _log_probabilities(order: int, of_order: dict[int, tuple[float, float, float]], alphabet: int, total: int, back: float):
     """(d, total, n) of the texts that are asked for. back: share of probability that unknown words get."""
 
@@ -458,43 +542,72 @@ def _log_probabilities(order: int, of_order: dict[int, tuple[float, float, float
             context = (place, _contexts(own)) if size < order else None
         grams = block.lengths - order + 1
         logs = np.add.reduceat(np.log(p), np.cumsum(grams) - grams)
-        return zip(*(x[block.asked].tolist() for x in (block.d, logs, grams)))
+        return pa.table({"d": block.d[block.asked], "total": logs[block.asked], "n": grams[block.asked]})
 
     return run
 
 
+def _model(rows: DataFrame, of_words: bool, shard_entries: int, buckets: int) -> tuple[DataFrame, dict[int, list[int]]]:
+    """What the buckets keep of the texts, dealt by p, and for each order the sums of told."""
+    order, n = WORD_ORDER if of_words else ORDER, parallelism(rows.sparkSession)
+    blocks = dealt(rows.mapInArrow(lambda batches: _batches(block.packed(0) for block in _blocks(batches, order, of_words, shard_entries)), _ROWS), n, "b")
+    answers, kept, told = None, [], {}
+    for size in range(order, 0, -1):
+        parts = []
+        turns = TURNS if size > 1 else 1
+        for turn in range(turns):
+            part = range(buckets * turn // turns, buckets * (turn + 1) // turns)
+            if size == order:
+                asked = blocks.mapInArrow(_of_blocks(_highest_requests(order, buckets, part), size), _ROWS)
+            else:
+                asked = blocks.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_of_answers(_lower_requests(size, buckets, part), size), _ROWS)
+            parts.append(dealt(asked.groupBy("p").applyInArrow(_answer, _ROWS), n, "p"))
+        whole = reduce(DataFrame.unionByName, parts)
+        told[size] = [x or 0 for x in whole.agg(*(F.sum(F.col("told")[i]) for i in range(6))).first()]
+        answers = whole.where("b >= 0")
+        kept += [x.where("b < 0") for x in parts]
+    forgotten(blocks)
+    return reduce(DataFrame.unionByName, kept), told
+
+
 def text_scores(rows: DataFrame, of_words: bool = False, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """(d, total, n): sum of the log probabilities of a text's n-grams, and how many they are.
 
     rows: d, t, trained, asked: an id, a text, whether the model counts it, whether
     its score is asked for. Texts of one id are taken together. The rows are read
-    several times and must come in the same order, as those of files do; it fails
-    where they don't. A task holds the tokens of its partition.
+    several times.
     """
     spark, order = rows.sparkSession, WORD_ORDER if of_words else ORDER
-    blocks = _blocks(rows, order, of_words, shard_entries)
-    if not blocks.getNumPartitions():
-        return spark.createDataFrame([], "d long, total double, n long")
+    rows = rows.select("d", "t", "trained", "asked")
     characters_in_all = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     buckets = max(parallelism(spark), -(-characters_in_all // BUCKET_CHARACTERS))
-    answers, told = {}, {}
-    for size in range(order, 0, -1):
-        parts = []
-        turns = TURNS if size > 1 else 1
-        for turn in range(turns):
-            part = range(buckets * turn // turns, buckets * (turn + 1) // turns)
-            asked = blocks.flatMap(_highest_requests(order, buckets, part)) if size == order else _answered(blocks, answers[size + 1].drop("contexts", "size")).flatMap(_lower_requests(size, buckets, part))
-            asked = spark.createDataFrame(asked, _REQUESTS, verifySchema=False)
-            parts.append(checkpointed(asked.groupBy("p").applyInArrow(_answer, _ANSWERS), free_shuffles=True))
-        whole = reduce(DataFrame.unionByName, parts)
-        told[size] = [x or 0 for x in whole.agg(*(F.sum(c) for c in ("one", "two", "three", "four", "kinds", "total"))).first()]
-        answers[size] = whole.select("b", "p", "made_of", "counts", "marks", "contexts", F.lit(size).alias("size"))
+    kept, told = _model(rows.where("trained"), of_words, shard_entries, buckets)
     of_order = {size: _discounts(*x[:4]) for size, x in told.items()}
     one, two, *_, kinds, total = told[1]
     back = float(np.dot(of_order[1], (one, two, kinds - one - two)) / total) if total else 1.0
-    scored = _answered(blocks, reduce(DataFrame.unionByName, answers.values()).drop("marks")).flatMap(_log_probabilities(order, of_order, kinds + 1, total, back))
-    scored = spark.createDataFrame(scored, "d long, total double, n long", verifySchema=False)
-    return checkpointed(scored.groupBy("d").agg(F.sum("total").alias("total"), F.sum("n").alias("n")), free_shuffles=True)
+
+    def requests(batches):
+        for block in _blocks(batches, order, of_words, shard_entries):
+            yield block.packed(block.b % buckets)
+            for size in range(1, order + 1):
+                keys, _ = _distinct(block.hashes(size)[block.starts(size)])
+                yield from _as_rows(_requests(block, keys, [], buckets, range(buckets)), size)
+
+    probabilities = _log_probabilities(order, of_order, kinds + 1, total, back)
+
+    def scored(own):
+        is_block = pa.compute.equal(own["size"], 0)
+        return probabilities(_block_and_answers(own.filter(is_block), own.filter(pa.compute.invert(is_block))))
+
+    slices = max(1, min(SLICES, characters_in_all // SLICE_CHARACTERS))
+    parts = []
+    for i in range(slices):
+        own = rows.where(F.col("asked") & (F.pmod("d", F.lit(slices)) == i))
+        asked = own.mapInArrow(lambda batches: _batches(requests(batches)), _ROWS)
+        answers = kept.groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(_look_up, _ROWS)
+        scores = answers.groupBy("b").applyInArrow(scored, "d long, total double, n long")
+        parts.append(checkpointed(scores.groupBy("d").agg(F.sum("total").alias("total"), F.sum("n").alias("n")), free_shuffles=True))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _with_perplexities(docs: DataFrame, sums: DataFrame, text: str, out: str) -> DataFrame:
@@ -539,7 +652,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     marked = rows.select(key, text).join(ids.withColumn("_good", F.lit(True)), key, "left")
     learnt = F.coalesce("_good", F.lit(False)) & ~_calibration(key)
     marked = marked.select(F.xxhash64(text).alias("d"), F.col(text).alias("t"), learnt.alias("trained"), F.lit(True).alias("asked"))
-    sums = text_scores(marked if small else checkpointed(marked, free_shuffles=True), of_words=True)  # a shuffle keeps no order
+    sums = text_scores(marked if small else checkpointed(marked, free_shuffles=True), of_words=True)  # it is read several times
     scored = checkpointed(_with_perplexities(rows, sums, text, "perplexity").drop(text), free_shuffles=True)
     good = trusted(scored, labels, key)
     if not (fold := good.where(_calibration(key) & F.col("perplexity").isNotNull())).isEmpty():
