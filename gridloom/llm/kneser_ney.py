@@ -254,15 +254,30 @@ def trusted(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFram
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers as eight planes of bytes, which compress to little where numbers are small."""
-    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
-    return len(values).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if len(values) else b"")
+    """Whole numbers as up to eight planes of bytes, which compress to little where numbers are small."""
+    if not len(values):
+        return bytes(9)
+    values = values.astype(np.uint64)
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True) if n else b"", np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).reshape(n)
+    n, width = int.from_bytes(data[:8], "little"), data[8]
+    values = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(pa.decompress(data[9:], width * n, codec="zstd", asbytes=True), np.uint8)
+        values[:, :width] = planes.reshape(width, n).T
+    return values.view(np.uint64).reshape(n)
+
+
+def _order_of(hashes: np.ndarray) -> np.ndarray:
+    """argsort: their upper bits are sorted with the places in the lower ones, and that is held against the whole hashes."""
+    low = np.uint64((1 << len(hashes).bit_length()) - 1)
+    order = (np.sort((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)) & low).view(np.int64)
+    inorder = hashes[order]
+    return order if (inorder[1:] >= inorder[:-1]).all() else np.argsort(hashes)
 
 
 #: What is sent. size: 0 for a block, else the n-gram's. parts: of a block see _Block.packed(); of requests and of the sums that a bucket
@@ -301,8 +316,9 @@ class _Block:
 
     def packed(self, p: int) -> tuple:
         """A row of _ROWS. Words that are about as frequent are together, so that most numbers are small, and sorted, so that few bytes tell one from the next."""
-        found, which, times = np.unique(self.tokens, return_inverse=True, return_counts=True)
-        order = np.lexsort((found, -np.frexp(times)[1]))
+        _, first, which = self.grams(1)
+        found = self.tokens[first]
+        order = np.lexsort((found, -np.frexp(np.bincount(which))[1]))
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
         marks = (_packed(np.asarray(x)) for x in (self.lengths, self.trained, self.asked, self.d))
@@ -334,7 +350,7 @@ class _Block:
         """Hashes of the distinct n-grams, ascending; where each begins once; for each place the number of the n-gram that begins there."""
         starts = self.starts(size)
         hashes = self.hashes(size)[starts]
-        order = np.argsort(hashes)
+        order = _order_of(hashes)
         hashes, starts = hashes[order], starts[order]
         new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
         place = np.full(len(self.tokens), -1, np.int32)
@@ -452,10 +468,11 @@ def _look_up(kept: pa.Table, asked: pa.Table) -> pa.Table:
                 found, own = sums.get(r["size"], (np.zeros(0, np.uint64), np.zeros((1, 0), np.uint64)))
                 at = np.searchsorted(found, keys)
                 at[at == len(found)] = 0
-                held = found[at] == keys if len(found) else np.zeros(len(keys), bool)
+                held = np.flatnonzero(found[at] == keys) if len(found) else at[:0]
+                at = at[held]
                 c, *context = np.zeros((len(own), len(keys)), np.uint64)
                 for to, x in zip((c, *context), own):
-                    to[held] = x[at[held]]
+                    to[held] = x[at]
                 if context:
                     context = [context[0], *(x[context[0] > 1] for x in context[1:])]
                 elif r["size"] == 1 or not len(found):

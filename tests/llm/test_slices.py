@@ -63,3 +63,13 @@ def test_a_dealt_table_is_not_moved_again_and_its_files_go(spark):
     assert os.path.isdir(files)
     forgotten(parts[0])
     assert not os.path.exists(files)
+
+
+def test_order_is_right_where_upper_bits_agree():
+    rng = np.random.default_rng(5)
+    spread, near = rng.integers(0, 1 << 63, 5_000).astype(np.uint64), rng.integers(0, 900, 5_000).astype(np.uint64)
+    for hashes in (spread, near, near[:1], np.concatenate([spread, spread + np.uint64(1)])):
+        assert (hashes[kneser_ney._order_of(hashes)] == np.sort(hashes)).all()
+    for values in (spread, near, np.arange(3) - 1, np.zeros(0, np.int64), np.zeros(4, np.int64)):
+        assert (kneser_ney._unpacked(kneser_ney._packed(values)).view(np.int64) == values.astype(np.int64)).all()
+    assert len(kneser_ney._packed(np.zeros(5_000, np.int64))) < 60
